@@ -126,39 +126,39 @@ rclean AS (
          {strip(f"replace(replace({strip('response_text')}, '```json', ''), '```', '')")} AS j
   FROM resp),
 rtyped AS (
-  SELECT *, json_valid(j) AS parsed, json_type(j) AS top,
-         json_type(j, '$.parties') AS t_parties, json_type(j, '$.key_clauses') AS t_clauses,
-         json_type(j, '$.risks') AS t_risks, json_type(j, '$.risk_score') AS t_score
-  FROM rclean),
+  SELECT *, json_valid(j) AS parsed, json_type(jj) AS top,
+         json_type(jj, '$.parties') AS t_parties, json_type(jj, '$.key_clauses') AS t_clauses,
+         json_type(jj, '$.risks') AS t_risks, json_type(jj, '$.risk_score') AS t_score
+  FROM (SELECT *, CASE WHEN json_valid(j) THEN j END AS jj FROM rclean)),
 rchk AS (
   SELECT *,
     CASE WHEN NOT parsed THEN NULL
          WHEN t_score IS NULL THEN 0
-         WHEN t_score IN ('BIGINT', 'UBIGINT') THEN TRY_CAST(json_extract(j, '$.risk_score') AS BIGINT)
-         WHEN t_score = 'DOUBLE' THEN TRY_CAST(trunc(CAST(json_extract(j, '$.risk_score') AS DOUBLE)) AS BIGINT)
-         WHEN t_score = 'BOOLEAN' THEN CASE WHEN CAST(json_extract(j, '$.risk_score') AS BOOLEAN) THEN 1 ELSE 0 END
-         WHEN t_score = 'VARCHAR' AND regexp_full_match(json_extract_string(j, '$.risk_score'), '{W}*[+-]?[0-9]+(_[0-9]+)*{W}*')
-              THEN TRY_CAST(replace({strip("json_extract_string(j, '$.risk_score')")}, '_', '') AS BIGINT)
+         WHEN t_score IN ('BIGINT', 'UBIGINT') THEN TRY_CAST(json_extract(jj, '$.risk_score') AS BIGINT)
+         WHEN t_score = 'DOUBLE' THEN TRY_CAST(trunc(CAST(json_extract(jj, '$.risk_score') AS DOUBLE)) AS BIGINT)
+         WHEN t_score = 'BOOLEAN' THEN CASE WHEN CAST(json_extract(jj, '$.risk_score') AS BOOLEAN) THEN 1 ELSE 0 END
+         WHEN t_score = 'VARCHAR' AND regexp_full_match(json_extract_string(jj, '$.risk_score'), '{W}*[+-]?[0-9]+(_[0-9]+)*{W}*')
+              THEN TRY_CAST(replace({strip("json_extract_string(jj, '$.risk_score')")}, '_', '') AS BIGINT)
     END AS score,
     parsed AND top = 'OBJECT'
-      AND coalesce(json_type(j, '$.document_type'), 'VARCHAR') = 'VARCHAR'
-      AND coalesce(json_type(j, '$.effective_date'), 'VARCHAR') = 'VARCHAR'
-      AND coalesce(json_type(j, '$.expiry_date'), 'VARCHAR') = 'VARCHAR'
-      AND coalesce(json_type(j, '$.contract_value'), 'VARCHAR') = 'VARCHAR'
-      AND coalesce(json_type(j, '$.governing_law'), 'VARCHAR') = 'VARCHAR'
+      AND coalesce(json_type(jj, '$.document_type'), 'VARCHAR') = 'VARCHAR'
+      AND coalesce(json_type(jj, '$.effective_date'), 'VARCHAR') = 'VARCHAR'
+      AND coalesce(json_type(jj, '$.expiry_date'), 'VARCHAR') = 'VARCHAR'
+      AND coalesce(json_type(jj, '$.contract_value'), 'VARCHAR') = 'VARCHAR'
+      AND coalesce(json_type(jj, '$.governing_law'), 'VARCHAR') = 'VARCHAR'
       AND (t_parties IS NULL OR (t_parties = 'ARRAY' AND
-           len(list_filter(json_extract(j, '$.parties[*]'), lambda e: json_type(e) <> 'VARCHAR')) = 0))
+           len(list_filter(json_extract(jj, '$.parties[*]'), lambda e: json_type(e) <> 'VARCHAR')) = 0))
       AND (t_clauses IS NULL
-           OR (t_clauses = 'OBJECT' AND len(json_keys(j, '$.key_clauses')) = 0)
-           OR (t_clauses = 'VARCHAR' AND json_extract_string(j, '$.key_clauses') = '')
-           OR (t_clauses = 'ARRAY' AND len(list_filter(json_extract(j, '$.key_clauses[*]'), lambda e: NOT (
+           OR (t_clauses = 'OBJECT' AND len(json_keys(jj, '$.key_clauses')) = 0)
+           OR (t_clauses = 'VARCHAR' AND json_extract_string(jj, '$.key_clauses') = '')
+           OR (t_clauses = 'ARRAY' AND len(list_filter(json_extract(jj, '$.key_clauses[*]'), lambda e: NOT (
                  json_type(e) = 'OBJECT'
                  AND coalesce(json_type(e, '$.clause_type'), 'VARCHAR') = 'VARCHAR'
                  AND coalesce(json_type(e, '$.clause_text'), 'VARCHAR') = 'VARCHAR'))) = 0))
       AND (t_risks IS NULL
-           OR (t_risks = 'OBJECT' AND len(json_keys(j, '$.risks')) = 0)
-           OR (t_risks = 'VARCHAR' AND json_extract_string(j, '$.risks') = '')
-           OR (t_risks = 'ARRAY' AND len(list_filter(json_extract(j, '$.risks[*]'), lambda e: NOT (
+           OR (t_risks = 'OBJECT' AND len(json_keys(jj, '$.risks')) = 0)
+           OR (t_risks = 'VARCHAR' AND json_extract_string(jj, '$.risks') = '')
+           OR (t_risks = 'ARRAY' AND len(list_filter(json_extract(jj, '$.risks[*]'), lambda e: NOT (
                  json_type(e) = 'OBJECT'
                  AND coalesce(json_type(e, '$.risk'), 'VARCHAR') = 'VARCHAR'
                  AND coalesce(json_type(e, '$.severity'), 'VARCHAR') = 'VARCHAR'
@@ -166,22 +166,22 @@ rchk AS (
       AS fields_ok
   FROM rtyped),
 rvalid AS (
-  SELECT document_id, j, score,
+  SELECT document_id, j, jj, score,
          coalesce(fields_ok AND score IS NOT NULL, false) AS is_valid,
          CASE WHEN NOT parsed THEN 'INVALID_JSON'
               WHEN coalesce(fields_ok AND score IS NOT NULL, false) THEN ''
               ELSE 'SCHEMA_MISMATCH' END AS error_code
   FROM rchk),
 rparsed AS (
-  SELECT document_id, j, score,
-         coalesce(json_extract_string(j, '$.document_type'), '') AS document_type,
-         CASE WHEN json_type(j, '$.parties') = 'ARRAY' THEN json_extract_string(j, '$.parties[*]') ELSE [] END AS parties,
-         coalesce(json_extract_string(j, '$.effective_date'), '') AS effective_date,
-         coalesce(json_extract_string(j, '$.expiry_date'), '') AS expiry_date,
-         coalesce(json_extract_string(j, '$.contract_value'), '') AS contract_value,
-         coalesce(json_extract_string(j, '$.governing_law'), '') AS governing_law,
-         CASE WHEN json_type(j, '$.key_clauses') = 'ARRAY' THEN json_extract(j, '$.key_clauses[*]') ELSE [] END AS kc,
-         CASE WHEN json_type(j, '$.risks') = 'ARRAY' THEN json_extract(j, '$.risks[*]') ELSE [] END AS rk
+  SELECT document_id, j, jj, score,
+         coalesce(json_extract_string(jj, '$.document_type'), '') AS document_type,
+         CASE WHEN json_type(jj, '$.parties') = 'ARRAY' THEN json_extract_string(jj, '$.parties[*]') ELSE [] END AS parties,
+         coalesce(json_extract_string(jj, '$.effective_date'), '') AS effective_date,
+         coalesce(json_extract_string(jj, '$.expiry_date'), '') AS expiry_date,
+         coalesce(json_extract_string(jj, '$.contract_value'), '') AS contract_value,
+         coalesce(json_extract_string(jj, '$.governing_law'), '') AS governing_law,
+         CASE WHEN json_type(jj, '$.key_clauses') = 'ARRAY' THEN json_extract(jj, '$.key_clauses[*]') ELSE [] END AS kc,
+         CASE WHEN json_type(jj, '$.risks') = 'ARRAY' THEN json_extract(jj, '$.risks[*]') ELSE [] END AS rk
   FROM rvalid WHERE is_valid),
 lflat AS (
   SELECT document_id, document_type, array_to_string(parties, '|') AS parties,
