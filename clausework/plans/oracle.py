@@ -441,6 +441,10 @@ ORACLE: dict[str, str] = {
     "response_parse": """SELECT document_id, document_type, parties, n_parties, effective_date, expiry_date,
                          contract_value, governing_law, clause_types, clause_texts, n_clauses, risk_names,
                          severities, n_risks, risk_score FROM lflat""",
+    "stream_intake": f"""SELECT f.file_name, 'contract' AS document_type, d.risk_score, 'mock_analysis' AS mode,
+                          CAST(length({_DECODED.replace('raw_text', 'f.raw_text')}) AS BIGINT) AS n_chars
+                          FROM rdocs d JOIN files f USING (document_id)
+                          WHERE lower(f.suffix) IN ('.txt', '.doc') AND {_DECODED.replace('raw_text', 'f.raw_text')} <> ''""",
     "analysis_with_fallback": """SELECT document_id, document_type, parties, n_parties, effective_date, expiry_date,
                                  contract_value, governing_law, clause_types, n_clauses, risk_names, n_risks,
                                  risk_score, mode, ai_error FROM final""",
