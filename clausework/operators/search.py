@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausework import constants as C
+from clausework.functions.arrays import explode_with_pos
 from clausework.functions.text import prefix, split_paragraphs
 
 # Upper bound of query rows broadcast in one join.
@@ -33,9 +34,8 @@ HIT_COLUMNS = ["query_id", "document_id", "file_name", "uploaded_at", "match_are
 def paragraph_table(documents: DataFrame) -> DataFrame:
     """Paragraphs of every stored document with their order and lowered
     form; the split runs once per document, not once per query."""
-    return (documents.select("document_id", "file_name", "uploaded_at",
-                             F.posexplode(split_paragraphs("raw_text")).alias("pos", "paragraph"))
-            .withColumn("pos", F.col("pos").cast("bigint"))
+    return (explode_with_pos(documents, ["document_id", "file_name", "uploaded_at"],
+                             split_paragraphs("raw_text"), "pos", "paragraph")
             .withColumn("lower_paragraph", F.lower("paragraph")))
 
 

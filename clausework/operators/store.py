@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework import constants as C
+from clausework.functions.arrays import explode_with_pos
 from clausework.functions.text import coerce_score, safe_name
 from clausework.operators.analysis import with_analysis
 from clausework.operators.rules import empty_analysis
@@ -110,25 +111,22 @@ def documents_table(analysed: DataFrame) -> DataFrame:
 
 def parties_table(analysed: DataFrame) -> DataFrame:
     """One row per party (K2); an empty list gives no rows."""
-    return (_processed(analysed)
-            .select("document_id", F.posexplode("analysis.parties").alias("pos", "party_name"))
-            .withColumn("pos", F.col("pos").cast("bigint")))
+    return explode_with_pos(_processed(analysed), ["document_id"], F.col("analysis.parties"),
+                            "pos", "party_name")
 
 
 def clauses_table(analysed: DataFrame) -> DataFrame:
     """One row per clause (K3); missing fields are ''."""
-    return (_processed(analysed)
-            .select("document_id", F.posexplode("analysis.key_clauses").alias("pos", "c"))
-            .select("document_id", F.col("pos").cast("bigint").alias("pos"),
+    return (explode_with_pos(_processed(analysed), ["document_id"], F.col("analysis.key_clauses"), "pos", "c")
+            .select("document_id", "pos",
                     F.coalesce(F.col("c.clause_type"), F.lit("")).alias("clause_type"),
                     F.coalesce(F.col("c.clause_text"), F.lit("")).alias("clause_text")))
 
 
 def risks_table(analysed: DataFrame) -> DataFrame:
     """One row per risk (K4); missing fields are ''."""
-    return (_processed(analysed)
-            .select("document_id", F.posexplode("analysis.risks").alias("pos", "r"))
-            .select("document_id", F.col("pos").cast("bigint").alias("pos"),
+    return (explode_with_pos(_processed(analysed), ["document_id"], F.col("analysis.risks"), "pos", "r")
+            .select("document_id", "pos",
                     F.coalesce(F.col("r.risk"), F.lit("")).alias("risk"),
                     F.coalesce(F.col("r.severity"), F.lit("")).alias("severity"),
                     F.coalesce(F.col("r.reason"), F.lit("")).alias("reason")))

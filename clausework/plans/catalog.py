@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions import responses as R
+from clausework.functions.arrays import explode_with_pos
 from clausework.functions import text as T
 from clausework.operators import reports as RP
 from clausework.operators import search as S
@@ -68,9 +69,8 @@ def _n(arr):
 # --------------------------------------------------------------------------
 
 def q_split_paragraphs(spark, sf):
-    return (CP.processed(spark, sf)
-            .select("document_id", F.posexplode(T.split_paragraphs("raw_text")).alias("pos", "paragraph"))
-            .withColumn("pos", F.col("pos").cast("bigint")))
+    return explode_with_pos(CP.processed(spark, sf), ["document_id"], T.split_paragraphs("raw_text"),
+                            "pos", "paragraph")
 
 
 def q_strip_text(spark, sf):
