@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.text import is_supported
-from clausework.sources.tables import load
+from clausework.sources.tables import load, spread
 
 
 def _by_doc_id_mod(doc_id: Column, values: list[str]) -> Column:
@@ -27,7 +27,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: document_id, file_name, uploaded_at (TIMESTAMP_NTZ), raw_text,
     doc_id (the source key, kept for fixture assignment).
     """
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     doc_id = F.col("doc_id")
     body = F.coalesce(F.col("text"), F.lit(""))
     additions = [
