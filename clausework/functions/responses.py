@@ -112,11 +112,14 @@ def response_score(v) -> Column:
                   F.regexp_replace(strip_ws(text), "_", "").try_cast("bigint")))
 
 
-def response_checks(cleaned) -> dict[str, Column]:
-    """Columns describing one cleaned response: parsed variant, strictness,
-    validity, error code and score."""
-    v = F.try_parse_json(cleaned)
-    strict = json_is_strict(cleaned)
+def response_checks(v, strict) -> dict[str, Column]:
+    """Columns describing one cleaned response, given its parsed variant
+    ``v`` (``try_parse_json``) and ``strict`` (``json_is_strict``): validity,
+    error code and score.
+
+    ``v`` should be a column computed once (not the parse expression): every
+    field check below reads it.
+    """
     parsed = v.isNotNull() & F.coalesce(strict, F.lit(False))
     is_object = _vtype(v).startswith("OBJECT<")
     fields_ok = _parties_ok(v) & _items_ok(v, "key_clauses", _CLAUSE_FIELDS) & _items_ok(v, "risks", _RISK_FIELDS)
@@ -127,7 +130,7 @@ def response_checks(cleaned) -> dict[str, Column]:
     error = (F.when(~parsed, F.lit(C.ERR_INVALID_JSON))
              .when(~valid, F.lit(C.ERR_SCHEMA))
              .otherwise(F.lit("")))
-    return {"variant": v, "valid": valid, "error": error, "score": score}
+    return {"valid": valid, "error": error, "score": score}
 
 
 def _items(v, field: str, item_fields: list[str]) -> Column:

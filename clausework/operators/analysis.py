@@ -13,19 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework import constants as C
-from clausework.functions.responses import clean_response, parsed_fields, response_checks
+from clausework.functions.responses import clean_response, json_is_strict, parsed_fields, response_checks
 from clausework.operators.rules import analysis_struct, with_rule_analysis
 
 
 def with_response_checks(df: DataFrame, text_col: str = "response_text") -> DataFrame:
     """Add ``cleaned``, ``resp_valid``, ``resp_error``, ``resp_score`` and the
     parsed variant ``resp_v`` for a response text column."""
-    staged = df.withColumn("cleaned", clean_response(F.col(text_col)))
-    checks = response_checks(F.col("cleaned"))
-    return (staged.withColumn("resp_v", checks["variant"])
-            .withColumn("resp_score", checks["score"])
+    # parse once into columns; every check reads the parsed variant
+    staged = (df.withColumn("cleaned", clean_response(F.col(text_col)))
+              .withColumn("resp_v", F.try_parse_json("cleaned"))
+              .withColumn("_resp_strict", json_is_strict(F.col("cleaned"))))
+    checks = response_checks(F.col("resp_v"), F.col("_resp_strict"))
+    return (staged.withColumn("resp_score", checks["score"])
             .withColumn("resp_valid", F.coalesce(checks["valid"], F.lit(False)))
-            .withColumn("resp_error", checks["error"]))
+            .withColumn("resp_error", checks["error"])
+            .drop("_resp_strict"))
 
 
 def with_analysis(docs: DataFrame, responses: DataFrame | None = None,

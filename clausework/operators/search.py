@@ -144,3 +144,18 @@ def area_counts(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return (grid.join(counts, ["query_id", "match_area"], "left")
             .select("query_id", "query_text", "match_area",
                     F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits")))
+
+
+def batch_search(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries: DataFrame,
+                 path: str, paragraphs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Many queries in one job (J5), with every output of the service's search.
+
+    The hit rows are written once under ``path`` (a shared folder; this cuts
+    lineage so a lost executor re-runs only its own tasks), and the outputs
+    read that copy: ``hits`` (all, U1), ``counts`` (A1, before the cap),
+    ``areas`` (per query and area) and ``top`` (first 50 per query, O2).
+    """
+    all_hits(documents, clauses, risks, queries, paragraphs).write.mode("overwrite").parquet(f"{path}/hits")
+    hits = documents.sparkSession.read.parquet(f"{path}/hits")
+    return {"hits": hits, "counts": result_counts(hits, queries), "areas": area_counts(hits, queries),
+            "top": top_hits(hits)}

@@ -275,7 +275,9 @@ def q_search_result_count(spark, sf):
 
 
 def q_batch_search(spark, sf):
-    return S.area_counts(_hits(spark, sf), CP.search_queries(spark))
+    st = _rules_store(spark, sf)
+    out = S.batch_search(st.documents, st.clauses, st.risks, CP.search_queries(spark), run_dir(spark, "search"))
+    return out["areas"]
 
 
 def q_search_log(spark, sf):
