@@ -1,0 +1,35 @@
+"""Bounded broadcasts for theta joins against parameter tables."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_chunks(small: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
+    """``small`` as broadcastable pieces of about ``max_rows`` rows each.
+
+    The row count is checked first (one small job).  Within the bound the
+    table is broadcast whole; beyond it, it is cut into hash chunks on
+    ``key`` that are each broadcast, so no single broadcast grows with the
+    parameter table.
+    """
+    n = small.count()
+    if n <= max_rows:
+        return [F.broadcast(small)]
+    k = math.ceil(n / max_rows)
+    bucket = F.pmod(F.hash(key), F.lit(k))
+    return [F.broadcast(small.where(bucket == i)) for i in range(k)]
+
+
+def theta_join(rows: DataFrame, chunks: list[DataFrame], cond: Callable[[], Column]) -> DataFrame:
+    """Union of ``rows`` joined to each broadcast chunk on ``cond`` (exact:
+    every pair is tested against exactly one chunk)."""
+    out = None
+    for q in chunks:
+        part = rows.join(q, cond())
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -14,14 +14,13 @@ stream past the broadcast queries in a BroadcastNestedLoopJoin on
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausework import constants as C
 from clausework.functions.arrays import explode_with_pos
+from clausework.operators.broadcast import broadcast_chunks, theta_join
 from clausework.functions.text import prefix, split_paragraphs
 
 # Upper bound of query rows broadcast in one join.
@@ -45,20 +44,7 @@ def query_chunks(queries: DataFrame) -> list[DataFrame]:
     The text is lowered but not trimmed (a one-space query is legal).
     """
     q = queries.select("query_id", "query_text", F.lower("query_text").alias("q"))
-    n = q.count()  # parameter table: counting it is one small job
-    if n <= MAX_BROADCAST_QUERIES:
-        return [F.broadcast(q)]
-    k = math.ceil(n / MAX_BROADCAST_QUERIES)
-    bucket = F.pmod(F.hash("query_id"), F.lit(k))
-    return [F.broadcast(q.where(bucket == i)) for i in range(k)]
-
-
-def _theta(rows: DataFrame, chunks: list[DataFrame], cond_of) -> DataFrame:
-    out = None
-    for q in chunks:
-        part = rows.join(q, cond_of(rows, q))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return broadcast_chunks(q, "query_id", MAX_BROADCAST_QUERIES)
 
 
 def clause_hits(clauses: DataFrame, chunks: list[DataFrame]) -> DataFrame:
@@ -66,7 +52,7 @@ def clause_hits(clauses: DataFrame, chunks: list[DataFrame]) -> DataFrame:
     c = clauses.select("document_id", "pos", "clause_type", "clause_text",
                        F.lower(F.coalesce("clause_type", F.lit(""))).alias("_lt"),
                        F.lower(F.coalesce("clause_text", F.lit(""))).alias("_lx"))
-    hits = _theta(c, chunks, lambda r, q: F.col("_lt").contains(F.col("q")) | F.col("_lx").contains(F.col("q")))
+    hits = theta_join(c, chunks, lambda: F.col("_lt").contains(F.col("q")) | F.col("_lx").contains(F.col("q")))
     return hits.select("query_id", "document_id", "pos",
                        F.lit(C.AREA_CLAUSE).alias("match_area"), F.lit(1).alias("area_rank"),
                        F.col("clause_type").alias("title"), F.col("clause_text").alias("matched_text"),
@@ -84,7 +70,7 @@ def risk_hits(risks: DataFrame, chunks: list[DataFrame]) -> DataFrame:
     """Hit on the joined risk fields, so a match may span two fields."""
     r = risks.select("document_id", "pos", "risk", "severity", "reason",
                      risk_text(F.col("risk"), F.col("severity"), F.col("reason")).alias("_lt"))
-    hits = _theta(r, chunks, lambda rr, q: F.col("_lt").contains(F.col("q")))
+    hits = theta_join(r, chunks, lambda: F.col("_lt").contains(F.col("q")))
     return hits.select("query_id", "document_id", "pos",
                        F.lit(C.AREA_RISK).alias("match_area"), F.lit(2).alias("area_rank"),
                        F.col("risk").alias("title"), F.col("reason").alias("matched_text"),
@@ -94,7 +80,7 @@ def risk_hits(risks: DataFrame, chunks: list[DataFrame]) -> DataFrame:
 def raw_hits(paragraphs: DataFrame, chunks: list[DataFrame]) -> DataFrame:
     """One hit per paragraph containing the query; text cut at 1,200."""
     p = paragraphs.select("document_id", "file_name", "uploaded_at", "pos", "paragraph", "lower_paragraph")
-    hits = _theta(p, chunks, lambda pp, q: F.col("lower_paragraph").contains(F.col("q")))
+    hits = theta_join(p, chunks, lambda: F.col("lower_paragraph").contains(F.col("q")))
     return hits.select("query_id", "document_id", "file_name", "uploaded_at", "pos",
                        F.lit(C.AREA_RAW).alias("match_area"), F.lit(3).alias("area_rank"),
                        F.lit(C.RAW_HIT_TITLE).alias("title"),

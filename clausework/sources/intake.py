@@ -73,13 +73,33 @@ def decode_text(content) -> Column:
     return strip_ws(F.regexp_replace(fixed, "\r\n?", "\n"))
 
 
+# Pieces concatenated per (document, range) before the per-document step.
+ASSEMBLY_RANGE = 1024
+
+
+def _ordered_concat(df: DataFrame, order_cols: list[str], sep: str) -> DataFrame:
+    """Per document, ``text`` values joined by ``sep`` in ``order_cols`` order.
+
+    Two levels: ranges of ASSEMBLY_RANGE pieces are joined first, spread
+    over all reducers, so a document holding a third of all pieces does not
+    gather every row in one task; the last step joins the ordered partial
+    strings (the document's text is one value by definition).
+    """
+    sep_sql = sep.replace("'", "''")
+    order_sql = ", ".join(order_cols)
+    ranged = df.withColumn("_range", F.floor(F.col("_seq") / ASSEMBLY_RANGE))
+    partial = (ranged.groupBy("document_id", "_range")
+               .agg(F.expr(f"listagg(text, '{sep_sql}') WITHIN GROUP (ORDER BY {order_sql})").alias("text")))
+    return (partial.groupBy("document_id")
+            .agg(F.expr(f"listagg(text, '{sep_sql}') WITHIN GROUP (ORDER BY _range)").alias("text")))
+
+
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """Page texts in page order, each after ``\\n--- Page n ---\\n``; stripped."""
     piece = F.concat(F.lit(C.PAGE_HEADER_PREFIX), F.col("page_no").cast("string"),
                      F.lit(C.PAGE_HEADER_SUFFIX), F.coalesce("text", F.lit("")))
-    return (pages.select("document_id", "page_no", piece.alias("piece"))
-            .groupBy("document_id")
-            .agg(F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY page_no)").alias("text"))
+    staged = pages.select("document_id", "page_no", piece.alias("text"), F.col("page_no").alias("_seq"))
+    return (_ordered_concat(staged, ["page_no"], "")
             .select("document_id", strip_ws("text").alias("text")))
 
 
@@ -88,12 +108,12 @@ def assemble_blocks(blocks: DataFrame) -> DataFrame:
     each in order, joined by a blank line (S6)."""
     is_par = F.col("kind") == "paragraph"
     text = F.when(is_par, F.col("text")).otherwise(strip_ws("text"))
-    return (blocks.where(strip_ws(F.coalesce("text", F.lit(""))) != "")
-            .select("document_id", F.when(is_par, 0).otherwise(1).alias("kind_rank"), "ord",
-                    text.alias("text"))
-            .groupBy("document_id")
-            .agg(F.expr(f"listagg(text, '{C.BLOCK_SEPARATOR}') WITHIN GROUP (ORDER BY kind_rank, ord)")
-                 .alias("text")))
+    staged = (blocks.where(strip_ws(F.coalesce("text", F.lit(""))) != "")
+              .select("document_id", F.when(is_par, 0).otherwise(1).alias("kind_rank"), "ord",
+                      text.alias("text")))
+    # paragraphs and cells are ranged separately so ranges follow the block order
+    staged = staged.withColumn("_seq", F.col("kind_rank") * F.lit(1 << 40) + F.col("ord"))
+    return _ordered_concat(staged, ["_seq"], C.BLOCK_SEPARATOR)
 
 
 def extraction_fallback(candidates: DataFrame) -> DataFrame:
