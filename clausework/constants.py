@@ -35,6 +35,12 @@ NO_KEY_ERROR = "NO GROQ_API_KEY FOUND"
 
 SUPPORTED_EXTENSIONS = [".pdf", ".docx", ".doc", ".txt"]
 
+# Python str white space (str.isspace / str.strip): ASCII controls, space,
+# the four separators U+001C..U+001F and the Unicode space characters.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+
 # Paragraph rules.
 MIN_PARAGRAPH_CHARS = 20          # keep chunks strictly longer than this
 CLAUSE_TEXT_CHARS = 1000          # clause text cut

@@ -16,7 +16,6 @@ _WS = r"[\s\x1c-\x1f]"
 # Chunk boundary: a blank line (newline, optional white space, newline), or
 # white space between a full stop and an upper-case ASCII letter.
 PARAGRAPH_SPLIT = rf"(?U)\n{_WS}*\n|(?<=\.){_WS}+(?=[A-Z])"
-STRIP_PATTERN = rf"(?U)^{_WS}+|{_WS}+\z"
 
 
 def _col(c) -> Column:
@@ -24,8 +23,9 @@ def _col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Strip Unicode white space at both ends."""
-    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
+    """Strip Python white space at both ends (E2): ``trim`` with the exact
+    character set (``F.trim`` alone strips spaces only)."""
+    return F.trim(_col(c), F.lit(C.PY_WHITESPACE))
 
 
 def split_paragraphs(c) -> Column:
