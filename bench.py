@@ -9,7 +9,7 @@ Queries:
   rule_analysis           keyword-rule analysis of every processed document
   split_paragraphs        paragraph table of every processed document
   analysis_with_fallback  LLM responses joined and validated, rules fallback
-  store_build             intake analysis persisted + all six store tables written
+  store_build             intake analysis persisted + all seven store tables written
   batch_search            20 queries over the written store: hits written once,
                           counts, per-area counts and top 50 per query
   report_clauses          Clauses sheet from the written store, newest first
@@ -71,7 +71,8 @@ def headline(spark, sf):
 
     def batch_search():
         st = ST.Store.read(spark, store_path)
-        out = S.batch_search(st.documents, st.clauses, st.risks, queries, run_dir(spark, "bench-search"))
+        out = S.batch_search(st.documents, st.clauses, st.risks, queries, run_dir(spark, "bench-search"),
+                             paragraphs=st.paragraphs)
         for name in ("counts", "areas", "top"):
             noop(out[name])
 

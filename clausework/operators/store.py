@@ -20,6 +20,7 @@ from clausework.functions.arrays import explode_with_pos
 from clausework.functions.text import coerce_score, safe_name
 from clausework.operators.analysis import with_analysis
 from clausework.operators.rules import empty_analysis
+from clausework.operators.search import paragraph_table
 from clausework.sources.corpus import with_status
 
 DOCUMENT_COLUMNS = ["document_id", "file_name", "document_type", "effective_date", "expiry_date",
@@ -55,33 +56,40 @@ def analyse_files(files: DataFrame, responses: DataFrame | None = None,
             .drop("_an_text", "supported"))
 
 
+TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
+
+
 @dataclass
 class Store:
-    """The four stored tables plus the upload log and per-file outcomes."""
+    """The four stored tables, the upload log, per-file outcomes, and the
+    paragraph table of the stored documents (split once at intake, read by
+    every raw-text search)."""
     documents: DataFrame
     parties: DataFrame
     clauses: DataFrame
     risks: DataFrame
     upload_log: DataFrame
     outcomes: DataFrame
+    paragraphs: DataFrame
 
     @staticmethod
     def from_analysed(analysed: DataFrame) -> "Store":
-        return Store(documents_table(analysed), parties_table(analysed), clauses_table(analysed),
-                     risks_table(analysed), upload_log_table(analysed), outcomes_table(analysed))
+        documents = documents_table(analysed)
+        return Store(documents, parties_table(analysed), clauses_table(analysed),
+                     risks_table(analysed), upload_log_table(analysed), outcomes_table(analysed),
+                     paragraph_table(documents))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Write every table under ``path`` (a shared folder), one job each."""
-        for name in ["documents", "parties", "clauses", "risks", "upload_log", "outcomes"]:
+        for name in TABLES:
             df = getattr(self, name)
-            if "document_id" in df.columns and name != "outcomes":
+            if name != "outcomes":
                 df = df.sortWithinPartitions("document_id")  # tight min/max stats for id lookups
             df.write.mode(mode).parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Store":
-        r = lambda n: spark.read.parquet(f"{path}/{n}")
-        return Store(r("documents"), r("parties"), r("clauses"), r("risks"), r("upload_log"), r("outcomes"))
+        return Store(*[spark.read.parquet(f"{path}/{n}") for n in TABLES])
 
 
 def persist_analysed(analysed: DataFrame, path: str) -> DataFrame:

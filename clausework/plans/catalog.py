@@ -50,7 +50,7 @@ def _rule_analysed(spark, sf) -> DataFrame:
 
 def _hits(spark, sf) -> DataFrame:
     st = _rules_store(spark, sf)
-    return S.all_hits(st.documents, st.clauses, st.risks, CP.search_queries(spark))
+    return S.all_hits(st.documents, st.clauses, st.risks, CP.search_queries(spark), st.paragraphs)
 
 
 def _joined(arr, field: str | None = None):
@@ -258,7 +258,7 @@ def q_search_risks(spark, sf):
 
 def q_search_raw_text(spark, sf):
     st = _rules_store(spark, sf)
-    return S.raw_hits(S.paragraph_table(st.documents), _chunks(spark)).select(
+    return S.raw_hits(st.paragraphs, _chunks(spark)).select(
         "query_id", "document_id", "pos", "title", "matched_text")
 
 
@@ -276,7 +276,8 @@ def q_search_result_count(spark, sf):
 
 def q_batch_search(spark, sf):
     st = _rules_store(spark, sf)
-    out = S.batch_search(st.documents, st.clauses, st.risks, CP.search_queries(spark), run_dir(spark, "search"))
+    out = S.batch_search(st.documents, st.clauses, st.risks, CP.search_queries(spark), run_dir(spark, "search"),
+                         paragraphs=st.paragraphs)
     return out["areas"]
 
 

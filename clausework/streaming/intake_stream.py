@@ -26,7 +26,7 @@ from clausework.sources import corpus as CP
 from clausework.sources import intake as IN
 
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-STORE_TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes"]
+STORE_TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
 
 
 def _fs_uri(path: str) -> str:
