@@ -9,6 +9,9 @@ rejected responses fall back to rules with a stable error code.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,10 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
     if responses is None:
         return with_rule_analysis(docs, text_col=text_col, ai_error=C.NO_KEY_ERROR)
 
-    joined = docs.join(responses.select("document_id", "response_text"), "document_id", "left")
+    marked = responses.select("document_id", "response_text", F.lit(True).alias("_resp_row"))
+    joined = docs.join(marked, "document_id", "left")
     checked = with_response_checks(joined)
+    has_row = F.col("_resp_row").isNotNull()
     has_resp = F.col("response_text").isNotNull()
     use_llm = has_resp & F.col("resp_valid")
     # rules only need the text where the response is not used
@@ -53,11 +58,40 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
         llm["document_type"], llm["parties"], llm["effective_date"], llm["expiry_date"],
         llm["contract_value"], llm["governing_law"], llm["key_clauses"], llm["risks"],
         llm["risk_score"], F.lit(C.LLM_MODE), F.lit(""))
-    error = F.when(~has_resp, F.lit(C.NO_KEY_ERROR)).otherwise(F.col("resp_error"))
+    error = (F.when(~has_row, F.lit(C.NO_KEY_ERROR))
+             .when(~has_resp, F.lit(C.ERR_CALL_FAILED))
+             .otherwise(F.col("resp_error")))
     fallback = F.col("_rules").withField("ai_error", error)
     return (ruled.withColumn("analysis", F.when(use_llm, llm_analysis).otherwise(fallback))
             .drop("_fb_text", "_rules", "cleaned", "resp_v", "resp_score", "resp_valid", "resp_error",
-                  "response_text"))
+                  "response_text", "_resp_row"))
+
+
+def request_responses(prompts: DataFrame, ask: Callable[[str], str | None], path: str) -> DataFrame:
+    """Fill the responses table by calling ``ask(prompt)`` inside the tasks.
+
+    ``prompts`` is ``(document_id, prompt)`` (see ``analysis_prompts``);
+    ``ask`` is any Python callable (e.g. a client for a hosted model).  Calls
+    run per Arrow batch in ``mapInPandas``, spread over the executors; a call
+    that raises gives a NULL response, which falls back to rules with
+    ``CALL_FAILED``.  Model answers are not deterministic and a retried task
+    would ask again, so the table is written once under ``path`` (a shared
+    folder) and read back before any use.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for prompt in pdf["prompt"]:
+                try:
+                    texts.append(ask(prompt))
+                except Exception:  # noqa: BLE001 - any failure falls back to rules
+                    texts.append(None)
+            yield pd.DataFrame({"document_id": pdf["document_id"], "response_text": texts})
+
+    (prompts.select("document_id", "prompt")
+     .mapInPandas(run, "document_id string, response_text string")
+     .write.mode("overwrite").parquet(path))
+    return prompts.sparkSession.read.parquet(path)
 
 
 def normalized(analysed: DataFrame, gcs_path=None) -> DataFrame:

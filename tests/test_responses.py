@@ -58,3 +58,27 @@ def test_documented_deviation_nan_and_duplicate_keys(spark, text):
     # a response falls back to rules (documented in README).
     json.loads(text)
     assert checked(spark, [text])[0].resp_valid is False
+
+
+def test_request_responses_hook(spark):
+    from clausework.functions.responses import analysis_prompt
+    from clausework.operators.analysis import request_responses, with_analysis
+    from clausework.session import run_dir
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([("a", "Termination applies."), ("b", "Payment due."), ("c", "Other text.")],
+                                 "document_id string, raw_text string")
+    prompts = docs.select("document_id", analysis_prompt(F.col("raw_text")).alias("prompt"))
+
+    def ask(prompt):  # stands in for a model client
+        if "Termination" in prompt:
+            return '{"document_type": "nda", "risk_score": 70}'
+        if "Payment" in prompt:
+            raise RuntimeError("timeout")
+        return "no json here"
+
+    resp = request_responses(prompts, ask, run_dir(spark, "test-responses"))
+    out = {r.document_id: r.analysis for r in with_analysis(docs, resp).collect()}
+    assert out["a"].mode == C.LLM_MODE and out["a"].risk_score == 70
+    assert out["b"].mode == C.RULES_MODE and out["b"].ai_error == C.ERR_CALL_FAILED
+    assert out["c"].ai_error == C.ERR_INVALID_JSON

@@ -74,3 +74,14 @@ def test_search_log_appends(spark, sf):
     log = spark.read.parquet(path)
     assert log.count() == 18  # the repeated text is logged once per asking
     assert log.where(F.col("query_text") == "zzzz").select("result_count").distinct().first()[0] == 0
+
+
+def test_histories_newest_first(spark, sf):
+    st = ST.Store.from_analysed(ST.analyse_files(CP.corpus(spark, sf)))
+    hist = ST.upload_history(st.upload_log).collect()
+    assert len(hist) == 134 and len(hist[0]) == 8
+    times = [r.uploaded_at for r in hist]
+    assert times == sorted(times, reverse=True)
+    searches = ST.search_history(CP.search_log_input(spark, sf)).collect()
+    assert [r.searched_at for r in searches] == sorted((r.searched_at for r in searches), reverse=True)
+    assert searches[0].__fields__ == ["query_text", "result_count", "searched_at"]
