@@ -1,9 +1,10 @@
 """Report tables, outcome cards and log appends.
 
 The five report sheets are DataFrames ordered like the service's workbook:
-documents newest first, children in stored order.  Child sheets carry the
-parent's file name through an inner join on ``document_id`` that takes
-only the parent's key columns (raw text never enters the shuffle).
+documents newest first, children in stored order.  Child rows written by
+this package carry their parent's file name and upload time, so the child
+sheets need no join; for child tables without them, an inner join on
+``document_id`` takes only the parent's key columns.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def report_documents(documents: DataFrame) -> DataFrame:
 
 def report_children(children: DataFrame, documents: DataFrame, fields: list[str]) -> DataFrame:
     """Parties / Clauses / Risks sheet: ``document_id, file_name, <fields>``."""
-    meta = documents.select("document_id", "file_name", "uploaded_at")
-    return (children.join(meta, "document_id", "inner")
+    from clausework.operators.store import with_parent_keys
+    return (with_parent_keys(children, documents)
             .orderBy(*_newest_first(), F.col("pos"))
             .select("document_id", "file_name", *fields))
 

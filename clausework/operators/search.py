@@ -47,13 +47,17 @@ def query_chunks(queries: DataFrame) -> list[DataFrame]:
     return broadcast_chunks(q, "query_id", MAX_BROADCAST_QUERIES)
 
 
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in ("file_name", "uploaded_at") if c in df.columns]
+
+
 def clause_hits(clauses: DataFrame, chunks: list[DataFrame]) -> DataFrame:
     """Hit when the query is a substring of the lowered type or text."""
-    c = clauses.select("document_id", "pos", "clause_type", "clause_text",
+    c = clauses.select("document_id", "pos", "clause_type", "clause_text", *_carried(clauses),
                        F.lower(F.coalesce("clause_type", F.lit(""))).alias("_lt"),
                        F.lower(F.coalesce("clause_text", F.lit(""))).alias("_lx"))
     hits = theta_join(c, chunks, lambda: F.col("_lt").contains(F.col("q")) | F.col("_lx").contains(F.col("q")))
-    return hits.select("query_id", "document_id", "pos",
+    return hits.select("query_id", "document_id", *_carried(clauses), "pos",
                        F.lit(C.AREA_CLAUSE).alias("match_area"), F.lit(1).alias("area_rank"),
                        F.col("clause_type").alias("title"), F.col("clause_text").alias("matched_text"),
                        F.lit(None).cast("string").alias("severity"))
@@ -68,10 +72,10 @@ def risk_text(risk, severity, reason):
 
 def risk_hits(risks: DataFrame, chunks: list[DataFrame]) -> DataFrame:
     """Hit on the joined risk fields, so a match may span two fields."""
-    r = risks.select("document_id", "pos", "risk", "severity", "reason",
+    r = risks.select("document_id", "pos", "risk", "severity", "reason", *_carried(risks),
                      risk_text(F.col("risk"), F.col("severity"), F.col("reason")).alias("_lt"))
     hits = theta_join(r, chunks, lambda: F.col("_lt").contains(F.col("q")))
-    return hits.select("query_id", "document_id", "pos",
+    return hits.select("query_id", "document_id", *_carried(risks), "pos",
                        F.lit(C.AREA_RISK).alias("match_area"), F.lit(2).alias("area_rank"),
                        F.col("risk").alias("title"), F.col("reason").alias("matched_text"),
                        F.col("severity"))
@@ -92,12 +96,12 @@ def all_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries
              paragraphs: DataFrame | None = None) -> DataFrame:
     """Bag union of clause, risk and raw-text hits (U1), with the document's
     name and upload time for ordering."""
+    from clausework.operators.store import with_parent_keys
     chunks = query_chunks(queries)
     paragraphs = paragraph_table(documents) if paragraphs is None else paragraphs
-    meta = documents.select("document_id", "file_name", "uploaded_at")
-    # clause/risk hits are few; joining them to the parent key columns lets
-    # AQE broadcast the hit side at runtime
-    child = clause_hits(clauses, chunks).unionByName(risk_hits(risks, chunks)).join(meta, "document_id")
+    # child rows carry file name and upload time: no join back to documents
+    child = clause_hits(with_parent_keys(clauses, documents), chunks).unionByName(
+        risk_hits(with_parent_keys(risks, documents), chunks))
     return child.select(*HIT_COLUMNS).unionByName(raw_hits(paragraphs, chunks).select(*HIT_COLUMNS))
 
 

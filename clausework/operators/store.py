@@ -23,6 +23,15 @@ from clausework.operators.rules import empty_analysis
 from clausework.operators.search import paragraph_table
 from clausework.sources.corpus import with_status
 
+# Columns of the child tables as the service stores them (plus our ``pos``).
+CHILD_COLUMNS = {
+    "parties": ["document_id", "pos", "party_name"],
+    "clauses": ["document_id", "pos", "clause_type", "clause_text"],
+    "risks": ["document_id", "pos", "risk", "severity", "reason"],
+}
+# Parent columns every child row also carries (copied from the same analysed
+# row at write time), so search and reports need no join back to documents.
+CARRIED = ["file_name", "uploaded_at"]
 DOCUMENT_COLUMNS = ["document_id", "file_name", "document_type", "effective_date", "expiry_date",
                     "contract_value", "governing_law", "risk_score", "mode", "gcs_path", "raw_text"]
 
@@ -117,27 +126,33 @@ def documents_table(analysed: DataFrame) -> DataFrame:
         "raw_text", "uploaded_at")
 
 
+def child_view(children: DataFrame, name: str) -> DataFrame:
+    """A child table with exactly the service's columns (carried ones dropped)."""
+    return children.select(*CHILD_COLUMNS[name])
+
+
 def parties_table(analysed: DataFrame) -> DataFrame:
     """One row per party (K2); an empty list gives no rows."""
-    return explode_with_pos(_processed(analysed), ["document_id"], F.col("analysis.parties"),
-                            "pos", "party_name")
+    return explode_with_pos(_processed(analysed), ["document_id", *CARRIED], F.col("analysis.parties"),
+                            "pos", "party_name").select(*CHILD_COLUMNS["parties"], *CARRIED)
 
 
 def clauses_table(analysed: DataFrame) -> DataFrame:
     """One row per clause (K3); missing fields are ''."""
-    return (explode_with_pos(_processed(analysed), ["document_id"], F.col("analysis.key_clauses"), "pos", "c")
+    return (explode_with_pos(_processed(analysed), ["document_id", *CARRIED], F.col("analysis.key_clauses"),
+                             "pos", "c")
             .select("document_id", "pos",
                     F.coalesce(F.col("c.clause_type"), F.lit("")).alias("clause_type"),
-                    F.coalesce(F.col("c.clause_text"), F.lit("")).alias("clause_text")))
+                    F.coalesce(F.col("c.clause_text"), F.lit("")).alias("clause_text"), *CARRIED))
 
 
 def risks_table(analysed: DataFrame) -> DataFrame:
     """One row per risk (K4); missing fields are ''."""
-    return (explode_with_pos(_processed(analysed), ["document_id"], F.col("analysis.risks"), "pos", "r")
+    return (explode_with_pos(_processed(analysed), ["document_id", *CARRIED], F.col("analysis.risks"), "pos", "r")
             .select("document_id", "pos",
                     F.coalesce(F.col("r.risk"), F.lit("")).alias("risk"),
                     F.coalesce(F.col("r.severity"), F.lit("")).alias("severity"),
-                    F.coalesce(F.col("r.reason"), F.lit("")).alias("reason")))
+                    F.coalesce(F.col("r.reason"), F.lit("")).alias("reason"), *CARRIED))
 
 
 def upload_log_table(analysed: DataFrame) -> DataFrame:
@@ -190,6 +205,14 @@ def lookup_children(children: DataFrame, document_ids) -> DataFrame:
     return children.join(document_ids.select("document_id"), "document_id", "left_semi")
 
 
+def with_parent_keys(children: DataFrame, documents: DataFrame) -> DataFrame:
+    """Children with their document's name and upload time: the carried
+    columns when the child table has them (no shuffle), else the join."""
+    if all(c in children.columns for c in CARRIED):
+        return children
+    return with_document(children, documents)
+
+
 def with_document(children: DataFrame, documents: DataFrame) -> DataFrame:
     """Children with their document's name and upload time.
 
@@ -198,7 +221,7 @@ def with_document(children: DataFrame, documents: DataFrame) -> DataFrame:
     stays out of the shuffle).
     """
     meta = documents.select("document_id", "file_name", "uploaded_at")
-    return children.join(meta, "document_id", "inner")
+    return children.drop(*CARRIED).join(meta, "document_id", "inner")
 
 
 def search_history(search_log: DataFrame) -> DataFrame:

@@ -105,7 +105,8 @@ def q_clause_title(spark, sf):
 
 
 def q_rule_clauses(spark, sf):
-    return ST.clauses_table(_rule_analysed(spark, sf).withColumn("status", F.lit(C.STATUS_PROCESSED)))
+    return ST.child_view(ST.clauses_table(_rule_analysed(spark, sf).withColumn("status", F.lit(C.STATUS_PROCESSED))),
+                         "clauses")
 
 
 # --------------------------------------------------------------------------
@@ -113,7 +114,8 @@ def q_rule_clauses(spark, sf):
 # --------------------------------------------------------------------------
 
 def q_rule_risks(spark, sf):
-    return ST.risks_table(_rule_analysed(spark, sf).withColumn("status", F.lit(C.STATUS_PROCESSED)))
+    return ST.child_view(ST.risks_table(_rule_analysed(spark, sf).withColumn("status", F.lit(C.STATUS_PROCESSED))),
+                         "risks")
 
 
 def q_risk_score(spark, sf):
@@ -175,15 +177,15 @@ def q_write_documents(spark, sf):
 
 
 def q_write_parties(spark, sf):
-    return _written(spark, sf, "parties")
+    return ST.child_view(_written(spark, sf, "parties"), "parties")
 
 
 def q_write_clauses(spark, sf):
-    return _written(spark, sf, "clauses")
+    return ST.child_view(_written(spark, sf, "clauses"), "clauses")
 
 
 def q_write_risks(spark, sf):
-    return _written(spark, sf, "risks")
+    return ST.child_view(_written(spark, sf, "risks"), "risks")
 
 
 def q_documents_newest_first(spark, sf):
@@ -196,17 +198,17 @@ def _ids(store):
 
 def q_document_clauses(spark, sf):
     st = _rules_store(spark, sf)
-    return ST.lookup_children(st.clauses, _ids(st))
+    return ST.child_view(ST.lookup_children(st.clauses, _ids(st)), "clauses")
 
 
 def q_document_risks(spark, sf):
     st = _rules_store(spark, sf)
-    return ST.lookup_children(st.risks, _ids(st))
+    return ST.child_view(ST.lookup_children(st.risks, _ids(st)), "risks")
 
 
 def q_document_parties(spark, sf):
     st = _llm_store(spark, sf)
-    return ST.lookup_children(st.parties, _ids(st))
+    return ST.child_view(ST.lookup_children(st.parties, _ids(st)), "parties")
 
 
 def q_documents_clauses(spark, sf):
