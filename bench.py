@@ -10,8 +10,8 @@ Queries:
   split_paragraphs        paragraph table of every processed document
   analysis_with_fallback  LLM responses joined and validated, rules fallback
   store_build             intake analysis persisted + all seven store tables written
-  batch_search            20 queries over the written store: hits written once,
-                          counts, per-area counts and top 50 per query
+  batch_search            20 queries over the written store: per-area counts
+                          written once, totals, and top 50 per query
   report_clauses          Clauses sheet from the written store, newest first
 """
 

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.text import best_paragraph, lower_all, split_paragraphs
-from clausework.operators.broadcast import broadcast_chunks, theta_join
+from clausework.operators.matching import rows_containing, with_pattern_columns
 
 CLAUSE_TYPE = "struct<clause_type:string,clause_text:string>"
 RISK_TYPE = "struct<risk:string,severity:string,reason:string>"
-# Keyword tables are parameters; one broadcast holds at most this many.
-MAX_BROADCAST_KEYWORDS = 100000
 ANALYSIS_FIELDS = ["document_type", "parties", "effective_date", "expiry_date", "contract_value",
                    "governing_law", "key_clauses", "risks", "risk_score", "mode", "ai_error"]
 
@@ -105,12 +103,12 @@ def keyword_table(spark, keywords: list[str] | None = None) -> DataFrame:
 
 
 def keyword_matches(docs: DataFrame, keywords: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """Theta join documents x keywords on substring.
+    """Documents x keywords on substring (J4), without a nested-loop join.
 
-    The keyword table is a parameter: it is broadcast behind a row-count
-    check (hash chunks beyond the bound) and the documents stream past it
-    (BroadcastNestedLoopJoin); the document text is lowered once before the join.
+    The keyword table ``(k_ord, keyword)`` is a parameter; the document text
+    is lowered once and every keyword it contains is found in one pass
+    (``operators.matching``).  The keyword text is joined back by ``k_ord``.
     """
     lowered = docs.select("document_id", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    chunks = broadcast_chunks(keywords, "keyword", MAX_BROADCAST_KEYWORDS)
-    return theta_join(lowered, chunks, lambda: F.col("_lt").contains(F.col("keyword"))).drop("_lt")
+    found = rows_containing(lowered, ["_lt"], keywords, "keyword", "k_ord").drop("_lt")
+    return with_pattern_columns(found, keywords, "k_ord", ["keyword"])

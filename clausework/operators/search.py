@@ -1,10 +1,10 @@
 """Substring search over clauses, risks and raw-text paragraphs.
 
-Many queries run in one job.  The query table is a parameter: it is
-broadcast behind a row-count check, and above the bound it is cut into
-hash chunks that are each broadcast (the union stays exact).  Documents
-stream past the broadcast queries in a BroadcastNestedLoopJoin on
-``contains``; nothing is grouped by query before the hit rows exist.
+Many queries run in one job.  The query table is a parameter; matching
+goes through ``operators.matching.rows_containing``, which never forms a
+(row, query) pair that does not match: a few queries become literal
+``contains`` columns in one projection, many are found by one Aho-Corasick
+pass per text.  Nothing is grouped by query before the hit rows exist.
 
 * counts (A1) are partial aggregates before the shuffle;
 * the top 50 per query (O2) use ``row_number() <= 50``, which Spark
@@ -20,12 +20,9 @@ from pyspark.sql.window import Window
 
 from clausework import constants as C
 from clausework.functions.arrays import explode_with_pos
-from clausework.operators.broadcast import broadcast_chunks, theta_join
+from clausework.operators.matching import Patterns, rows_containing
 from clausework.functions.text import prefix, split_paragraphs
 
-# Upper bound of query rows broadcast in one join.
-MAX_BROADCAST_QUERIES = 20000
-
 HIT_COLUMNS = ["query_id", "document_id", "file_name", "uploaded_at", "match_area", "area_rank",
                "pos", "title", "matched_text", "severity"]
 
@@ -38,25 +35,22 @@ def paragraph_table(documents: DataFrame) -> DataFrame:
             .withColumn("lower_paragraph", F.lower("paragraph")))
 
 
-def query_chunks(queries: DataFrame) -> list[DataFrame]:
-    """The query table as broadcastable pieces of at most ~MAX_BROADCAST_QUERIES rows.
-
-    The text is lowered but not trimmed (a one-space query is legal).
-    """
-    q = queries.select("query_id", "query_text", F.lower("query_text").alias("q"))
-    return broadcast_chunks(q, "query_id", MAX_BROADCAST_QUERIES)
+def query_patterns(queries: DataFrame) -> Patterns:
+    """The queries lowered but not trimmed (a one-space query is legal; an
+    empty one is not, as in the service), resolved once for all areas."""
+    return Patterns(queries.select("query_id", F.lower("query_text").alias("q")), "q", "query_id")
 
 
 def _carried(df: DataFrame) -> list[str]:
     return [c for c in ("file_name", "uploaded_at") if c in df.columns]
 
 
-def clause_hits(clauses: DataFrame, chunks: list[DataFrame]) -> DataFrame:
+def clause_hits(clauses: DataFrame, patterns: Patterns) -> DataFrame:
     """Hit when the query is a substring of the lowered type or text."""
     c = clauses.select("document_id", "pos", "clause_type", "clause_text", *_carried(clauses),
                        F.lower(F.coalesce("clause_type", F.lit(""))).alias("_lt"),
                        F.lower(F.coalesce("clause_text", F.lit(""))).alias("_lx"))
-    hits = theta_join(c, chunks, lambda: F.col("_lt").contains(F.col("q")) | F.col("_lx").contains(F.col("q")))
+    hits = rows_containing(c, ["_lt", "_lx"], patterns)
     return hits.select("query_id", "document_id", *_carried(clauses), "pos",
                        F.lit(C.AREA_CLAUSE).alias("match_area"), F.lit(1).alias("area_rank"),
                        F.col("clause_type").alias("title"), F.col("clause_text").alias("matched_text"),
@@ -70,25 +64,26 @@ def risk_text(risk, severity, reason):
                                F.coalesce(reason, none)))
 
 
-def risk_hits(risks: DataFrame, chunks: list[DataFrame]) -> DataFrame:
+def risk_hits(risks: DataFrame, patterns: Patterns) -> DataFrame:
     """Hit on the joined risk fields, so a match may span two fields."""
     r = risks.select("document_id", "pos", "risk", "severity", "reason", *_carried(risks),
                      risk_text(F.col("risk"), F.col("severity"), F.col("reason")).alias("_lt"))
-    hits = theta_join(r, chunks, lambda: F.col("_lt").contains(F.col("q")))
+    hits = rows_containing(r, ["_lt"], patterns)
     return hits.select("query_id", "document_id", *_carried(risks), "pos",
                        F.lit(C.AREA_RISK).alias("match_area"), F.lit(2).alias("area_rank"),
                        F.col("risk").alias("title"), F.col("reason").alias("matched_text"),
                        F.col("severity"))
 
 
-def raw_hits(paragraphs: DataFrame, chunks: list[DataFrame]) -> DataFrame:
+def raw_hits(paragraphs: DataFrame, patterns: Patterns) -> DataFrame:
     """One hit per paragraph containing the query; text cut at 1,200."""
-    p = paragraphs.select("document_id", "file_name", "uploaded_at", "pos", "paragraph", "lower_paragraph")
-    hits = theta_join(p, chunks, lambda: F.col("lower_paragraph").contains(F.col("q")))
+    # the shown text is cut before matching, so only the cut travels on
+    p = paragraphs.select("document_id", "file_name", "uploaded_at", "pos", "lower_paragraph",
+                          prefix(F.col("paragraph"), C.SEARCH_TEXT_CHARS).alias("matched_text"))
+    hits = rows_containing(p, ["lower_paragraph"], patterns)
     return hits.select("query_id", "document_id", "file_name", "uploaded_at", "pos",
                        F.lit(C.AREA_RAW).alias("match_area"), F.lit(3).alias("area_rank"),
-                       F.lit(C.RAW_HIT_TITLE).alias("title"),
-                       prefix(F.col("paragraph"), C.SEARCH_TEXT_CHARS).alias("matched_text"),
+                       F.lit(C.RAW_HIT_TITLE).alias("title"), "matched_text",
                        F.lit(None).cast("string").alias("severity"))
 
 
@@ -97,12 +92,12 @@ def all_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries
     """Bag union of clause, risk and raw-text hits (U1), with the document's
     name and upload time for ordering."""
     from clausework.operators.store import with_parent_keys
-    chunks = query_chunks(queries)
+    patterns = query_patterns(queries)
     paragraphs = paragraph_table(documents) if paragraphs is None else paragraphs
     # child rows carry file name and upload time: no join back to documents
-    child = clause_hits(with_parent_keys(clauses, documents), chunks).unionByName(
-        risk_hits(with_parent_keys(risks, documents), chunks))
-    return child.select(*HIT_COLUMNS).unionByName(raw_hits(paragraphs, chunks).select(*HIT_COLUMNS))
+    child = clause_hits(with_parent_keys(clauses, documents), patterns).unionByName(
+        risk_hits(with_parent_keys(risks, documents), patterns))
+    return child.select(*HIT_COLUMNS).unionByName(raw_hits(paragraphs, patterns).select(*HIT_COLUMNS))
 
 
 def hit_order():
@@ -140,12 +135,18 @@ def batch_search(documents: DataFrame, clauses: DataFrame, risks: DataFrame, que
                  path: str, paragraphs: DataFrame | None = None) -> dict[str, DataFrame]:
     """Many queries in one job (J5), with every output of the service's search.
 
-    The hit rows are written once under ``path`` (a shared folder; this cuts
-    lineage so a lost executor re-runs only its own tasks), and the outputs
-    read that copy: ``hits`` (all, U1), ``counts`` (A1, before the cap),
-    ``areas`` (per query and area) and ``top`` (first 50 per query, O2).
+    The hit rows themselves are never materialised: matching is a narrow
+    pass over the stored tables, cheaper to run again than to write.  The
+    per-query, per-area counts (a partial aggregate, at most 3 rows per
+    query) are written once under ``path`` (a shared folder), and the
+    totals are derived from that copy, so counts and areas agree and cost
+    one pass.  Outputs: ``hits`` (all, U1, lazy), ``areas``, ``counts``
+    (A1, before the cap) and ``top`` (first 50 per query, O2: a second
+    pass, pruned per partition before its exchange).
     """
-    all_hits(documents, clauses, risks, queries, paragraphs).write.mode("overwrite").parquet(f"{path}/hits")
-    hits = documents.sparkSession.read.parquet(f"{path}/hits")
-    return {"hits": hits, "counts": result_counts(hits, queries), "areas": area_counts(hits, queries),
-            "top": top_hits(hits)}
+    hits = all_hits(documents, clauses, risks, queries, paragraphs)
+    area_counts(hits, queries).write.mode("overwrite").parquet(f"{path}/areas")
+    areas = documents.sparkSession.read.parquet(f"{path}/areas")
+    counts = (areas.groupBy("query_id", "query_text")
+              .agg(F.sum("hits").cast("bigint").alias("result_count")))
+    return {"hits": hits, "counts": counts, "areas": areas, "top": top_hits(hits)}

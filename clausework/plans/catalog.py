@@ -242,25 +242,25 @@ def q_coerce_score(spark, sf):
 # step 4: search
 # --------------------------------------------------------------------------
 
-def _chunks(spark):
-    return S.query_chunks(CP.search_queries(spark))
+def _patterns(spark):
+    return S.query_patterns(CP.search_queries(spark))
 
 
 def q_search_clauses(spark, sf):
     st = _rules_store(spark, sf)
-    return S.clause_hits(st.clauses, _chunks(spark)).select("query_id", "document_id", "pos", "title",
+    return S.clause_hits(st.clauses, _patterns(spark)).select("query_id", "document_id", "pos", "title",
                                                           "matched_text")
 
 
 def q_search_risks(spark, sf):
     st = _rules_store(spark, sf)
-    return S.risk_hits(st.risks, _chunks(spark)).select("query_id", "document_id", "pos", "title",
+    return S.risk_hits(st.risks, _patterns(spark)).select("query_id", "document_id", "pos", "title",
                                                       "matched_text", "severity")
 
 
 def q_search_raw_text(spark, sf):
     st = _rules_store(spark, sf)
-    return S.raw_hits(st.paragraphs, _chunks(spark)).select(
+    return S.raw_hits(st.paragraphs, _patterns(spark)).select(
         "query_id", "document_id", "pos", "title", "matched_text")
 
 
