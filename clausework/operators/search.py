@@ -41,6 +41,12 @@ def query_patterns(queries: DataFrame) -> Patterns:
     return Patterns(queries.select("query_id", F.lower("query_text").alias("q")), "q", "query_id")
 
 
+def text_patterns(queries: DataFrame) -> Patterns:
+    """Each distinct lowered query text once, keyed by itself: a text asked
+    by a third of a large query log is matched, counted and ranked once."""
+    return Patterns(queries.select(F.lower("query_text").alias("q")).distinct(), "q", "q")
+
+
 def _carried(df: DataFrame) -> list[str]:
     return [c for c in ("file_name", "uploaded_at") if c in df.columns]
 
@@ -51,7 +57,7 @@ def clause_hits(clauses: DataFrame, patterns: Patterns) -> DataFrame:
                        F.lower(F.coalesce("clause_type", F.lit(""))).alias("_lt"),
                        F.lower(F.coalesce("clause_text", F.lit(""))).alias("_lx"))
     hits = rows_containing(c, ["_lt", "_lx"], patterns)
-    return hits.select("query_id", "document_id", *_carried(clauses), "pos",
+    return hits.select(patterns.key_col, "document_id", *_carried(clauses), "pos",
                        F.lit(C.AREA_CLAUSE).alias("match_area"), F.lit(1).alias("area_rank"),
                        F.col("clause_type").alias("title"), F.col("clause_text").alias("matched_text"),
                        F.lit(None).cast("string").alias("severity"))
@@ -69,7 +75,7 @@ def risk_hits(risks: DataFrame, patterns: Patterns) -> DataFrame:
     r = risks.select("document_id", "pos", "risk", "severity", "reason", *_carried(risks),
                      risk_text(F.col("risk"), F.col("severity"), F.col("reason")).alias("_lt"))
     hits = rows_containing(r, ["_lt"], patterns)
-    return hits.select("query_id", "document_id", *_carried(risks), "pos",
+    return hits.select(patterns.key_col, "document_id", *_carried(risks), "pos",
                        F.lit(C.AREA_RISK).alias("match_area"), F.lit(2).alias("area_rank"),
                        F.col("risk").alias("title"), F.col("reason").alias("matched_text"),
                        F.col("severity"))
@@ -81,23 +87,29 @@ def raw_hits(paragraphs: DataFrame, patterns: Patterns) -> DataFrame:
     p = paragraphs.select("document_id", "file_name", "uploaded_at", "pos", "lower_paragraph",
                           prefix(F.col("paragraph"), C.SEARCH_TEXT_CHARS).alias("matched_text"))
     hits = rows_containing(p, ["lower_paragraph"], patterns)
-    return hits.select("query_id", "document_id", "file_name", "uploaded_at", "pos",
+    return hits.select(patterns.key_col, "document_id", "file_name", "uploaded_at", "pos",
                        F.lit(C.AREA_RAW).alias("match_area"), F.lit(3).alias("area_rank"),
                        F.lit(C.RAW_HIT_TITLE).alias("title"), "matched_text",
                        F.lit(None).cast("string").alias("severity"))
 
 
-def all_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries: DataFrame,
-             paragraphs: DataFrame | None = None) -> DataFrame:
-    """Bag union of clause, risk and raw-text hits (U1), with the document's
-    name and upload time for ordering."""
+def area_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, patterns: Patterns,
+              paragraphs: DataFrame | None = None) -> DataFrame:
+    """Bag union of clause, risk and raw-text hits (U1) keyed by the
+    pattern key, with the document's name and upload time for ordering."""
     from clausework.operators.store import with_parent_keys
-    patterns = query_patterns(queries)
     paragraphs = paragraph_table(documents) if paragraphs is None else paragraphs
+    cols = [patterns.key_col, *HIT_COLUMNS[1:]]
     # child rows carry file name and upload time: no join back to documents
     child = clause_hits(with_parent_keys(clauses, documents), patterns).unionByName(
         risk_hits(with_parent_keys(risks, documents), patterns))
-    return child.select(*HIT_COLUMNS).unionByName(raw_hits(paragraphs, patterns).select(*HIT_COLUMNS))
+    return child.select(*cols).unionByName(raw_hits(paragraphs, patterns).select(*cols))
+
+
+def all_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries: DataFrame,
+             paragraphs: DataFrame | None = None) -> DataFrame:
+    """Every hit of every query (U1), keyed by ``query_id``."""
+    return area_hits(documents, clauses, risks, query_patterns(queries), paragraphs)
 
 
 def hit_order():
@@ -113,20 +125,28 @@ def result_counts(hits: DataFrame, queries: DataFrame) -> DataFrame:
                     F.coalesce(F.col("result_count"), F.lit(0)).cast("bigint").alias("result_count")))
 
 
-def top_hits(hits: DataFrame, n: int = C.SEARCH_SHOWN) -> DataFrame:
+def top_hits(hits: DataFrame, n: int = C.SEARCH_SHOWN, key: str = "query_id") -> DataFrame:
     """First ``n`` hits per query in service order, with their rank (O2)."""
-    w = Window.partitionBy("query_id").orderBy(*hit_order())
+    w = Window.partitionBy(key).orderBy(*hit_order())
     return (hits.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= n)
             .withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def area_counts(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per query and area: hit count (J5 summary); zero rows for all areas."""
+def _query_texts(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "query_text", F.lower("query_text").alias("q"))
+
+
+def area_counts(hits: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
+    """Per query and area: hit count (J5 summary); zero rows for all areas.
+
+    ``hits`` is keyed by ``query_id``, or by the lowered text ``q``
+    (``key="q"``), in which case each query takes the counts of its text.
+    """
     areas = F.array(F.lit(C.AREA_CLAUSE), F.lit(C.AREA_RISK), F.lit(C.AREA_RAW))
-    grid = queries.select("query_id", "query_text", F.explode(areas).alias("match_area"))
-    counts = hits.groupBy("query_id", "match_area").agg(F.count(F.lit(1)).alias("hits"))
-    return (grid.join(counts, ["query_id", "match_area"], "left")
+    grid = _query_texts(queries).select("query_id", "query_text", "q", F.explode(areas).alias("match_area"))
+    counts = hits.groupBy(key, "match_area").agg(F.count(F.lit(1)).alias("hits"))
+    return (grid.join(counts, [key, "match_area"], "left")
             .select("query_id", "query_text", "match_area",
                     F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits")))
 
@@ -135,18 +155,24 @@ def batch_search(documents: DataFrame, clauses: DataFrame, risks: DataFrame, que
                  path: str, paragraphs: DataFrame | None = None) -> dict[str, DataFrame]:
     """Many queries in one job (J5), with every output of the service's search.
 
+    Matching, counting and ranking run once per distinct lowered query text;
+    the results then go to every query with that text by an equi-join on
+    the text (a log where one text is a third of all rows adds no hit rows).
     The hit rows themselves are never materialised: matching is a narrow
     pass over the stored tables, cheaper to run again than to write.  The
-    per-query, per-area counts (a partial aggregate, at most 3 rows per
-    query) are written once under ``path`` (a shared folder), and the
-    totals are derived from that copy, so counts and areas agree and cost
-    one pass.  Outputs: ``hits`` (all, U1, lazy), ``areas``, ``counts``
-    (A1, before the cap) and ``top`` (first 50 per query, O2: a second
-    pass, pruned per partition before its exchange).
+    per-query, per-area counts (at most 3 rows per query) are written once
+    under ``path`` (a shared folder), and the totals are derived from that
+    copy, so counts and areas agree and cost one pass.  Outputs: ``hits``
+    (all, U1, lazy), ``areas``, ``counts`` (A1, before the cap) and ``top``
+    (first 50 per query, O2: a second pass, pruned per partition before its
+    exchange).
     """
-    hits = all_hits(documents, clauses, risks, queries, paragraphs)
-    area_counts(hits, queries).write.mode("overwrite").parquet(f"{path}/areas")
+    text_hits = area_hits(documents, clauses, risks, text_patterns(queries), paragraphs)
+    area_counts(text_hits, queries, key="q").write.mode("overwrite").parquet(f"{path}/areas")
     areas = documents.sparkSession.read.parquet(f"{path}/areas")
     counts = (areas.groupBy("query_id", "query_text")
               .agg(F.sum("hits").cast("bigint").alias("result_count")))
-    return {"hits": hits, "counts": counts, "areas": areas, "top": top_hits(hits)}
+    by_text = _query_texts(queries).select("query_id", "q")
+    top = top_hits(text_hits, key="q").join(by_text, "q").select(*HIT_COLUMNS, "rank")
+    hits = text_hits.join(by_text, "q").select(*HIT_COLUMNS)
+    return {"hits": hits, "counts": counts, "areas": areas, "top": top}
