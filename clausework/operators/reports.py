@@ -39,10 +39,15 @@ def report_children(children: DataFrame, documents: DataFrame, fields: list[str]
 
 
 def report_raw_text(documents: DataFrame) -> DataFrame:
-    """Raw_Text sheet: text cut at 30,000 characters."""
-    return (documents.orderBy(*_newest_first())
-            .select("document_id", "file_name",
-                    prefix(F.coalesce("raw_text", F.lit("")), C.REPORT_TEXT_CHARS).alias("raw_text")))
+    """Raw_Text sheet: text cut at 30,000 characters.
+
+    The cut comes before the sort, so the range exchange carries at most
+    30,000 characters per document, not the whole text.
+    """
+    return (documents.select("document_id", "file_name", "uploaded_at",
+                             prefix(F.coalesce("raw_text", F.lit("")), C.REPORT_TEXT_CHARS).alias("raw_text"))
+            .orderBy(*_newest_first())
+            .select("document_id", "file_name", "raw_text"))
 
 
 def write_report(documents: DataFrame, parties: DataFrame, clauses: DataFrame, risks: DataFrame,
