@@ -24,6 +24,8 @@ anything is sent to the executors, and each piece sent is bounded.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,27 +66,46 @@ def _matches_literal(rows: DataFrame, texts: list[str], pairs: list, key_col: st
             .where(F.col(key_col).isNotNull()))
 
 
-def _automaton_piece(rows: DataFrame, texts: list[str], shipped, key_col: str,
+# Automata built in this Python worker, by piece token.  Workers are reused
+# across tasks, so a piece's automaton is built once per worker, not once
+# per task.
+_AUTOMATA: dict = {}
+
+
+def _automaton_for(token: str, shipped):
+    """``(automaton, keys per word)`` of one broadcast piece (None if empty)."""
+    got = _AUTOMATA.get(token)
+    if got is None:
+        import ahocorasick
+
+        words = shipped.value
+        auto = None
+        if words:
+            auto = ahocorasick.Automaton()
+            for i, (pat, _) in enumerate(words):
+                auto.add_word(pat, i)
+            auto.make_automaton()
+        if len(_AUTOMATA) >= 4:
+            _AUTOMATA.clear()
+        got = _AUTOMATA[token] = (auto, [k for _, k in words])
+    return got
+
+
+def _automaton_piece(rows: DataFrame, texts: list[str], piece, key_col: str,
                      key_type: T.DataType) -> DataFrame:
-    """Rows matched against one broadcast piece ``[(pattern, [keys])]``."""
+    """Rows matched against one broadcast piece ``(token, [(pattern, [keys])])``."""
+    token, shipped = piece
     out_schema = T.StructType(rows.schema.fields + [T.StructField(key_col, key_type, True)])
     text_names = list(texts)
 
     def match(batches):
-        import ahocorasick
         import numpy as np
 
-        auto = ahocorasick.Automaton()
-        for i, (pat, _) in enumerate(shipped.value):
-            auto.add_word(pat, i)
-        keys_of = [k for _, k in shipped.value]
-        empty = len(keys_of) == 0
-        if not empty:
-            auto.make_automaton()
+        auto, keys_of = _automaton_for(token, shipped)
         for pdf in batches:
             row_idx: list[int] = []
             found_keys: list = []
-            if not empty:
+            if auto is not None:
                 cols = [pdf[t].to_numpy(dtype=object) for t in text_names]
                 for i in range(len(pdf)):
                     seen: set[int] = set()
@@ -130,7 +151,7 @@ class Patterns:
             for r in piece.select(pattern_col, key_col).collect():
                 if r[0]:
                     words.setdefault(r[0], []).append(r[1])
-            self.pieces.append(sc.broadcast(sorted(words.items())))
+            self.pieces.append((uuid.uuid4().hex, sc.broadcast(sorted(words.items()))))
 
 
 def rows_containing(rows: DataFrame, texts: list[str], patterns: DataFrame | Patterns,
@@ -148,8 +169,8 @@ def rows_containing(rows: DataFrame, texts: list[str], patterns: DataFrame | Pat
     if patterns.literal is not None:
         return _matches_literal(rows, texts, patterns.literal, patterns.key_col, patterns.key_type)
     out = None
-    for shipped in patterns.pieces:
-        part = _automaton_piece(rows, texts, shipped, patterns.key_col, patterns.key_type)
+    for piece in patterns.pieces:
+        part = _automaton_piece(rows, texts, piece, patterns.key_col, patterns.key_type)
         out = part if out is None else out.unionByName(part)
     return out
 
