@@ -27,7 +27,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: document_id, file_name, uploaded_at (TIMESTAMP_NTZ), raw_text,
     doc_id (the source key, kept for fixture assignment).
     """
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    # spread on the join key itself: when the scan is too coarse and rows are
+    # hash-partitioned here, every later join on document_id (responses,
+    # children) finds them already clustered and adds no second exchange
+    docs = spread(load(spark, sf_dir, "documents")
+                  .select("doc_id", "source", "text", F.col("doc_id").cast("string").alias("document_id")),
+                  "document_id")
     doc_id = F.col("doc_id")
     body = F.coalesce(F.col("text"), F.lit(""))
     additions = [
@@ -37,7 +42,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw_text = (F.when(F.pmod(doc_id, F.lit(C.CORPUS_EMPTY_MODULUS)) == 0, F.lit(""))
                 .otherwise(F.concat(body, *additions)))
     return docs.select(
-        doc_id.cast("string").alias("document_id"),
+        "document_id",
         F.concat(F.col("source"), F.lit("_"), doc_id.cast("string"),
                  _by_doc_id_mod(doc_id, C.CORPUS_EXTENSIONS)).alias("file_name"),
         F.expr(f"timestampadd(SECOND, doc_id, TIMESTAMP_NTZ '{C.CORPUS_EPOCH}')").alias("uploaded_at"),
