@@ -67,3 +67,27 @@ def test_search_same_on_both_paths(spark, monkeypatch):
     assert lit == auto
     assert {(q, a) for q, a, _, _ in lit} == {(1, "Clause"), (1, "Raw Text"), (2, "Risk"), (3, "Clause"),
                                               (3, "Risk"), (3, "Raw Text")}
+
+
+def test_batch_search_repeated_texts_on_both_paths(spark, monkeypatch, tmp_path):
+    """A text asked many times: every query id gets the counts and top rows of its text."""
+    docs = spark.createDataFrame(
+        [(f"d{i}", f"f{i}.txt", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i),
+          "\n\n".join(f"Paragraph {j} of document {i} mentions payment terms." for j in range(3)))
+         for i in range(30)],
+        "document_id string, file_name string, uploaded_at timestamp_ntz, raw_text string")
+    clauses = spark.createDataFrame([], "document_id string, pos long, clause_type string, clause_text string")
+    risks = spark.createDataFrame([], "document_id string, pos long, risk string, severity string, reason string")
+    texts = ["Payment", "document 1", "zzz"]
+    queries = spark.createDataFrame([(i, texts[i % 3]) for i in range(120)], "query_id long, query_text string")
+    want = {"payment": 90, "document 1": 11 * 3, "zzz": 0}  # d1, d10..d19
+    for literal_max in (1000, 0):
+        monkeypatch.setattr(M, "LITERAL_MAX", literal_max)
+        out = S.batch_search(docs, clauses, risks, queries, str(tmp_path / f"bs{literal_max}"))
+        counts = {r.query_id: r.result_count for r in out["counts"].collect()}
+        assert counts == {i: want[texts[i % 3].lower()] for i in range(120)}
+        top = out["top"].groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in top} == {i: min(50, want[texts[i % 3].lower()])
+                                                        for i in range(120) if i % 3 != 2}
+        first = out["top"].where("query_id = 0 AND rank = 1").collect()
+        assert [(r.document_id, r.pos) for r in first] == [("d29", 0)]
