@@ -30,20 +30,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausework.session import shared_dir
+
 # Up to this many patterns: literal expressions in the plan.
 LITERAL_MAX = 64
 # Patterns per automaton (one broadcast piece).
 AUTOMATON_MAX = 200000
 
 
+def _cols(pattern_col: str, key_col: str) -> list[str]:
+    return [pattern_col] if pattern_col == key_col else [pattern_col, key_col]
+
+
+def _pairs(rows) -> list:
+    return [(r[0], r[-1]) for r in rows]
+
+
 def _pattern_rows(patterns: DataFrame, pattern_col: str, key_col: str, limit: int) -> list | None:
     """The (pattern, key) rows when there are at most ``limit``; else None.
 
     Reads at most ``limit + 1`` rows, so an oversized table is detected
     without being pulled.
     """
-    got = patterns.select(pattern_col, key_col).limit(limit + 1).collect()
-    return None if len(got) > limit else [(r[0], r[1]) for r in got]
+    got = patterns.select(*_cols(pattern_col, key_col)).limit(limit + 1).collect()
+    return None if len(got) > limit else _pairs(got)
 
 
 def _matches_literal(rows: DataFrame, texts: list[str], pairs: list, key_col: str,
@@ -141,16 +151,21 @@ class Patterns:
         if self.literal is not None:
             self.literal = [(p, k) for p, k in self.literal if p]
             return
-        sc = patterns.sparkSession.sparkContext
-        n = patterns.count()
+        spark = patterns.sparkSession
+        sc = spark.sparkContext
+        # a large pattern table (e.g. the distinct texts of a query log) is
+        # computed once: checkpointed to the shared folder, then counted and
+        # cut from that copy
+        shared_dir(spark)
+        table = patterns.select(*_cols(pattern_col, key_col)).checkpoint(eager=True)
+        n = table.count()
         k = max(1, -(-n // AUTOMATON_MAX))
         for i in range(k):
-            piece = patterns if k == 1 else patterns.where(
-                F.pmod(F.xxhash64(F.col(key_col)), F.lit(k)) == i)
+            piece = table if k == 1 else table.where(F.pmod(F.xxhash64(F.col(key_col)), F.lit(k)) == i)
             words: dict[str, list] = {}
-            for r in piece.select(pattern_col, key_col).collect():
-                if r[0]:
-                    words.setdefault(r[0], []).append(r[1])
+            for pat, key in _pairs(piece.collect()):
+                if pat:
+                    words.setdefault(pat, []).append(key)
             self.pieces.append((uuid.uuid4().hex, sc.broadcast(sorted(words.items()))))
 
 
