@@ -25,23 +25,36 @@ from clausework import constants as C
 from clausework.functions.text import file_suffix, is_supported, strip_ws
 
 ROUTES = {".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".txt": "txt"}
+# Manifest rows broadcast whole at most (one row is a path and a name).
+MANIFEST_BROADCAST_MAX = 1000000
 
 
 def read_landing(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """Files under ``folder`` (recursively) as ``path, file_name, mtime_micros, length, content``.
 
     ``binaryFile`` silently skips 0-byte files and names starting with ``.``
-    or ``_`` (T1).  Pass a ``manifest (path, file_name)`` to keep them: it is
-    left-joined to the contents, a missing content reads as empty.
+    or ``_`` (T1).  Pass a ``manifest (path, file_name)`` to keep them: only
+    listed files are returned, and a listed file the source cannot see reads
+    as empty.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
              .select("path", F.unix_micros("modificationTime").alias("mtime_micros"),
                      "length", "content"))
     if manifest is None:
         return files.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1))
-    return (manifest.select("path", "file_name").join(files, "path", "left")
-            .withColumn("length", F.coalesce("length", F.lit(0)).cast("bigint"))
-            .withColumn("content", F.coalesce("content", F.lit(b"").cast("binary"))))
+    listed = manifest.select("path", "file_name")
+    # file bytes never travel for the manifest: within the bound the manifest
+    # is broadcast and the files keep their bytes where they were read;
+    # beyond it, a shuffle join on path
+    side = F.broadcast(listed) if listed.count() <= MANIFEST_BROADCAST_MAX else listed
+    present = files.join(side, "path", "inner")
+    # listed files the source cannot see: only paths are compared (the
+    # binaryFile scan reads no bytes when no content is selected)
+    unseen = (listed.join(files.select("path"), "path", "left_anti")
+              .select("path", F.lit(None).cast("bigint").alias("mtime_micros"),
+                      F.lit(0).cast("bigint").alias("length"), F.lit(b"").cast("binary").alias("content"),
+                      "file_name"))
+    return present.unionByName(unseen)
 
 
 def document_id(path, mtime_micros, length) -> Column:
