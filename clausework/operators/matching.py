@@ -36,6 +36,8 @@ from clausework.session import shared_dir
 LITERAL_MAX = 64
 # Patterns per automaton (one broadcast piece).
 AUTOMATON_MAX = 200000
+# Output rows per pandas frame handed back to Spark.
+OUT_ROWS = 65536
 
 
 def _cols(pattern_col: str, key_col: str) -> list[str]:
@@ -128,9 +130,12 @@ def _automaton_piece(rows: DataFrame, texts: list[str], piece, key_col: str,
                         for k in keys_of[w]:
                             row_idx.append(i)
                             found_keys.append(k)
-            out = pdf.iloc[np.asarray(row_idx, dtype=np.int64)].reset_index(drop=True)
-            out[key_col] = found_keys
-            yield out
+            # a row matching many patterns repeats: emit in bounded slices
+            idx = np.asarray(row_idx, dtype=np.int64)
+            for lo in range(0, max(len(idx), 1), OUT_ROWS):
+                out = pdf.iloc[idx[lo:lo + OUT_ROWS]].reset_index(drop=True)
+                out[key_col] = found_keys[lo:lo + OUT_ROWS]
+                yield out
 
     return rows.mapInPandas(match, out_schema)
 

@@ -31,6 +31,9 @@ def build_session(master: str | None = None, cpus: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", n_parts)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Arrow batches to Python (mapInPandas, pandas UDFs) are cut by bytes
+        # as well as rows: 10,000 whole contract texts could be gigabytes
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.driver.memory", os.environ.get("CLAUSEWORK_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()

@@ -31,10 +31,12 @@ def _pairs(df):
     return sorted((r.id, r.pid) for r in df.collect())
 
 
-@pytest.mark.parametrize("literal_max,automaton_max", [(1000, 10**6), (0, 10**6), (0, 25)])
-def test_paths_match_brute_force(spark, monkeypatch, literal_max, automaton_max):
+@pytest.mark.parametrize("literal_max,automaton_max,out_rows",
+                         [(1000, 10**6, 65536), (0, 10**6, 65536), (0, 25, 65536), (0, 10**6, 7)])
+def test_paths_match_brute_force(spark, monkeypatch, literal_max, automaton_max, out_rows):
     monkeypatch.setattr(M, "LITERAL_MAX", literal_max)
     monkeypatch.setattr(M, "AUTOMATON_MAX", automaton_max)
+    monkeypatch.setattr(M, "OUT_ROWS", out_rows)
     rdf, pdf, want = _fixture(spark)
     got = M.rows_containing(rdf, ["t1", "t2"], pdf, "p", "pid")
     assert got.columns == ["id", "t1", "t2", "ts", "pid"]
