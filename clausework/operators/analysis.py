@@ -44,12 +44,17 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
     if responses is None:
         return with_rule_analysis(docs, text_col=text_col, ai_error=C.NO_KEY_ERROR)
 
-    marked = responses.select("document_id", "response_text", F.lit(True).alias("_resp_row"))
-    joined = docs.join(marked, "document_id", "left")
-    checked = with_response_checks(joined)
+    # responses are cleaned, parsed and checked on their own side, before the
+    # join: the Python check runs once per response, the documents side stays
+    # one codegen pipeline, and only the parsed value crosses the exchange
+    checked_resp = with_response_checks(responses.select("document_id", "response_text"))
+    marked = checked_resp.select("document_id", "resp_v", "resp_score", "resp_valid", "resp_error",
+                                 F.col("response_text").isNotNull().alias("_has_resp"),
+                                 F.lit(True).alias("_resp_row"))
+    checked = docs.join(marked, "document_id", "left")
     has_row = F.col("_resp_row").isNotNull()
-    has_resp = F.col("response_text").isNotNull()
-    use_llm = has_resp & F.col("resp_valid")
+    has_resp = F.coalesce(F.col("_has_resp"), F.lit(False))
+    use_llm = has_resp & F.coalesce(F.col("resp_valid"), F.lit(False))
     # rules only need the text where the response is not used
     checked = checked.withColumn("_fb_text", F.when(use_llm, F.lit("")).otherwise(F.col(text_col)))
     ruled = with_rule_analysis(checked, text_col="_fb_text", out_col="_rules")
@@ -63,8 +68,8 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
              .otherwise(F.col("resp_error")))
     fallback = F.col("_rules").withField("ai_error", error)
     return (ruled.withColumn("analysis", F.when(use_llm, llm_analysis).otherwise(fallback))
-            .drop("_fb_text", "_rules", "cleaned", "resp_v", "resp_score", "resp_valid", "resp_error",
-                  "response_text", "_resp_row"))
+            .drop("_fb_text", "_rules", "resp_v", "resp_score", "resp_valid", "resp_error",
+                  "_has_resp", "_resp_row"))
 
 
 def request_responses(prompts: DataFrame, ask: Callable[[str], str | None], path: str) -> DataFrame:
