@@ -50,8 +50,8 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
     checked_resp = with_response_checks(responses.select("document_id", "response_text"))
     marked = checked_resp.select("document_id", "resp_v", "resp_score", "resp_valid", "resp_error",
                                  F.col("response_text").isNotNull().alias("_has_resp"),
-                                 F.lit(True).alias("_resp_row"))
-    checked = docs.join(marked, "document_id", "left")
+                                 F.lit(True).alias("_resp_row"), "response_text")
+    checked = docs.join(one_response_per_document(marked), "document_id", "left")
     has_row = F.col("_resp_row").isNotNull()
     has_resp = F.coalesce(F.col("_has_resp"), F.lit(False))
     use_llm = has_resp & F.coalesce(F.col("resp_valid"), F.lit(False))
@@ -72,6 +72,25 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
                   "_has_resp", "_resp_row"))
 
 
+def one_response_per_document(checked: DataFrame) -> DataFrame:
+    """One checked response per document, so a document is never stored twice.
+
+    The service asks once per document; a responses table written twice
+    (e.g. a re-run appended) may repeat a key.  A usable response wins over
+    an unusable one, then the smallest text, so the pick is deterministic.
+    ``min_by`` aggregates partially before its exchange, so a document
+    repeated in a third of all rows ships one row per map task; the join
+    that follows reuses this partitioning on ``document_id``.
+    """
+    fields = [c for c in checked.columns if c != "document_id"]
+    rank = F.struct((~(F.coalesce(F.col("_has_resp"), F.lit(False))
+                       & F.coalesce(F.col("resp_valid"), F.lit(False)))).alias("unusable"),
+                    F.col("response_text").alias("text"))
+    best = (checked.groupBy("document_id")
+            .agg(F.min_by(F.struct(*fields), rank).alias("_best")))
+    return best.select("document_id", *[F.col(f"_best.{c}").alias(c) for c in fields if c != "response_text"])
+
+
 def request_responses(prompts: DataFrame, ask: Callable[[str], str | None], path: str) -> DataFrame:
     """Fill the responses table by calling ``ask(prompt)`` inside the tasks.
 

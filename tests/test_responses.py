@@ -82,3 +82,20 @@ def test_request_responses_hook(spark):
     assert out["a"].mode == C.LLM_MODE and out["a"].risk_score == 70
     assert out["b"].mode == C.RULES_MODE and out["b"].ai_error == C.ERR_CALL_FAILED
     assert out["c"].ai_error == C.ERR_INVALID_JSON
+
+
+def test_repeated_response_rows_give_one_document(spark):
+    from clausework.operators.analysis import with_analysis
+    docs = spark.createDataFrame([("d1", "Termination applies to this agreement in full."),
+                                  ("d2", "Payment is due within thirty days of the invoice.")],
+                                 "document_id string, raw_text string")
+    good = json.dumps({"document_type": "lease", "risk_score": 70})
+    responses = spark.createDataFrame(
+        [("d1", "not json"), ("d1", good), ("d1", "not json"), ("d2", "{} tail"), ("d2", "also bad")],
+        "document_id string, response_text string")
+    rows = {r.document_id: r.analysis for r in with_analysis(docs, responses).collect()}
+    assert len(rows) == 2
+    # a usable response wins over unusable repeats
+    assert rows["d1"].document_type == "lease" and rows["d1"].mode == C.LLM_MODE
+    # none usable: rules, with the error of the smallest text
+    assert rows["d2"].mode == C.RULES_MODE and rows["d2"].ai_error == C.ERR_INVALID_JSON
