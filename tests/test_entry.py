@@ -32,3 +32,14 @@ def test_every_survey_key_is_registered():
 
 def test_oracle_covers_every_query():
     assert set(E.oracle_sql()) == set(E.queries())
+
+
+def test_no_query_tests_all_pairs(spark, sf):
+    """No registered plan holds a nested-loop join or a cartesian product."""
+    bad = {}
+    for key, q in E.queries().items():
+        plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        found = [op for op in ("NestedLoopJoin", "CartesianProduct") if op in plan]
+        if found:
+            bad[key] = found
+    assert bad == {}
