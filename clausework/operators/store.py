@@ -10,6 +10,7 @@ only re-runs its own tasks and the tables never disagree.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,14 +89,23 @@ class Store:
                      risks_table(analysed), upload_log_table(analysed), outcomes_table(analysed),
                      paragraph_table(documents))
 
-    def write(self, path: str, mode: str = "overwrite") -> None:
-        """Write every table under ``path`` (a shared folder), one job each."""
-        for name in TABLES:
+    def write(self, path: str, mode: str = "overwrite", parallel: int = 4) -> None:
+        """Write every table under ``path`` (a shared folder), one job each.
+
+        The tables are independent reads of the same persisted frame, so up
+        to ``parallel`` write jobs are submitted at once: small tables no
+        longer wait for each other, large ones share the executors.
+        """
+        def write_one(name: str) -> None:
             df = getattr(self, name)
             if name != "outcomes":
                 df = df.sortWithinPartitions("document_id")  # tight min/max stats for id lookups
             df.write.mode(mode).parquet(f"{path}/{name}")
 
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            for done in [pool.submit(write_one, name) for name in TABLES]:
+                done.result()
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Store":
         return Store(*[spark.read.parquet(f"{path}/{n}") for n in TABLES])
