@@ -9,6 +9,8 @@ sheets need no join; for child tables without them, an inner join on
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +63,11 @@ def write_report(documents: DataFrame, parties: DataFrame, clauses: DataFrame, r
         "risks": report_children(risks, documents, ["risk", "severity", "reason"]),
         "raw_text": report_raw_text(documents),
     }
-    out = {}
-    for name, df in sheets.items():
-        out[name] = f"{path}/{name}"
-        df.write.mode("overwrite").parquet(out[name])
+    out = {name: f"{path}/{name}" for name in sheets}
+    # independent sheets: their write jobs are submitted together
+    with ThreadPoolExecutor(max_workers=len(sheets)) as pool:
+        for done in [pool.submit(df.write.mode("overwrite").parquet, out[name]) for name, df in sheets.items()]:
+            done.result()
     return out
 
 
