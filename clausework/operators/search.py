@@ -14,6 +14,8 @@ pass per text.  Nothing is grouped by query before the hit rows exist.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,19 +162,26 @@ def batch_search(documents: DataFrame, clauses: DataFrame, risks: DataFrame, que
     the text (a log where one text is a third of all rows adds no hit rows).
     The hit rows themselves are never materialised: matching is a narrow
     pass over the stored tables, cheaper to run again than to write.  The
-    per-query, per-area counts (at most 3 rows per query) are written once
-    under ``path`` (a shared folder), and the totals are derived from that
-    copy, so counts and areas agree and cost one pass.  Outputs: ``hits``
-    (all, U1, lazy), ``areas``, ``counts`` (A1, before the cap) and ``top``
-    (first 50 per query, O2: a second pass, pruned per partition before its
-    exchange).
+    per-area counts (3 rows per text) and the first 50 hits per text are
+    written under ``path`` (a shared folder) by two concurrent jobs; the
+    totals are derived from the written counts, so counts and areas agree.
+    Outputs: ``hits`` (all, U1, lazy), ``areas``, ``counts`` (A1, before
+    the cap) and ``top`` (first 50 per query, O2, pruned per partition
+    before its exchange).
     """
+    spark = documents.sparkSession
     text_hits = area_hits(documents, clauses, risks, text_patterns(queries), paragraphs)
-    area_counts(text_hits, queries, key="q").write.mode("overwrite").parquet(f"{path}/areas")
-    areas = documents.sparkSession.read.parquet(f"{path}/areas")
+    # both small outputs (3 counts and at most 50 rows per text) are written
+    # by two concurrent jobs, each one matching pass
+    outputs = {"areas": area_counts(text_hits, queries, key="q"), "top_by_text": top_hits(text_hits, key="q")}
+    with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+        for done in [pool.submit(df.write.mode("overwrite").parquet, f"{path}/{name}")
+                     for name, df in outputs.items()]:
+            done.result()
+    areas = spark.read.parquet(f"{path}/areas")
     counts = (areas.groupBy("query_id", "query_text")
               .agg(F.sum("hits").cast("bigint").alias("result_count")))
     by_text = _query_texts(queries).select("query_id", "q")
-    top = top_hits(text_hits, key="q").join(by_text, "q").select(*HIT_COLUMNS, "rank")
+    top = spark.read.parquet(f"{path}/top_by_text").join(by_text, "q").select(*HIT_COLUMNS, "rank")
     hits = text_hits.join(by_text, "q").select(*HIT_COLUMNS)
     return {"hits": hits, "counts": counts, "areas": areas, "top": top}
