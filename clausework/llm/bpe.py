@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters of text whose words are looked up together.
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 3 << 20
 # Bytes of distinct unseen words replayed in one index.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 # Words a Python worker remembers with their ids; a full table starts anew.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 400_000
 
 # Space-led words, and runs of blanks without the blank that leads a word.
 _UNITS = re.compile(r" ?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+")
@@ -70,17 +70,29 @@ class Vocabulary:
         return cls(ranks, pattern)
 
 
+class Tokens:
+    """Decodes ids by one vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.token = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.token[rank] = token
+
+    def decode(self, packed: bytes) -> bytes:
+        import numpy as np
+
+        ids, look, step = np.frombuffer(packed, "<u4"), self.token.__getitem__, 1 << 18
+        return b"".join(b"".join(map(look, ids[k:k + step].tolist())) for k in range(0, len(ids), step))
+
+
 class MergeReplay:
-    """Encodes lists of distinct words, and decodes ids, by one vocabulary."""
+    """Encodes texts, each distinct word once, by one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import numpy as np
         import regex
 
         self.parts = regex.compile(pattern).findall
-        self.token = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token[rank] = token
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # every pair of tokens that makes a token, sorted by the pair
         pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], rank) for t, rank in ranks.items()
@@ -232,12 +244,6 @@ class MergeReplay:
             for text in texts:
                 yield b"".join(next(self._ids([p])) for p in pieces(text))
 
-    def decode(self, packed: bytes) -> bytes:
-        import numpy as np
-
-        ids, look, step = np.frombuffer(packed, "<u4"), self.token.__getitem__, 1 << 18
-        return b"".join(b"".join(map(look, ids[k:k + step].tolist())) for k in range(0, len(ids), step))
-
 
 def pieces(text: str) -> Iterator[str]:
     """A text cut at single spaces between words, about a block apart."""
@@ -251,19 +257,19 @@ def pieces(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-# One replay per vocabulary in this Python worker, kept between its tasks.
-_REPLAYS: dict[str, MergeReplay] = {}
+# What this Python worker has made of a vocabulary, kept between its tasks.
+_READY: dict[tuple, MergeReplay | Tokens] = {}
 
 
-def _replay(name: str, shipped) -> MergeReplay:
-    if name not in _REPLAYS:
-        _REPLAYS.clear()
-        _REPLAYS[name] = MergeReplay(*shipped.value)
-    return _REPLAYS[name]
+def _ready(kind, name: str, shipped):
+    if (kind, name) not in _READY:
+        _READY.clear()
+        _READY[kind, name] = kind(*shipped.value)
+    return _READY[kind, name]
 
 
-def _mapped(df: DataFrame, vocab: Vocabulary, carry: list[str], in_col: str, out_col: str, work) -> DataFrame:
-    """``carry`` columns and the binary ``out_col``: what ``work(replay, values)``
+def _mapped(df: DataFrame, vocab: Vocabulary, carry: list[str], in_col: str, out_col: str, kind, work) -> DataFrame:
+    """``carry`` columns and the binary ``out_col``: what ``work(kind(vocabulary), values)``
     yields for lists of input values that hold about a block."""
     kept = [c for c in carry if c != out_col]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out_col, T.BinaryType(), True)])
@@ -273,7 +279,7 @@ def _mapped(df: DataFrame, vocab: Vocabulary, carry: list[str], in_col: str, out
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        replay = _replay(name, shipped)
+        ready = _ready(kind, name, shipped)
         for batch in batches:
             column, n = batch.column(len(kept)), batch.num_rows
             # rows whose values fill a block go together
@@ -284,7 +290,7 @@ def _mapped(df: DataFrame, vocab: Vocabulary, carry: list[str], in_col: str, out
                 while stop < n and held + sizes[stop] <= BLOCK_CHARS:
                     held += sizes[stop]
                     stop += 1
-                values = work(replay, column.slice(start, stop - start).to_pylist())
+                values = work(ready, column.slice(start, stop - start).to_pylist())
                 out = pa.array(list(values), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, stop - start) for k in range(len(kept))), out],
                                                  names=[*kept, out_col])
@@ -297,7 +303,7 @@ def encode(df: DataFrame, vocab: Vocabulary, text_col: str = "text", out_col: st
            carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (all by default) and ``out_col``, the packed ids of ``text_col``."""
     return _mapped(df.withColumn(text_col, F.coalesce(text_col, F.lit(""))), vocab,
-                   df.columns if carry is None else carry, text_col, out_col, MergeReplay.encode)
+                   df.columns if carry is None else carry, text_col, out_col, MergeReplay, MergeReplay.encode)
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_col: str = "decoded",
@@ -305,7 +311,7 @@ def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_col: str
     """``carry`` columns (all by default) and ``out_col``, the bytes of the packed ``ids_col``."""
     return _mapped(df.withColumn(ids_col, F.coalesce(ids_col, F.lit(b""))), vocab,
                    df.columns if carry is None else carry, ids_col, out_col,
-                   lambda replay, values: map(replay.decode, values))
+                   Tokens, lambda tokens, values: map(tokens.decode, values))
 
 
 def n_tokens(ids: Column | str) -> Column:
