@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausework.llm import revisits, templates
+from clausework.llm import revisits
 
 _WORDS = {
     "words@1": r"[^\x20\x09-\x0D]+",
@@ -28,10 +28,33 @@ FROM changes GROUP BY ALL"""
 
 
 def _op10() -> str:
-    permitted = ", ".join(f"'{h}'" for h in revisits.PERMITTED)
-    crc = "c.crc"
+    names = {"cc": "cache-control", "cl": "content-length", "ct": "content-type", "dt": "date", "et": "etag", "lm": "last-modified", "sv": "server"}
+    new = {c: f"coalesce({c}, found.{c})" if n in revisits.PERMITTED else f"found.{c}" for c, n in names.items()}
+    lines = lambda values: "concat_ws(chr(10), " + ", ".join(f"'{n}: ' || {values[c]}" for c, n in names.items()) + ")"
+    own = {c: c for c in names}
     return f"""
-SELECT 1 AS unused_{len(permitted) and len(crc)}"""
-
-
-ORACLE = {"op6_token_rollups": _op6()}
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, CAST(1700000000 + 37 * coalesce(page_id, 0) AS BIGINT) AS t,
+         CAST('0x' || substr(md5(coalesce(url, '')), 1, 7) AS BIGINT) AS pick, '"' || md5(coalesce(html, '')) || '"' AS tag, md5(coalesce(html, '')) AS body,
+         CAST(length(html) AS VARCHAR) AS n FROM pages),
+r AS (
+  SELECT 8 * page_id AS record_id, 'response' AS kind, url, t AS seconds, 'max-age=60' AS cc, n AS cl, 'text/html' AS ct, CAST(t AS VARCHAR) AS dt, tag AS et, CAST(t AS VARCHAR) AS lm, 'a' AS sv FROM p
+  UNION ALL SELECT 8 * page_id + 1, 'revisit', url, t + 3600 * (1 + pick % 240), 'max-age=600', NULL, 'text/html', CAST(t + 3600 * (1 + pick % 240) AS VARCHAR), 'W/' || tag, NULL, 'b' FROM p
+  UNION ALL SELECT 8 * page_id + 2, 'response', url, t + 864000, NULL, NULL, 'text/html', CAST(t + 864000 AS VARCHAR), '"2-' || body || '"', CAST(t + 777600 AS VARCHAR), NULL FROM p WHERE pick % 3 = 0
+  UNION ALL SELECT 8 * page_id + 3, 'revisit', url, t + 1728000, NULL, NULL, 'text/html', CAST(t + 1728000 AS VARCHAR), CASE WHEN pick % 5 <> 0 THEN tag END, CASE WHEN pick % 5 < 2 THEN CAST(t AS VARCHAR) END, NULL FROM p
+  UNION ALL SELECT 8 * page_id + 4, 'revisit', url, t - 1000, NULL, NULL, 'text/html', CAST(t - 1000 AS VARCHAR), tag, CAST(t AS VARCHAR), NULL FROM p WHERE pick % 7 = 0),
+s AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM r),
+u AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^(?:www|m)\\.', '')
+        || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '(?:/|\\.html)$', '') AS base,
+        regexp_replace(regexp_replace(regexp_extract(rest, '\\?(.*)$', 1), '(^|&){revisits.TRACKING}=[^&]*', '', 'g'), '^&', '') AS q FROM s),
+c AS (SELECT *, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM u),
+w AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN struct_pack(record_id := record_id, {", ".join(f"{x} := {x}" for x in names)}) END IGNORE NULLS)
+        OVER (PARTITION BY canonical_url ORDER BY seconds, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM c),
+j AS (SELECT *, regexp_replace(found.et, '^[Ww]/', '') = regexp_replace(et, '^[Ww]/', '') AS tags, found.lm = lm AS dates FROM w WHERE kind = 'revisit'),
+k AS (SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN tags THEN 'resolved' WHEN NOT tags THEN 'mismatch'
+        WHEN dates THEN 'resolved' WHEN NOT dates THEN 'mismatch' ELSE 'unchecked' END AS status FROM j)
+SELECT CAST(record_id AS BIGINT) AS record_id, canonical_url, CAST(CASE WHEN status <> 'mismatch' THEN found.record_id END AS BIGINT) AS response_id, status,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN {lines(new)} ELSE {lines(own)} END AS headers FROM k"""
+
+
+ORACLE = {"op6_token_rollups": _op6(), "op10_revisits": _op10()}

@@ -108,9 +108,9 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captures(pages: DataFrame) -> DataFrame:
     """WARC records made from a page: its first response and the crawler's
-    later visits, which differ by a checksum of the URL: an unchanged one, a
+    later visits, which differ by a hash of the URL: an unchanged one, a
     changed page, an unchanged one again by tag or by date, one too early."""
-    t, crc = (F.lit(1_700_000_000) + 37 * F.coalesce("page_id", F.lit(0))).cast("long"), F.crc32(F.coalesce("url", F.lit("")))
+    t, pick = (F.lit(1_700_000_000) + 37 * F.coalesce("page_id", F.lit(0))).cast("long"), F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 7), 16, 10).cast("long")
     body = F.md5(F.coalesce("html", F.lit("")))
     day = 86400
 
@@ -121,17 +121,17 @@ def captures(pages: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("string")
     tag = F.concat(F.lit('"'), F.col("_body"), F.lit('"'))
-    soon, late = t + 3600 * (1 + crc % 240), t + 20 * day
+    soon, late = t + 3600 * (1 + pick % 240), t + 20 * day
 
     def record(k, kind, seconds, head, when=F.lit(True)):
-        return F.when(when, F.struct((4 * F.col("page_id") * 2 + k).alias("record_id"), F.lit(kind).alias("kind"), F.col("url"), seconds.alias("seconds"), head.alias("headers")))
+        return F.when(when, F.struct((8 * F.col("page_id") + k).alias("record_id"), F.lit(kind).alias("kind"), F.col("url"), seconds.alias("seconds"), head.alias("headers")))
 
     records = F.array(
         record(0, "response", t, headers(t, tag, t, **{"Cache-Control": F.lit("max-age=60"), "Content-Length": F.length("html"), "Server": F.lit("a")})),
         record(1, "revisit", soon, headers(soon, F.concat(F.lit("W/"), tag), none, **{"Cache-Control": F.lit("max-age=600"), "Server": F.lit("b")})),
-        record(2, "response", t + 10 * day, headers(t + 10 * day, F.concat(F.lit('"2-'), F.col("_body"), F.lit('"')), t + 9 * day), crc % 3 == 0),
-        record(3, "revisit", late, headers(late, F.when(crc % 5 != 0, tag), F.when(crc % 5 < 2, t).otherwise(none))),
-        record(4, "revisit", t - 1000, headers(t - 1000, tag, t), crc % 7 == 0))
+        record(2, "response", t + 10 * day, headers(t + 10 * day, F.concat(F.lit('"2-'), F.col("_body"), F.lit('"')), t + 9 * day), pick % 3 == 0),
+        record(3, "revisit", late, headers(late, F.when(pick % 5 != 0, tag), F.when(pick % 5 < 2, t).otherwise(none))),
+        record(4, "revisit", t - 1000, headers(t - 1000, tag, t), pick % 7 == 0))
     return (pages.select("page_id", "url", "html", body.alias("_body"))
             .select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*"))
 
