@@ -47,5 +47,18 @@ def lower_ascii(text: Column | str) -> Column:
     return F.translate(text, A_TO_Z, A_TO_Z.lower())
 
 
+def bounded_sample(rows: DataFrame, n_rows: int, limit: int, by: list[str]) -> DataFrame:
+    """At most ``limit`` of the ``n_rows`` rows, chosen by a hash of the columns ``by``.
+
+    Rows whose hash is not among the lowest twice-``limit`` share are left
+    out first, so that the ordering which settles the bound meets about
+    twice ``limit`` rows however large the table is.
+    """
+    order = F.xxhash64(*by)
+    if n_rows > 2 * limit:
+        rows = rows.where(F.pmod(order, F.lit(1 << 30)) < (2 * limit * (1 << 30)) // n_rows)
+    return rows.orderBy(F.pmod(order, F.lit(1 << 30)), *by).limit(limit)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

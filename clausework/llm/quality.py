@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.common import WORD_GAP, written
+from clausework.llm.common import WORD_GAP, bounded_sample, written
 
 TRAIN_ROWS = 20_000
 HASHED = 1 << 12
@@ -146,7 +146,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     known = spark.createDataFrame([(list(p), x) for p, x in posterior.items()], "votes array<int>, posterior double")
     table = table.join(F.broadcast(known), "votes")
     hashing = HashingTF(numFeatures=HASHED, binary=True, inputCol="features", outputCol="x")
-    sample = table.orderBy(F.xxhash64(F.col(id_col), "features"), "votes").limit(train_rows)
+    sample = bounded_sample(table, sum(counts.values()), train_rows, [id_col, "features"])
     both = sample.withColumn("side", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
                                                        F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))))
     train = written(both.select("features", "side.*").where("weight > 0.001"), "quality-train")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausework.llm.common import written
+from clausework.llm.common import bounded_sample, written
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 24, 6, 7
@@ -118,7 +118,8 @@ def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_co
     found = written(features(written(candidates(docs, id_col, text_col), "candidates"), dictionary), "featured")
     labelled = label_findings(found) if labelled is None else labelled
     inputs = [*OWN, *AROUND]
-    chosen = labelled.select("candidate", "label", *inputs).orderBy(F.xxhash64("candidate"), "label", *inputs).limit(train_rows)
+    labelled = labelled.select("candidate", "label", *inputs)
+    chosen = bounded_sample(labelled, labelled.count(), train_rows, ["candidate", "label", *inputs])
     hidden = chosen.select("candidate", "label", *OWN, *(F.lit(0.0).alias(c) for c in AROUND))
     train = written(chosen.unionByName(hidden).orderBy("candidate", "label", *inputs).coalesce(1), "labelled-findings")
     classes = {r["label"] for r in train.select("label").distinct().collect()}
