@@ -247,9 +247,9 @@ def links(prints: DataFrame, col: str = "fingerprint", max_bits: int = 4) -> Dat
         n = F.ceil(F.col("count") / SHARD_ROWS).cast("int")
         own = F.pmod(F.xxhash64("fp"), n).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(
-            (F.col("key") * 65536 * 65536 + F.least(own, j).cast("long") * 65536 + F.greatest(own, j)).alias("key"),
+            F.xxhash64(F.col("key"), F.least(own, j), F.greatest(own, j)).alias("key"),
             F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")))
-        sliced = rows.select("fp", F.explode(pairs).alias("s")).select(F.lit(len(widths)).alias("level"), F.xxhash64("s.key").alias("key"), "fp", "s.side")
+        sliced = rows.select("fp", F.explode(pairs).alias("s")).select(F.lit(len(widths)).alias("level"), "s.key", "fp", "s.side")
         shards = shards.unionByName(sliced)
     # one integer per shard, so that a task's rows sort as the trees need them
     shards = shards.select(F.xxhash64("level", "key").alias("key"), "fp", F.col("side").cast("long").alias("side"))

@@ -47,7 +47,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def hand_rule(host: Column, path: Column, rules=HAND_RULES) -> Column:
     """The longest rule that fits, as struct ``rule, verdict``; else null."""
-    found = None
+    found = F.lit(None).cast("struct<rule:string,verdict:string>") if not rules else None
     for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
