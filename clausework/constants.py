@@ -111,7 +111,7 @@ CORPUS_EPOCH_MICROS = 1704067200000000
 CORPUS_ADDITIONS = [
     (2, 0, "Termination requires thirty days written notice.", 1),
     (3, 0, "Confidentiality survives expiry of this agreement.", 1),
-    (4, 0, "Payment is due on the first of each month.", 1),
+    (4, 0, "Payment falls due ten days after each invoice.", 1),
     (5, 0, "Governing law is that of the agreed state.", 1),
     (6, 0, "Liability is capped at the fees paid.", 1),
     (7, 0, "Indemnity covers third party claims only.", 1),

@@ -114,9 +114,9 @@ def upper_severity(c) -> Column:
 
 
 def file_suffix(name) -> Column:
-    """Python ``Path(name).suffix``: the last ``.xxx`` of a name that has
-    something before it; '' otherwise."""
-    return F.regexp_extract(_col(name), r"(?s)^.+(\.[^.]+)$", 1)
+    """Python ``Path(name).suffix``: the last ``.xxx`` of the last path
+    component that has something before it; '' otherwise."""
+    return F.regexp_extract(F.regexp_extract(_col(name), r"(?s)([^/]*)/*$", 1), r"(?s)^.+(\.[^.]+)$", 1)
 
 
 def is_supported(name) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.text import best_paragraph, lower_all, split_paragraphs
-from clausework.operators.matching import rows_containing, with_pattern_columns
+from clausework.operators.matching import Patterns, rows_containing, with_pattern_columns
 
 CLAUSE_TYPE = "struct<clause_type:string,clause_text:string>"
 RISK_TYPE = "struct<risk:string,severity:string,reason:string>"
@@ -107,8 +107,13 @@ def keyword_matches(docs: DataFrame, keywords: DataFrame, text_col: str = "raw_t
 
     The keyword table ``(k_ord, keyword)`` is a parameter; the document text
     is lowered once and every keyword it contains is found in one pass
-    (``operators.matching``).  The keyword text is joined back by ``k_ord``.
+    (``operators.matching``).  A short keyword table is a literal map from
+    ``k_ord`` to the text; only a long one is joined back.
     """
     lowered = docs.select("document_id", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    found = rows_containing(lowered, ["_lt"], keywords, "keyword", "k_ord").drop("_lt")
+    patterns = Patterns(keywords, "keyword", "k_ord")
+    found = rows_containing(lowered, ["_lt"], patterns).drop("_lt")
+    if patterns.literal:
+        text_of = F.create_map(*(F.lit(x) for word, k in patterns.literal for x in (k, word)))
+        return found.withColumn("keyword", F.element_at(text_of, F.col("k_ord")))
     return with_pattern_columns(found, keywords, "k_ord", ["keyword"])

@@ -237,7 +237,7 @@ def with_document(children: DataFrame, documents: DataFrame) -> DataFrame:
 def search_history(search_log: DataFrame) -> DataFrame:
     """Search log, newest first."""
     return (search_log.select("query_text", "result_count", "searched_at")
-            .orderBy(F.col("searched_at").desc()))
+            .orderBy(F.col("searched_at").desc(), "query_text", "result_count"))
 
 
 def upload_history(upload_log: DataFrame) -> DataFrame:

@@ -418,7 +418,7 @@ ORACLE: dict[str, str] = {
                                             ((conv_id + turn + 1) % 3) <> 1
                                               AND (turn + 1 <> 1 OR {strip("CASE WHEN (conv_id + turn + 1) % 3 = 0 THEN '' ELSE coalesce(text, '') END")} <> '') AS accepted,
                                             {strip("CASE WHEN (conv_id + turn + 1) % 3 = 0 THEN '' ELSE coalesce(text, '') END")} AS st
-                                     FROM conversations WHERE turn < 3) GROUP BY document_id""",
+                                     FROM conversations) GROUP BY document_id""",
     "extraction_status": f"""SELECT {_FILE_ID} AS document_id, file_name, {_ROUTE} AS route,
                              CASE WHEN (CASE WHEN {_ROUTE} IN ('txt', 'doc') THEN {_DECODED} ELSE '' END) = ''
                                   THEN 'failed' ELSE 'processed' END AS status,

@@ -14,22 +14,23 @@ def build_session(master: str | None = None, cpus: int | None = None,
     """Session with AQE on and the UI off.
 
     On a cluster ``master`` is left to spark-submit; locally ``local[cpus]``.
-    Shuffle partitions default to 2x cores locally; AQE coalesces small ones
-    and splits skewed ones at runtime.
+    Shuffle partitions are set for a local master only (2x its cores); on a
+    cluster spark-submit's setting holds.  AQE coalesces small partitions and
+    splits skewed ones at runtime.
     """
     builder = SparkSession.builder.appName(app_name)
     if master is None and cpus is not None:
         master = f"local[{cpus}]"
     if master is not None:
         builder = builder.master(master)
-    n_parts = str(max(8, 2 * (cpus or os.cpu_count() or 8)))
+    if master is not None and master.startswith("local"):
+        builder = builder.config("spark.sql.shuffle.partitions", str(max(8, 2 * (cpus or os.cpu_count() or 8))))
     builder = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", n_parts)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Arrow batches to Python (mapInPandas, pandas UDFs) are cut by bytes
         # as well as rows: 10,000 whole contract texts could be gigabytes
@@ -44,13 +45,17 @@ def build_session(master: str | None = None, cpus: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, taken from ``spark.checkpoint.dir``.
 
-    The cluster names this folder; we only pick our own (under the system
-    temp folder) when it is unset, as in local tests.
+    The cluster names this folder.  A local session without one gets a
+    folder under the system's temp folder; elsewhere a missing setting is an
+    error, since each executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
+    one_machine = sc.master == "local" or sc.master.startswith("local[")
+    if not path and not one_machine:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="clausework-ckpt-")
         sc.setCheckpointDir(path)

@@ -136,11 +136,11 @@ def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``.doc`` extractor attempts ``(document_id, method_rank, ok, text)``.
 
-    Three attempts per conversation (rank 1 converter, 2 library, 3 raw read);
-    attempt r uses turn r-1; ``(conv_id + r) % 3`` decides: 0 empty text,
+    One attempt per turn of a conversation (rank 1 converter, 2 library, 3 and
+    up raw reads); attempt r uses turn r-1; ``(conv_id + r) % 3`` decides: 0 empty text,
     1 not ok, 2 ok with text.
     """
-    conv = load(spark, sf_dir, "conversations").where(F.col("turn") < 3)
+    conv = load(spark, sf_dir, "conversations")
     rank = (F.col("turn") + 1).cast("int")
     sel = F.pmod(F.col("conv_id") + rank, F.lit(3))
     return conv.select(

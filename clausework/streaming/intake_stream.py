@@ -4,8 +4,9 @@
 the same stateless intake and analysis as the batch path and writes the
 store tables through ``foreachBatch``.  No state, no watermark: uploads are
 independent.  Exactly-once output: every table of micro-batch ``n`` is
-written (overwrite) under ``batch=<n>``, so a replayed epoch replaces its own
-folder instead of appending twice; the analysed frame of the batch is
+written (overwrite) under ``run=<id>/batch=<n>``, the id being kept in the
+checkpoint, so a replayed epoch replaces its own folder and a new checkpoint
+or a second stream on the same store adds to what is stored; the analysed frame of the batch is
 written first and every table is derived from that copy.
 
 0-byte files are skipped by the file source (T1), so a streaming run never
@@ -14,6 +15,7 @@ logs them; the batch path with a manifest does.
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterator
 
 import pandas as pd
@@ -63,7 +65,16 @@ def land_files(files: DataFrame, folder: str) -> int:
     return written.agg(F.count(F.lit(1))).first()[0]
 
 
-def _process_batch(store_path: str, responses: DataFrame | None, bucket: str):
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that this checkpoint belongs to, made at its first start."""
+    folder = f"{checkpoint.rstrip('/')}/run_id"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").text(folder)
+    return spark.read.text(folder).first()[0]
+
+
+def _process_batch(store_path: str, run_id: str, responses: DataFrame | None, bucket: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
         files = batch.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
                              F.unix_micros("modificationTime").alias("mtime_micros"), "length", "content")
@@ -71,11 +82,11 @@ def _process_batch(store_path: str, responses: DataFrame | None, bucket: str):
         intake = texts.select("document_id", "file_name",
                               F.timestamp_micros("mtime_micros").cast("timestamp_ntz").alias("uploaded_at"),
                               F.col("text").alias("raw_text"))
-        part = f"{store_path}/_analysed/batch={epoch_id}"
+        part = f"{store_path}/_analysed/run={run_id}/batch={epoch_id}"
         analysed = persist_analysed(analyse_files(intake, responses, bucket=bucket), part)
         st = Store.from_analysed(analysed)
         for name in STORE_TABLES:
-            getattr(st, name).write.mode("overwrite").parquet(f"{store_path}/{name}/batch={epoch_id}")
+            getattr(st, name).write.mode("overwrite").parquet(f"{store_path}/{name}/run={run_id}/batch={epoch_id}")
     return run
 
 
@@ -93,7 +104,7 @@ def start_intake_stream(spark: SparkSession, landing: str, store_path: str, chec
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
               .load(landing))
     return (stream.writeStream
-            .foreachBatch(_process_batch(store_path, responses, bucket))
+            .foreachBatch(_process_batch(store_path, _run_id(spark, checkpoint), responses, bucket))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
