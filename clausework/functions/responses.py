@@ -5,19 +5,14 @@ every known field has the type the analysis schema wants.  Presence, JSON
 null and type are told apart through VARIANT: a missing field is SQL NULL,
 a JSON null has variant type VOID.
 
-Spark's JSON parsers accept trailing text after the first value, so one
-small Arrow UDF (``json_is_strict``) checks that the whole text parses.
-Everything else is native.
+Everything is a native expression, the check that the whole text parses
+included (``parse_strict``).
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from clausework import constants as C
 from clausework.functions.text import prefix, strip_ws
@@ -29,20 +24,18 @@ _CLAUSE_FIELDS = ["clause_type", "clause_text"]
 _RISK_FIELDS = ["risk", "severity", "reason"]
 
 
-def _strict_one(text):
-    if text is None:
-        return False
-    try:
-        json.loads(text)
-        return True
-    except (ValueError, RecursionError):
-        return False
-
+def parse_strict(text: Column) -> Column:
+    """The one JSON value that makes up a whole text, as a variant; else NULL.
 
-@F.pandas_udf(BooleanType())
-def json_is_strict(texts: pd.Series) -> pd.Series:
-    """True when the entire text is one JSON value (no trailing text)."""
-    return texts.map(_strict_one).astype(bool)
+    Spark's JSON parsers accept text after the first value.  So the text is
+    parsed as the first item of an array whose second and last item is the
+    text's SHA-256: text that follows the value, closes the array or adds
+    items leaves no such array, and no text holds its own SHA-256.
+    """
+    seal = F.sha2(text, 256)
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))), "$", "array<variant>")
+    sealed = (F.size(items) == 2) & (F.try_variant_get(F.get(items, 1), "$", "string") == seal)
+    return F.when(sealed, F.get(items, 0))
 
 
 def analysis_prompt(raw_text) -> Column:
@@ -112,15 +105,14 @@ def response_score(v) -> Column:
                   F.regexp_replace(strip_ws(text), "_", "").try_cast("bigint")))
 
 
-def response_checks(v, strict) -> dict[str, Column]:
+def response_checks(v) -> dict[str, Column]:
     """Columns describing one cleaned response, given its parsed variant
-    ``v`` (``try_parse_json``) and ``strict`` (``json_is_strict``): validity,
-    error code and score.
+    ``v`` (``parse_strict``): validity, error code and score.
 
     ``v`` should be a column computed once (not the parse expression): every
     field check below reads it.
     """
-    parsed = v.isNotNull() & F.coalesce(strict, F.lit(False))
+    parsed = v.isNotNull()
     is_object = _vtype(v).startswith("OBJECT<")
     fields_ok = _parties_ok(v) & _items_ok(v, "key_clauses", _CLAUSE_FIELDS) & _items_ok(v, "risks", _RISK_FIELDS)
     for f in _STRING_FIELDS:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework import constants as C
-from clausework.functions.responses import clean_response, json_is_strict, parsed_fields, response_checks
+from clausework.functions.responses import clean_response, parse_strict, parsed_fields, response_checks
 from clausework.operators.rules import analysis_struct, with_rule_analysis
 
 
@@ -25,13 +25,11 @@ def with_response_checks(df: DataFrame, text_col: str = "response_text") -> Data
     parsed variant ``resp_v`` for a response text column."""
     # parse once into columns; every check reads the parsed variant
     staged = (df.withColumn("cleaned", clean_response(F.col(text_col)))
-              .withColumn("resp_v", F.try_parse_json("cleaned"))
-              .withColumn("_resp_strict", json_is_strict(F.col("cleaned"))))
-    checks = response_checks(F.col("resp_v"), F.col("_resp_strict"))
+              .withColumn("resp_v", parse_strict(F.col("cleaned"))))
+    checks = response_checks(F.col("resp_v"))
     return (staged.withColumn("resp_score", checks["score"])
             .withColumn("resp_valid", F.coalesce(checks["valid"], F.lit(False)))
-            .withColumn("resp_error", checks["error"])
-            .drop("_resp_strict"))
+            .withColumn("resp_error", checks["error"]))
 
 
 def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
@@ -45,8 +43,7 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
         return with_rule_analysis(docs, text_col=text_col, ai_error=C.NO_KEY_ERROR)
 
     # responses are cleaned, parsed and checked on their own side, before the
-    # join: the Python check runs once per response, the documents side stays
-    # one codegen pipeline, and only the parsed value crosses the exchange
+    # join: the check runs once per response, and only the parsed value crosses the exchange
     checked_resp = with_response_checks(responses.select("document_id", "response_text"))
     marked = checked_resp.select("document_id", "resp_v", "resp_score", "resp_valid", "resp_error",
                                  F.col("response_text").isNotNull().alias("_has_resp"),

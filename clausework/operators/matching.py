@@ -1,177 +1,152 @@
 """Many-pattern substring matching without a nested-loop join.
 
-``rows_containing(rows, texts, patterns, ...)`` gives one output row per
+``rows_containing(rows, texts, patterns)`` gives one output row per
 (input row, pattern) pair where the pattern occurs in at least one of the
 row's text columns.  Texts and patterns arrive already lower-cased (by
-Spark's ``lower``), so both sides fold alike.
-
-No pair of (row, pattern) is ever formed when it does not match:
-
-* a small pattern table (up to ``LITERAL_MAX`` rows) becomes one literal
-  ``contains`` per pattern inside a single projection: JVM-side, whole-stage
-  codegen, no join and no shuffle; matching keys are collected in an array
-  and exploded;
-* a larger one is matched by an Aho-Corasick automaton inside
-  ``mapInPandas``: one pass over each text finds every pattern it contains,
-  in time linear in the text plus the matches, however many patterns there
-  are.  The automaton holds at most ``AUTOMATON_MAX`` patterns; a larger
-  table is cut into pieces, each matched in its own pass and unioned (exact:
-  every pattern lives in exactly one piece).
-
-The pattern table is a parameter, not data: its row count is checked before
-anything is sent to the executors, and each piece sent is bounded.
+Spark's ``lower``), so both sides fold alike.  Everything is expressions and
+equi-joins; the answer does not depend on which physical way is taken:
+
+* a pattern table of at most ``LITERAL_MAX`` rows becomes one literal
+  ``contains`` per pattern inside a single projection (no join, no exchange);
+  at most ``LITERAL_MAX + 1`` rows are read to find that out;
+* a larger table is an inverted index: each pattern is filed under one gram
+  of up to ``GRAM`` characters, that which is rarest among the patterns; a
+  text meets the patterns filed under its own distinct grams in a hash join,
+  and ``contains`` verifies the pair.  The index never passes through the
+  driver's Python.
+
+The index is broadcast while its counted rows and bytes are below
+``BROADCAST_ROWS`` and ``BROADCAST_BYTES``.  Beyond that the rows get a
+number and are written once to the shared folder; only (number, gram) pairs
+are shuffled, salted so that a gram which a third of all texts hold is no
+one task's work, and the candidate pairs fetch the text for the check.
+
+A NULL text holds nothing; a NULL or empty pattern matches nothing; a NULL
+key is a key like any other; a pattern text under several keys gives each.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausework.session import shared_dir
+from clausework.session import run_dir
 
 # Up to this many patterns: literal expressions in the plan.
 LITERAL_MAX = 64
-# Patterns per automaton (one broadcast piece).
-AUTOMATON_MAX = 200000
-# Output rows per pandas frame handed back to Spark.
-OUT_ROWS = 65536
-
+# Characters of the gram a pattern is filed under (a shorter pattern is its own gram).
+GRAM = 4
+# The index is sent to every executor up to this size.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+# Parts of one gram's texts when the index is too large to send.
+SALTS = 16
 
-def _cols(pattern_col: str, key_col: str) -> list[str]:
-    return [pattern_col] if pattern_col == key_col else [pattern_col, key_col]
 
+def contains_any(texts: list[str], pattern: Column) -> Column:
+    """Whether the pattern occurs in one of the text columns (never NULL)."""
+    found = F.lit(False)
+    for t in texts:
+        found = found | F.coalesce(F.contains(F.col(t), pattern), F.lit(False))
+    return found
 
-def _pairs(rows) -> list:
-    return [(r[0], r[-1]) for r in rows]
 
+def literal_matches(rows: DataFrame, texts: list[str], pairs: list[tuple], schema: T.StructType) -> DataFrame:
+    """``rows`` plus the columns of ``schema`` for each pattern a row contains.
 
-def _pattern_rows(patterns: DataFrame, pattern_col: str, key_col: str, limit: int) -> list | None:
-    """The (pattern, key) rows when there are at most ``limit``; else None.
-
-    Reads at most ``limit + 1`` rows, so an oversized table is detected
-    without being pulled.
+    ``pairs`` is a short list of ``(pattern, values)``; the values travel as
+    literals in the plan, so no join brings them back.
     """
-    got = patterns.select(*_cols(pattern_col, key_col)).limit(limit + 1).collect()
-    return None if len(got) > limit else _pairs(got)
-
-
-def _matches_literal(rows: DataFrame, texts: list[str], pairs: list, key_col: str,
-                     key_type: T.DataType) -> DataFrame:
-    hits = []
-    for pat, key in pairs:
-        if pat is None:
-            continue
-        cond = None
-        for t in texts:
-            c = F.col(t).contains(F.lit(pat))
-            cond = c if cond is None else (cond | c)
-        hits.append(F.when(cond, F.lit(key).cast(key_type)))
+    fields = schema.fields
+    hits = [F.when(contains_any(texts, F.lit(pattern)),
+                   F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)]))
+            for pattern, values in pairs if pattern]
     if not hits:
-        return rows.select(*rows.columns, F.lit(None).cast(key_type).alias(key_col)).where(F.lit(False))
-    keys = F.array_compact(F.array(*hits))
+        return rows.select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
     # outer explode + filter after it: an inner explode would make Catalyst
-    # infer size(keys) > 0 below the projection and run every test twice
-    return (rows.select(*rows.columns, F.explode_outer(keys).alias(key_col))
-            .where(F.col(key_col).isNotNull()))
-
-
-# Automata built in this Python worker, by piece token.  Workers are reused
-# across tasks, so a piece's automaton is built once per worker, not once
-# per task.
-_AUTOMATA: dict = {}
-
-
-def _automaton_for(token: str, shipped):
-    """``(automaton, keys per word)`` of one broadcast piece (None if empty)."""
-    got = _AUTOMATA.get(token)
-    if got is None:
-        import ahocorasick
-
-        words = shipped.value
-        auto = None
-        if words:
-            auto = ahocorasick.Automaton()
-            for i, (pat, _) in enumerate(words):
-                auto.add_word(pat, i)
-            auto.make_automaton()
-        if len(_AUTOMATA) >= 4:
-            _AUTOMATA.clear()
-        got = _AUTOMATA[token] = (auto, [k for _, k in words])
-    return got
-
-
-def _automaton_piece(rows: DataFrame, texts: list[str], piece, key_col: str,
-                     key_type: T.DataType) -> DataFrame:
-    """Rows matched against one broadcast piece ``(token, [(pattern, [keys])])``."""
-    token, shipped = piece
-    out_schema = T.StructType(rows.schema.fields + [T.StructField(key_col, key_type, True)])
-    text_names = list(texts)
-
-    def match(batches):
-        import numpy as np
-
-        auto, keys_of = _automaton_for(token, shipped)
-        for pdf in batches:
-            row_idx: list[int] = []
-            found_keys: list = []
-            if auto is not None:
-                cols = [pdf[t].to_numpy(dtype=object) for t in text_names]
-                for i in range(len(pdf)):
-                    seen: set[int] = set()
-                    for col in cols:
-                        s = col[i]
-                        if s:
-                            for _, w in auto.iter(s):
-                                seen.add(w)
-                    for w in seen:
-                        for k in keys_of[w]:
-                            row_idx.append(i)
-                            found_keys.append(k)
-            # a row matching many patterns repeats: emit in bounded slices
-            idx = np.asarray(row_idx, dtype=np.int64)
-            for lo in range(0, max(len(idx), 1), OUT_ROWS):
-                out = pdf.iloc[idx[lo:lo + OUT_ROWS]].reset_index(drop=True)
-                out[key_col] = found_keys[lo:lo + OUT_ROWS]
-                yield out
-
-    return rows.mapInPandas(match, out_schema)
+    # infer size(hits) > 0 below the projection and run every test twice
+    found = (rows.select(*rows.columns, F.explode_outer(F.array_compact(F.array(*hits))).alias("_hit"))
+             .where(F.col("_hit").isNotNull()))
+    return found.select(*rows.columns, *[F.col(f"_hit.{f.name}").alias(f.name) for f in fields])
+
+
+def grams(chars: Column, length: int) -> Column:
+    """The substrings of ``length`` characters at every place (NULL near the end) of a
+    text given as its characters.  ``chars`` is a column computed before: an
+    expression would be evaluated anew for every place."""
+    if length == 1:
+        return chars
+    return F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, length)]))
+
+
+def _with_grams(rows: DataFrame, texts: list[str], lengths: list[int]) -> DataFrame:
+    """One row per distinct gram ``_gram`` of a row's text columns, of the lengths that occur in the index."""
+    split = rows.select(*rows.columns, *[F.split(F.coalesce(F.col(t), F.lit("")), "").alias(f"_chars{i}") for i, t in enumerate(texts)])
+    every = F.concat(*[grams(F.col(f"_chars{i}"), n) for i in range(len(texts)) for n in lengths])
+    arrays = split.select(*rows.columns, F.array_distinct(every).alias("_grams"))
+    # outer, so that no filter on the array's size is inferred below, which
+    # would make the array a second time; a NULL gram meets no pattern
+    return arrays.select(*rows.columns, F.explode_outer("_grams").alias("_gram"))
 
 
 class Patterns:
     """A pattern table resolved once and shared by every matching pass.
 
-    Small: the (pattern, key) pairs, used as literals.  Large: bounded
-    pieces, each broadcast once as ``[(pattern, [keys])]`` for an
-    automaton.  Empty patterns are dropped (they match nothing).
+    Few patterns: ``literal``, the (pattern, key) pairs.  Many: ``index``, the
+    written table ``(gram, p, key)``, with the gram lengths that occur and
+    whether it may be broadcast.
     """
 
     def __init__(self, patterns: DataFrame, pattern_col: str, key_col: str):
+        spark = patterns.sparkSession
         self.key_col = key_col
         self.key_type = patterns.schema[key_col].dataType
-        self.literal = _pattern_rows(patterns, pattern_col, key_col, LITERAL_MAX)
-        self.pieces = []
+        table = patterns.select(F.col(pattern_col).alias("p"), F.col(key_col).alias("k")).where("p <> ''")
+        few = table.limit(LITERAL_MAX + 1).collect()
+        self.literal = [(r.p, r.k) for r in few] if len(few) <= LITERAL_MAX else None
         if self.literal is not None:
-            self.literal = [(p, k) for p, k in self.literal if p]
             return
-        spark = patterns.sparkSession
-        sc = spark.sparkContext
-        # a large pattern table (e.g. the distinct texts of a query log) is
-        # computed once: checkpointed to the shared folder, then counted and
-        # cut from that copy
-        shared_dir(spark)
-        table = patterns.select(*_cols(pattern_col, key_col)).checkpoint(eager=True)
-        n = table.count()
-        k = max(1, -(-n // AUTOMATON_MAX))
-        for i in range(k):
-            piece = table if k == 1 else table.where(F.pmod(F.xxhash64(F.col(key_col)), F.lit(k)) == i)
-            words: dict[str, list] = {}
-            for pat, key in _pairs(piece.collect()):
-                if pat:
-                    words.setdefault(pat, []).append(key)
-            self.pieces.append((uuid.uuid4().hex, sc.broadcast(sorted(words.items()))))
+        path = run_dir(spark, "patterns")
+        table.distinct().write.parquet(f"{path}/patterns")
+        table = spark.read.parquet(f"{path}/patterns")
+        own = (table.select("p", F.split("p", "").alias("chars")).distinct()
+               .select("p", F.explode_outer(F.array_distinct(_by_length(F.col("chars")))).alias("gram")).where("gram is not null"))
+        use = own.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+        filed = own.join(use, "gram").groupBy("p").agg(F.min_by("gram", F.struct("uses", "gram")).alias("gram"))
+        filed.join(table, "p").select("gram", "p", F.col("k").alias(key_col)).write.parquet(f"{path}/index")
+        self.index = spark.read.parquet(f"{path}/index")
+        n_rows, n_bytes, lengths = self.index.agg(
+            F.count(F.lit(1)), F.sum(F.octet_length("p") + F.octet_length("gram")),
+            F.collect_set(F.char_length("gram"))).first()
+        self.lengths = sorted(lengths)
+        self.small = n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
+
+
+def _by_length(chars: Column) -> Column:
+    """A pattern's grams of ``GRAM`` characters, or the whole of a shorter one."""
+    found = F
+    for k in range(1, GRAM):
+        found = found.when(F.size(chars) == k, grams(chars, k))
+    return found.otherwise(grams(chars, GRAM))
+
+
+def _indexed(rows: DataFrame, texts: list[str], patterns: Patterns) -> DataFrame:
+    """Rows met with the patterns through the inverted index."""
+    index = patterns.index.select(F.col("gram").alias("_gram"), F.col("p").alias("_p"), F.col(patterns.key_col).alias("_key"))
+    keep = [*rows.columns, F.col("_key").alias(patterns.key_col)]
+    if patterns.small:
+        met = _with_grams(rows, texts, patterns.lengths).join(F.broadcast(index), "_gram")
+        return met.where(contains_any(texts, F.col("_p"))).select(*keep)
+    spark = rows.sparkSession
+    path = run_dir(spark, "numbered")
+    rows.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")
+    pairs = _with_grams(numbered.select("_row", *texts), texts, patterns.lengths).select("_row", salt.alias("_salt"), "_gram")
+    salted = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    candidates = pairs.join(salted, ["_gram", "_salt"]).select("_row", "_p", "_key")
+    return candidates.join(numbered, "_row").where(contains_any(texts, F.col("_p"))).select(*keep)
 
 
 def rows_containing(rows: DataFrame, texts: list[str], patterns: DataFrame | Patterns,
@@ -180,27 +155,12 @@ def rows_containing(rows: DataFrame, texts: list[str], patterns: DataFrame | Pat
 
     ``patterns`` is a table with a lower-cased ``pattern_col`` and a
     ``key_col`` (resolved here), or a ``Patterns`` resolved once for
-    several passes.  Two patterns with the same text both match.  An empty
-    pattern matches nothing (the service requires at least one character).
-    A row matching one pattern in two of its texts is emitted once.
+    several passes.  A row matching one pattern in two of its texts, or a
+    (pattern, key) row given twice, counts once.
     """
     if not isinstance(patterns, Patterns):
         patterns = Patterns(patterns, pattern_col, key_col)
-    if patterns.literal is not None:
-        return _matches_literal(rows, texts, patterns.literal, patterns.key_col, patterns.key_type)
-    out = None
-    for piece in patterns.pieces:
-        part = _automaton_piece(rows, texts, piece, patterns.key_col, patterns.key_type)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def with_pattern_columns(matched: DataFrame, patterns: DataFrame, key_col: str,
-                         columns: list[str]) -> DataFrame:
-    """Bring other columns of the pattern table to the matched rows by key.
-
-    The pattern table is a bounded parameter; AQE broadcasts it when it is
-    small and falls back to a shuffled hash join otherwise.
-    """
-    return matched.join(patterns.select(key_col, *columns), key_col, "inner")
-
+    if patterns.literal is None:
+        return _indexed(rows, texts, patterns)
+    schema = T.StructType([T.StructField(patterns.key_col, patterns.key_type)])
+    return literal_matches(rows, texts, [(p, (k,)) for p, k in dict.fromkeys(patterns.literal)], schema)

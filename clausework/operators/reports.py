@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.text import prefix, upper_severity
+from clausework.operators.logs import written_or_logged
 
 REPORT_DOCUMENT_COLUMNS = ["document_id", "file_name", "document_type", "effective_date", "expiry_date",
                            "contract_value", "governing_law", "risk_score", "mode", "gcs_path"]
@@ -113,11 +114,13 @@ def result_cards(outcomes: DataFrame) -> DataFrame:
         clauses.alias("clauses_display"), risks.alias("risks_display"))
 
 
-def append_search_log(counts: DataFrame, path: str) -> None:
+def append_search_log(counts: DataFrame, path: str) -> bool:
     """Append one log row per asked query: text as typed, full hit count (K6).
 
-    Counted by query id, so the same text asked twice is two rows.
+    Counted by query id, so the same text asked twice is two rows.  A log
+    that can't be written is reported and does not fail the search; returns
+    whether it was written.
     """
-    (counts.select("query_text", F.col("result_count").cast("bigint").alias("result_count"),
-                   F.localtimestamp().alias("searched_at"))
-     .write.mode("append").parquet(path))
+    rows = counts.select("query_text", F.col("result_count").cast("bigint").alias("result_count"),
+                         F.localtimestamp().alias("searched_at"))
+    return written_or_logged(lambda: rows.write.mode("append").parquet(path), "search log")

@@ -11,15 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausework import constants as C
 from clausework.functions.text import best_paragraph, lower_all, split_paragraphs
-from clausework.operators.matching import Patterns, rows_containing, with_pattern_columns
+from clausework.operators.matching import literal_matches
 
 CLAUSE_TYPE = "struct<clause_type:string,clause_text:string>"
 RISK_TYPE = "struct<risk:string,severity:string,reason:string>"
-ANALYSIS_FIELDS = ["document_type", "parties", "effective_date", "expiry_date", "contract_value",
-                   "governing_law", "key_clauses", "risks", "risk_score", "mode", "ai_error"]
 
 
 def analysis_struct(document_type: Column, parties: Column, effective_date: Column,
@@ -96,24 +95,14 @@ def with_rule_analysis(df: DataFrame, text_col: str = "raw_text", out_col: str =
             .drop("_rl_lower", "_rl_paras", "_rl_lparas", "_rl_clauses", "_rl_risks"))
 
 
-def keyword_table(spark, keywords: list[str] | None = None) -> DataFrame:
-    """Keywords as a small parameter table ``(k_ord, keyword)``."""
-    keywords = C.CONTRACT_KEYWORDS if keywords is None else keywords
-    return spark.createDataFrame(list(enumerate(keywords)), "k_ord INT, keyword STRING")
-
+def keyword_matches(docs: DataFrame, keywords: list[str] | None = None, text_col: str = "raw_text") -> DataFrame:
+    """Documents x keywords on substring (J4): ``document_id, k_ord, keyword``.
 
-def keyword_matches(docs: DataFrame, keywords: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """Documents x keywords on substring (J4), without a nested-loop join.
-
-    The keyword table ``(k_ord, keyword)`` is a parameter; the document text
-    is lowered once and every keyword it contains is found in one pass
-    (``operators.matching``).  A short keyword table is a literal map from
-    ``k_ord`` to the text; only a long one is joined back.
+    The keywords are a parameter of the plan, so each is a literal that
+    carries its own order and text: the text is lowered once, and there is
+    no join and no exchange.
     """
-    lowered = docs.select("document_id", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    patterns = Patterns(keywords, "keyword", "k_ord")
-    found = rows_containing(lowered, ["_lt"], patterns).drop("_lt")
-    if patterns.literal:
-        text_of = F.create_map(*(F.lit(x) for word, k in patterns.literal for x in (k, word)))
-        return found.withColumn("keyword", F.element_at(text_of, F.col("k_ord")))
-    return with_pattern_columns(found, keywords, "k_ord", ["keyword"])
+    keywords = C.CONTRACT_KEYWORDS if keywords is None else keywords
+    lowered = docs.select("document_id", F.lower(F.col(text_col)).alias("_lt"))
+    schema = T.StructType([T.StructField("k_ord", T.IntegerType()), T.StructField("keyword", T.StringType())])
+    return literal_matches(lowered, ["_lt"], [(kw.lower(), (i, kw)) for i, kw in enumerate(keywords)], schema).drop("_lt")

@@ -1,15 +1,18 @@
 """Substring search over clauses, risks and raw-text paragraphs.
 
-Many queries run in one job.  The query table is a parameter; matching
-goes through ``operators.matching.rows_containing``, which never forms a
-(row, query) pair that does not match: a few queries become literal
-``contains`` columns in one projection, many are found by one Aho-Corasick
-pass per text.  Nothing is grouped by query before the hit rows exist.
+Many queries run in one job.  The query table is a parameter; each distinct
+lowered query text is matched once (``operators.matching``), over the union
+of the three areas, and its results go to every query id with that text by
+an equi-join, so a text asked by a third of a large log is matched, counted
+and ranked once.
 
 * counts (A1) are partial aggregates before the shuffle;
-* the top 50 per query (O2) use ``row_number() <= 50``, which Spark
-  prunes per partition (WindowGroupLimit) before the exchange, so a query
-  that hits a third of all rows still ships at most 50 rows per partition.
+* the top 50 (O2) are ranked on compact hit keys at two levels, salted parts
+  of a query first, so a query that hits a third of all rows is no one
+  task's work; only the final rows fetch their texts.
+
+``(document_id, area, pos)`` names a searchable row: ``document_id`` is the
+store's primary key.
 """
 
 from __future__ import annotations
@@ -22,49 +25,32 @@ from pyspark.sql.window import Window
 
 from clausework import constants as C
 from clausework.functions.arrays import explode_with_pos
-from clausework.operators.matching import Patterns, rows_containing
 from clausework.functions.text import prefix, split_paragraphs
+from clausework.operators.matching import Patterns, rows_containing
 
 HIT_COLUMNS = ["query_id", "document_id", "file_name", "uploaded_at", "match_area", "area_rank",
                "pos", "title", "matched_text", "severity"]
+AREAS = {1: C.AREA_CLAUSE, 2: C.AREA_RISK, 3: C.AREA_RAW}
+# What names a hit of one query text, and what its order needs.
+ROW_KEY = ["document_id", "area_rank", "pos"]
+# Parts of one query's hits that are ranked apart before they meet.
+RANK_SALTS = 64
+_TEXTS = ["_t1", "_t2"]
 
 
 def paragraph_table(documents: DataFrame) -> DataFrame:
-    """Paragraphs of every stored document with their order and lowered
-    form; the split runs once per document, not once per query."""
-    return (explode_with_pos(documents, ["document_id", "file_name", "uploaded_at"],
-                             split_paragraphs("raw_text"), "pos", "paragraph")
-            .withColumn("lower_paragraph", F.lower("paragraph")))
-
-
-def query_patterns(queries: DataFrame) -> Patterns:
-    """The queries lowered but not trimmed (a one-space query is legal; an
-    empty one is not, as in the service), resolved once for all areas."""
-    return Patterns(queries.select("query_id", F.lower("query_text").alias("q")), "q", "query_id")
+    """Paragraphs of every stored document with their order; the split runs
+    once per document, not once per query."""
+    return explode_with_pos(documents, ["document_id", "file_name", "uploaded_at"],
+                            split_paragraphs("raw_text"), "pos", "paragraph")
 
 
 def text_patterns(queries: DataFrame) -> Patterns:
-    """Each distinct lowered query text once, keyed by itself: a text asked
-    by a third of a large query log is matched, counted and ranked once."""
+    """Each distinct query text once, lowered but not trimmed (a one-space
+    query is legal; an empty one is not, as in the service), keyed by itself."""
     return Patterns(queries.select(F.lower("query_text").alias("q")).distinct(), "q", "q")
 
 
-def _carried(df: DataFrame) -> list[str]:
-    return [c for c in ("file_name", "uploaded_at") if c in df.columns]
-
-
-def clause_hits(clauses: DataFrame, patterns: Patterns) -> DataFrame:
-    """Hit when the query is a substring of the lowered type or text."""
-    c = clauses.select("document_id", "pos", "clause_type", "clause_text", *_carried(clauses),
-                       F.lower(F.coalesce("clause_type", F.lit(""))).alias("_lt"),
-                       F.lower(F.coalesce("clause_text", F.lit(""))).alias("_lx"))
-    hits = rows_containing(c, ["_lt", "_lx"], patterns)
-    return hits.select(patterns.key_col, "document_id", *_carried(clauses), "pos",
-                       F.lit(C.AREA_CLAUSE).alias("match_area"), F.lit(1).alias("area_rank"),
-                       F.col("clause_type").alias("title"), F.col("clause_text").alias("matched_text"),
-                       F.lit(None).cast("string").alias("severity"))
-
-
 def risk_text(risk, severity, reason):
     """``"risk severity reason"`` lowered; a NULL field reads as ``None``."""
     none = F.lit("None")
@@ -72,46 +58,63 @@ def risk_text(risk, severity, reason):
                                F.coalesce(reason, none)))
 
 
-def risk_hits(risks: DataFrame, patterns: Patterns) -> DataFrame:
-    """Hit on the joined risk fields, so a match may span two fields."""
-    r = risks.select("document_id", "pos", "risk", "severity", "reason", *_carried(risks),
-                     risk_text(F.col("risk"), F.col("severity"), F.col("reason")).alias("_lt"))
-    hits = rows_containing(r, ["_lt"], patterns)
-    return hits.select(patterns.key_col, "document_id", *_carried(risks), "pos",
-                       F.lit(C.AREA_RISK).alias("match_area"), F.lit(2).alias("area_rank"),
-                       F.col("risk").alias("title"), F.col("reason").alias("matched_text"),
-                       F.col("severity"))
-
-
-def raw_hits(paragraphs: DataFrame, patterns: Patterns) -> DataFrame:
-    """One hit per paragraph containing the query; text cut at 1,200."""
-    # the shown text is cut before matching, so only the cut travels on
-    p = paragraphs.select("document_id", "file_name", "uploaded_at", "pos", "lower_paragraph",
-                          prefix(F.col("paragraph"), C.SEARCH_TEXT_CHARS).alias("matched_text"))
-    hits = rows_containing(p, ["lower_paragraph"], patterns)
-    return hits.select(patterns.key_col, "document_id", "file_name", "uploaded_at", "pos",
-                       F.lit(C.AREA_RAW).alias("match_area"), F.lit(3).alias("area_rank"),
-                       F.lit(C.RAW_HIT_TITLE).alias("title"), "matched_text",
-                       F.lit(None).cast("string").alias("severity"))
-
-
-def area_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, patterns: Patterns,
-              paragraphs: DataFrame | None = None) -> DataFrame:
-    """Bag union of clause, risk and raw-text hits (U1) keyed by the
-    pattern key, with the document's name and upload time for ordering."""
+def _area(rows: DataFrame, rank: int, title, matched_text, severity, t1, t2) -> DataFrame:
+    """Rows of one area in the common shape: what a hit shows and the texts searched."""
+    carried = [c for c in ("file_name", "uploaded_at") if c in rows.columns]
+    return rows.select("document_id", *carried, F.lit(AREAS[rank]).alias("match_area"),
+                       F.lit(rank).alias("area_rank"), F.col("pos").cast("bigint").alias("pos"),
+                       title.alias("title"), matched_text.alias("matched_text"),
+                       severity.cast("string").alias("severity"), t1.alias("_t1"), t2.cast("string").alias("_t2"))
+
+
+def clause_rows(clauses: DataFrame) -> DataFrame:
+    """Clauses, searched in the lowered type and text."""
+    return _area(clauses, 1, F.col("clause_type"), F.col("clause_text"), F.lit(None),
+                 F.lower("clause_type"), F.lower("clause_text"))
+
+
+def risk_rows(risks: DataFrame) -> DataFrame:
+    """Risks, searched in the joined fields, so a match may span two of them."""
+    joined = risk_text(F.col("risk"), F.col("severity"), F.col("reason"))
+    return _area(risks, 2, F.col("risk"), F.col("reason"), F.col("severity"), joined, F.lit(None))
+
+
+def raw_rows(paragraphs: DataFrame, shown_chars: int | None = C.SEARCH_TEXT_CHARS) -> DataFrame:
+    """Paragraphs, searched whole; the text shown is cut at ``shown_chars`` (None: whole)."""
+    shown = F.col("paragraph") if shown_chars is None else prefix(F.col("paragraph"), shown_chars)
+    return _area(paragraphs, 3, F.lit(C.RAW_HIT_TITLE), shown, F.lit(None), F.lower("paragraph"), F.lit(None))
+
+
+def area_rows(documents: DataFrame, clauses: DataFrame, risks: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
+    """Every searchable row of the three areas (U1), with its document's name and upload time."""
     from clausework.operators.store import with_parent_keys
     paragraphs = paragraph_table(documents) if paragraphs is None else paragraphs
-    cols = [patterns.key_col, *HIT_COLUMNS[1:]]
     # child rows carry file name and upload time: no join back to documents
-    child = clause_hits(with_parent_keys(clauses, documents), patterns).unionByName(
-        risk_hits(with_parent_keys(risks, documents), patterns))
-    return child.select(*cols).unionByName(raw_hits(paragraphs, patterns).select(*cols))
+    return (clause_rows(with_parent_keys(clauses, documents))
+            .unionByName(risk_rows(with_parent_keys(risks, documents)))
+            .unionByName(raw_rows(paragraphs)))
+
+
+def _query_texts(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "query_text", F.lower("query_text").alias("q"))
+
+
+def hits_of(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of every query over searchable rows, with all that a hit shows."""
+    found = rows_containing(rows, _TEXTS, text_patterns(queries)).drop(*_TEXTS)
+    return found.join(_query_texts(queries).select("query_id", "q"), "q").drop("q")
 
 
 def all_hits(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries: DataFrame,
              paragraphs: DataFrame | None = None) -> DataFrame:
     """Every hit of every query (U1), keyed by ``query_id``."""
-    return area_hits(documents, clauses, risks, query_patterns(queries), paragraphs)
+    return hits_of(area_rows(documents, clauses, risks, paragraphs), queries).select(*HIT_COLUMNS)
+
+
+def hit_keys(rows: DataFrame, patterns: Patterns) -> DataFrame:
+    """Compact hits per query text ``q``: the row's key and upload time, no text."""
+    slim = rows.select(*ROW_KEY, "uploaded_at", *_TEXTS)
+    return rows_containing(slim, _TEXTS, patterns).select("q", "uploaded_at", *ROW_KEY)
 
 
 def hit_order():
@@ -119,69 +122,72 @@ def hit_order():
     return [F.col("uploaded_at").desc(), F.col("document_id"), F.col("area_rank"), F.col("pos")]
 
 
-def result_counts(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits per query before the display cap (A1); zero-hit queries give 0."""
-    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"))
-    return (queries.select("query_id", "query_text").join(counts, "query_id", "left")
-            .select("query_id", "query_text",
-                    F.coalesce(F.col("result_count"), F.lit(0)).cast("bigint").alias("result_count")))
+def top_keys(keys: DataFrame, n: int = C.SEARCH_SHOWN, key: str = "q") -> DataFrame:
+    """First ``n`` hit keys per query text in service order, with their rank (O2).
 
-
-def top_hits(hits: DataFrame, n: int = C.SEARCH_SHOWN, key: str = "query_id") -> DataFrame:
-    """First ``n`` hits per query in service order, with their rank (O2)."""
-    w = Window.partitionBy(key).orderBy(*hit_order())
-    return (hits.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= n)
+    Ranked first within ``RANK_SALTS`` parts of each text's hits, then over
+    the at most ``n`` survivors of each part.
+    """
+    salted = keys.withColumn("_salt", F.pmod(F.xxhash64(*ROW_KEY), F.lit(RANK_SALTS)))
+    part = Window.partitionBy(key, "_salt").orderBy(*hit_order())
+    best = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n).drop("_r", "_salt")
+    whole = Window.partitionBy(key).orderBy(*hit_order())
+    return (best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
             .withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def _query_texts(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", "query_text", F.lower("query_text").alias("q"))
-
-
-def area_counts(hits: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
-    """Per query and area: hit count (J5 summary); zero rows for all areas.
+def top_hits(rows: DataFrame, keys: DataFrame, queries: DataFrame, path: str, n: int = C.SEARCH_SHOWN) -> DataFrame:
+    """The first ``n`` hits of each query with their texts.
 
-    ``hits`` is keyed by ``query_id``, or by the lowered text ``q``
-    (``key="q"``), in which case each query takes the counts of its text.
+    The ranked keys are written once under ``path``, so the join that fetches
+    the texts knows their size: a few are broadcast, many are a shuffle join.
     """
-    areas = F.array(F.lit(C.AREA_CLAUSE), F.lit(C.AREA_RISK), F.lit(C.AREA_RAW))
-    grid = _query_texts(queries).select("query_id", "query_text", "q", F.explode(areas).alias("match_area"))
-    counts = hits.groupBy(key, "match_area").agg(F.count(F.lit(1)).alias("hits"))
-    return (grid.join(counts, [key, "match_area"], "left")
+    spark = rows.sparkSession
+    top_keys(keys, n).drop("uploaded_at").write.mode("overwrite").parquet(f"{path}/top_keys")
+    top = spark.read.parquet(f"{path}/top_keys")
+    shown = rows.drop(*_TEXTS).join(top, ROW_KEY)
+    return shown.join(_query_texts(queries).select("query_id", "q"), "q").select(*HIT_COLUMNS, "rank")
+
+
+def area_counts(keys: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query and area: hit count (J5 summary); zero rows for all areas."""
+    areas = F.array(*[F.struct(F.lit(r).alias("area_rank"), F.lit(a).alias("match_area")) for r, a in AREAS.items()])
+    grid = _query_texts(queries).select("query_id", "query_text", "q", F.inline(areas))
+    counts = keys.groupBy("q", "area_rank").agg(F.count(F.lit(1)).alias("hits"))
+    return (grid.join(counts, ["q", "area_rank"], "left")
             .select("query_id", "query_text", "match_area",
                     F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits")))
 
 
+def result_counts(areas: DataFrame) -> DataFrame:
+    """Hits per query before the display cap (A1) from its counts by area; zero-hit queries give 0."""
+    return (areas.groupBy("query_id", "query_text")
+            .agg(F.sum("hits").cast("bigint").alias("result_count")))
+
+
 def batch_search(documents: DataFrame, clauses: DataFrame, risks: DataFrame, queries: DataFrame,
-                 path: str, paragraphs: DataFrame | None = None) -> dict[str, DataFrame]:
+                 path: str, paragraphs: DataFrame | None = None, log_path: str | None = None) -> dict[str, DataFrame]:
     """Many queries in one job (J5), with every output of the service's search.
 
-    Matching, counting and ranking run once per distinct lowered query text;
-    the results then go to every query with that text by an equi-join on
-    the text (a log where one text is a third of all rows adds no hit rows).
-    The hit rows themselves are never materialised: matching is a narrow
-    pass over the stored tables, cheaper to run again than to write.  The
-    per-area counts (3 rows per text) and the first 50 hits per text are
-    written under ``path`` (a shared folder) by two concurrent jobs; the
-    totals are derived from the written counts, so counts and areas agree.
-    Outputs: ``hits`` (all, U1, lazy), ``areas``, ``counts`` (A1, before
-    the cap) and ``top`` (first 50 per query, O2, pruned per partition
-    before its exchange).
+    One matching pass writes the compact hit keys under ``path`` (a shared
+    folder); the counts per area and the first 50 are two concurrent jobs over
+    them, and only the first 50 fetch their texts.  With ``log_path`` the
+    search logs itself, one row per asked query (K6).
+    Outputs: ``areas``, ``counts`` (A1, before the cap) and ``top`` (first 50
+    per query, O2).
     """
     spark = documents.sparkSession
-    text_hits = area_hits(documents, clauses, risks, text_patterns(queries), paragraphs)
-    # both small outputs (3 counts and at most 50 rows per text) are written
-    # by two concurrent jobs, each one matching pass
-    outputs = {"areas": area_counts(text_hits, queries, key="q"), "top_by_text": top_hits(text_hits, key="q")}
-    with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
-        for done in [pool.submit(df.write.mode("overwrite").parquet, f"{path}/{name}")
-                     for name, df in outputs.items()]:
-            done.result()
+    rows = area_rows(documents, clauses, risks, paragraphs)
+    hit_keys(rows, text_patterns(queries)).write.mode("overwrite").parquet(f"{path}/hit_keys")
+    keys = spark.read.parquet(f"{path}/hit_keys")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        counted = pool.submit(area_counts(keys, queries).write.mode("overwrite").parquet, f"{path}/areas")
+        top = pool.submit(top_hits, rows, keys, queries, path)
+        counted.result()
+        top = top.result()
     areas = spark.read.parquet(f"{path}/areas")
-    counts = (areas.groupBy("query_id", "query_text")
-              .agg(F.sum("hits").cast("bigint").alias("result_count")))
-    by_text = _query_texts(queries).select("query_id", "q")
-    top = spark.read.parquet(f"{path}/top_by_text").join(by_text, "q").select(*HIT_COLUMNS, "rank")
-    hits = text_hits.join(by_text, "q").select(*HIT_COLUMNS)
-    return {"hits": hits, "counts": counts, "areas": areas, "top": top}
+    counts = result_counts(areas)
+    if log_path is not None:
+        from clausework.operators.reports import append_search_log
+        append_search_log(counts, log_path)
+    return {"counts": counts, "areas": areas, "top": top}

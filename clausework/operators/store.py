@@ -13,6 +13,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from clausework import constants as C
 from clausework.functions.arrays import explode_with_pos
 from clausework.functions.text import coerce_score, safe_name
 from clausework.operators.analysis import with_analysis
+from clausework.operators.logs import written_or_logged
 from clausework.operators.rules import empty_analysis
 from clausework.operators.search import paragraph_table
 from clausework.sources.corpus import with_status
@@ -66,6 +68,8 @@ def analyse_files(files: DataFrame, responses: DataFrame | None = None,
             .drop("_an_text", "supported"))
 
 
+UPLOAD_LOG = ("document_id string, file_name string, document_type string, risk_score int, mode string, status string, "
+              "gcs_path string, uploaded_at timestamp_ntz")
 TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
 
 
@@ -100,7 +104,11 @@ class Store:
             df = getattr(self, name)
             if name != "outcomes":
                 df = df.sortWithinPartitions("document_id")  # tight min/max stats for id lookups
-            df.write.mode(mode).parquet(f"{path}/{name}")
+            write = lambda: df.write.mode(mode).parquet(f"{path}/{name}")
+            if name == "upload_log":  # a log does not fail the intake
+                written_or_logged(write, "upload log")
+            else:
+                write()
 
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
             for done in [pool.submit(write_one, name) for name in TABLES]:
@@ -108,7 +116,15 @@ class Store:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Store":
-        return Store(*[spark.read.parquet(f"{path}/{n}") for n in TABLES])
+        def table(name: str) -> DataFrame:
+            try:
+                return spark.read.parquet(f"{path}/{name}")
+            except AnalysisException:
+                if name != "upload_log":
+                    raise
+                return spark.createDataFrame([], UPLOAD_LOG)  # the log could not be written
+
+        return Store(*[table(n) for n in TABLES])
 
 
 def persist_analysed(analysed: DataFrame, path: str) -> DataFrame:

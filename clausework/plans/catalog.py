@@ -21,7 +21,7 @@ from clausework.operators import reports as RP
 from clausework.operators import search as S
 from clausework.operators import store as ST
 from clausework.operators.analysis import normalized, with_analysis, with_response_checks
-from clausework.operators.rules import keyword_matches, keyword_table, with_rule_analysis
+from clausework.operators.rules import keyword_matches, with_rule_analysis
 from clausework.session import run_dir
 from clausework.sources import corpus as CP
 from clausework.sources import intake as IN
@@ -45,12 +45,17 @@ def _llm_store(spark, sf) -> ST.Store:
 
 
 def _rule_analysed(spark, sf) -> DataFrame:
-    return with_rule_analysis(CP.processed(spark, sf))
+    return with_rule_analysis(CP.corpus(spark, sf))
 
 
-def _hits(spark, sf) -> DataFrame:
+def _search_rows(spark, sf) -> DataFrame:
     st = _rules_store(spark, sf)
-    return S.all_hits(st.documents, st.clauses, st.risks, CP.search_queries(spark), st.paragraphs)
+    return S.area_rows(st.documents, st.clauses, st.risks, st.paragraphs)
+
+
+def _search(spark, sf, queries: DataFrame) -> dict[str, DataFrame]:
+    st = _rules_store(spark, sf)
+    return S.batch_search(st.documents, st.clauses, st.risks, queries, run_dir(spark, "search"), paragraphs=st.paragraphs)
 
 
 def _joined(arr, field: str | None = None):
@@ -69,7 +74,7 @@ def _n(arr):
 # --------------------------------------------------------------------------
 
 def q_split_paragraphs(spark, sf):
-    return explode_with_pos(CP.processed(spark, sf), ["document_id"], T.split_paragraphs("raw_text"),
+    return explode_with_pos(CP.corpus(spark, sf), ["document_id"], T.split_paragraphs("raw_text"),
                             "pos", "paragraph")
 
 
@@ -86,7 +91,7 @@ def q_lower_fold(spark, sf):
 
 
 def q_best_paragraph(spark, sf):
-    docs = (CP.processed(spark, sf).select("document_id", T.split_paragraphs("raw_text").alias("p"))
+    docs = (CP.corpus(spark, sf).select("document_id", T.split_paragraphs("raw_text").alias("p"))
             .withColumn("lp", T.lower_all("p")))
     per_kw = F.array(*[F.struct(F.lit(kw).alias("keyword"),
                                 T.best_paragraph("p", "lp", kw).alias("best_paragraph"))
@@ -95,12 +100,12 @@ def q_best_paragraph(spark, sf):
 
 
 def q_keyword_matches(spark, sf):
-    m = keyword_matches(CP.processed(spark, sf), keyword_table(spark))
+    m = keyword_matches(CP.corpus(spark, sf))
     return m.select("document_id", F.col("k_ord").cast("bigint").alias("k_ord"), "keyword")
 
 
 def q_clause_title(spark, sf):
-    m = keyword_matches(CP.processed(spark, sf), keyword_table(spark))
+    m = keyword_matches(CP.corpus(spark, sf))
     return m.select("document_id", "keyword", T.title_case("keyword").alias("clause_type"))
 
 
@@ -242,52 +247,53 @@ def q_coerce_score(spark, sf):
 # step 4: search
 # --------------------------------------------------------------------------
 
-def _patterns(spark):
-    return S.query_patterns(CP.search_queries(spark))
-
-
 def q_search_clauses(spark, sf):
-    st = _rules_store(spark, sf)
-    return S.clause_hits(st.clauses, _patterns(spark)).select("query_id", "document_id", "pos", "title",
-                                                          "matched_text")
+    hits = S.hits_of(S.clause_rows(_rules_store(spark, sf).clauses), CP.search_queries(spark))
+    return hits.select("query_id", "document_id", "pos", "title", "matched_text")
 
 
 def q_search_risks(spark, sf):
-    st = _rules_store(spark, sf)
-    return S.risk_hits(st.risks, _patterns(spark)).select("query_id", "document_id", "pos", "title",
-                                                      "matched_text", "severity")
+    hits = S.hits_of(S.risk_rows(_rules_store(spark, sf).risks), CP.search_queries(spark))
+    return hits.select("query_id", "document_id", "pos", "title", "matched_text", "severity")
 
 
 def q_search_raw_text(spark, sf):
-    st = _rules_store(spark, sf)
-    return S.raw_hits(st.paragraphs, _patterns(spark)).select(
-        "query_id", "document_id", "pos", "title", "matched_text")
+    hits = S.hits_of(S.raw_rows(_rules_store(spark, sf).paragraphs), CP.search_queries(spark))
+    return hits.select("query_id", "document_id", "pos", "title", "matched_text")
 
 
 def q_search_all(spark, sf):
-    return _hits(spark, sf).drop("uploaded_at", "area_rank")
+    return (S.hits_of(_search_rows(spark, sf), CP.search_queries(spark))
+            .select(*S.HIT_COLUMNS).drop("uploaded_at", "area_rank"))
 
 
 def q_search_top50(spark, sf):
-    return S.top_hits(_hits(spark, sf)).drop("uploaded_at", "area_rank")
+    rows, queries = _search_rows(spark, sf), CP.search_queries(spark)
+    keys = S.hit_keys(rows, S.text_patterns(queries))
+    return S.top_hits(rows, keys, queries, run_dir(spark, "search-top")).drop("uploaded_at", "area_rank")
 
 
 def q_search_result_count(spark, sf):
-    return S.result_counts(_hits(spark, sf), CP.search_queries(spark))
+    queries = CP.search_queries(spark)
+    keys = S.hit_keys(_search_rows(spark, sf), S.text_patterns(queries))
+    return S.result_counts(S.area_counts(keys, queries))
 
 
 def q_batch_search(spark, sf):
-    st = _rules_store(spark, sf)
-    out = S.batch_search(st.documents, st.clauses, st.risks, CP.search_queries(spark), run_dir(spark, "search"),
-                         paragraphs=st.paragraphs)
-    return out["areas"]
+    return _search(spark, sf, CP.search_queries(spark))["areas"]
+
+
+def q_batch_search_words(spark, sf):
+    """As many queries as the benchmark has words: the inverted index of patterns."""
+    return _search(spark, sf, CP.word_queries(spark, sf))["areas"]
 
 
 def q_search_log(spark, sf):
-    counts = S.result_counts(_hits(spark, sf), CP.search_queries(spark))
+    st = _rules_store(spark, sf)
     path = run_dir(spark, "search-log")
-    RP.append_search_log(counts, path)
-    return spark.read.parquet(path).select("query_text", "result_count")
+    S.batch_search(st.documents, st.clauses, st.risks, CP.search_queries(spark), run_dir(spark, "search"),
+                   paragraphs=st.paragraphs, log_path=path)
+    return ST.search_history(spark.read.parquet(path)).select("query_text", "result_count")
 
 
 # --------------------------------------------------------------------------
@@ -412,11 +418,10 @@ def q_safe_name(spark, sf):
 
 
 def q_storage_path(spark, sf):
-    a = ST.analyse_files(CP.corpus(spark, sf), bucket=DEMO_BUCKET)
-    docs = ST.documents_table(a)
-    log = ST.upload_log_table(a)
-    return (log.select("document_id", F.col("gcs_path").alias("log_gcs_path"))
-            .join(docs.select("document_id", F.col("gcs_path").alias("doc_gcs_path")), "document_id", "left"))
+    files = CP.with_status(CP.corpus(spark, sf)).where(F.col("status") != C.STATUS_SKIPPED)
+    stored = ST.storage_path(F.col("document_id"), F.col("file_name"), DEMO_BUCKET)
+    return files.select("document_id", stored.alias("log_gcs_path"),
+                        F.when(F.col("status") == C.STATUS_PROCESSED, stored).alias("doc_gcs_path"))
 
 
 def q_landing_copy(spark, sf):
@@ -433,7 +438,7 @@ def _checked(spark, sf):
 
 
 def q_analysis_prompts(spark, sf):
-    return CP.processed(spark, sf).select("document_id", R.analysis_prompt(F.col("raw_text")).alias("prompt"))
+    return CP.corpus(spark, sf).select("document_id", R.analysis_prompt(F.col("raw_text")).alias("prompt"))
 
 
 def q_response_clean(spark, sf):
@@ -496,7 +501,7 @@ QUERIES: dict[str, Query] = {
     "search_clauses": q_search_clauses, "search_risks": q_search_risks,
     "search_raw_text": q_search_raw_text, "search_all": q_search_all,
     "search_top50": q_search_top50, "search_result_count": q_search_result_count,
-    "batch_search": q_batch_search, "search_log": q_search_log,
+    "batch_search": q_batch_search, "batch_search_words": q_batch_search_words, "search_log": q_search_log,
     # step 5
     "report_documents": q_report_documents, "report_parties": q_report_parties,
     "report_clauses": q_report_clauses, "report_risks": q_report_risks,

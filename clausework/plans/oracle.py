@@ -230,8 +230,16 @@ ldocs AS (
 """
 
 
-def with_base(body: str) -> str:
-    return "WITH " + BASE.strip() + "\n" + body
+# Pure text operators see every document, not only those that are stored.
+ALL_DOCUMENTS = {"split_paragraphs", "best_paragraph", "keyword_matches", "clause_title", "rule_clauses", "rule_risks",
+                 "risk_score", "rule_analysis", "analysis_prompts"}
+
+
+def with_base(body: str, all_documents: bool = False) -> str:
+    base = BASE.strip()
+    if all_documents:
+        base = base.replace("FROM outcome WHERE status = 'processed'", "FROM outcome", 1)
+    return "WITH " + base + "\n" + body
 
 
 def _id_sql(path: str, mtime: str, length: str) -> str:
@@ -248,8 +256,6 @@ _TITLE = ("array_to_string(list_transform(string_split(keyword, ''), lambda ch,
           "lower(string_split(keyword, '')[i - 1]) <> upper(string_split(keyword, '')[i - 1]) "
           "THEN lower(ch) ELSE upper(ch) END), '')")
 
-_BEST = ", ".join([])
-
 ORACLE: dict[str, str] = {
     # step 1
     "split_paragraphs": "SELECT document_id, CAST(pos AS BIGINT) AS pos, paragraph FROM paras",
@@ -336,6 +342,16 @@ ORACLE: dict[str, str] = {
                        FROM q CROSS JOIN (VALUES ('Clause'), ('Risk'), ('Raw Text')) a(match_area)
                        LEFT JOIN hits h ON h.query_id = q.query_id AND h.match_area = a.match_area
                        GROUP BY 1, 2, 3""",
+    "batch_search_words": """, w AS (
+                         SELECT DISTINCT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+')) AS lq FROM benchmark),
+                       areas AS (
+                         SELECT 'Clause' AS match_area, lower(coalesce(clause_type, '')) AS t1, lower(coalesce(clause_text, '')) AS t2 FROM rclauses
+                         UNION ALL SELECT 'Risk', lower(coalesce(risk, 'None') || ' ' || coalesce(severity, 'None') || ' ' || coalesce(reason, 'None')), '' FROM rrisks
+                         UNION ALL SELECT 'Raw Text', lower(paragraph), '' FROM paras),
+                       found AS (SELECT w.lq, a.match_area, count(*) AS n FROM areas a JOIN w ON w.lq <> '' AND (contains(a.t1, w.lq) OR contains(a.t2, w.lq)) GROUP BY 1, 2)
+                       SELECT w.lq AS query_id, w.lq AS query_text, m.match_area, CAST(coalesce(f.n, 0) AS BIGINT) AS hits
+                       FROM w CROSS JOIN (VALUES ('Clause'), ('Risk'), ('Raw Text')) m(match_area)
+                       LEFT JOIN found f ON f.lq = w.lq AND f.match_area = m.match_area WHERE w.lq <> ''""",
     "search_log": "SELECT query_text, result_count FROM counts",
     # step 5
     "report_documents": """SELECT document_id, file_name, document_type, effective_date, expiry_date, contract_value,
@@ -452,4 +468,4 @@ ORACLE: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: with_base(v) for k, v in ORACLE.items()}
+    return {k: with_base(v, k in ALL_DOCUMENTS) for k, v in ORACLE.items()}

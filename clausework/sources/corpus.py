@@ -73,6 +73,14 @@ def search_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.SEARCH_FIXTURE, "query_id BIGINT, query_text STRING")
 
 
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large query log ``(query_id STRING, query_text STRING)``: each distinct
+    lowered word of ``benchmark`` is asked once, named by itself."""
+    word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("query_text")
+    words = load(spark, sf_dir, "benchmark").select(word).where("query_text <> ''").distinct()
+    return words.select(F.col("query_text").alias("query_id"), "query_text")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LLM responses ``(document_id, response_text)`` assigned by doc_id % 27.
 

@@ -35,6 +35,26 @@ def test_error_codes(spark):
                                                       C.ERR_SCHEMA, C.ERR_SCHEMA, ""]
 
 
+# (text, whether all of it is one JSON value)
+STRICT = [("{}", True), (" [1, 2]\n", True), ("7", True), ('"x"', True), ("null", True), ("", False), (None, False), ("1,2", False),
+          ('{"a":1},"b"', False), ("[1],[2", False), ('{"a":1}]', False), ('1,"' + "0" * 64 + '"] ', False), ("{} //", False),
+          ('"open', False), ("{'a':1}", False), ("01", False), ('{"a":1,}', False), ('"\\u00e9 \\" ] , ["', True), ("tru", False)]
+
+
+def test_parse_strict(spark):
+    from clausework.functions.responses import parse_strict
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame(list(enumerate(t for t, _ in STRICT)), "i int, t string")
+    got = {r.i: r.ok for r in rows.select("i", parse_strict(F.col("t")).isNotNull().alias("ok")).collect()}
+    assert [got[i] for i in range(len(STRICT))] == [ok for _, ok in STRICT]
+
+
+def test_checks_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(1, "{}")], "document_id int, response_text string")
+    plan = with_response_checks(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_parsed_fields(spark):
     from pyspark.sql import functions as F
 

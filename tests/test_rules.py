@@ -49,13 +49,17 @@ def test_clause_text_cut_at_1000(spark):
 
 
 def test_fixture_corpus_counts(spark, sf):
-    from clausework.plans.catalog import q_rule_analysis, q_rule_clauses, q_rule_risks, q_split_paragraphs
-    assert q_rule_clauses(spark, sf).count() == 290
-    assert q_rule_risks(spark, sf).count() == 170
-    assert q_split_paragraphs(spark, sf).count() == 3247
-    scores = {r.risk_score: r["count"] for r in q_rule_analysis(spark, sf).groupBy("risk_score").count().collect()}
+    from clausework.operators.search import paragraph_table
+    from clausework.operators.store import clauses_table, risks_table
+    from clausework.sources import corpus as CP
+    stored = CP.processed(spark, sf)
+    analysed = with_rule_analysis(stored).withColumn("status", F.lit(C.STATUS_PROCESSED))
+    assert clauses_table(analysed).count() == 290
+    assert risks_table(analysed).count() == 170
+    assert paragraph_table(stored).count() == 3247
+    scores = {r.risk_score: r["count"] for r in analysed.groupBy("analysis.risk_score").count().collect()}
     assert scores == {60: 53, 80: 64, 100: 12}
-    clauses = q_rule_clauses(spark, sf)
+    clauses = clauses_table(analysed)
     assert clauses.where(F.col("clause_text") == "").count() == 9
     assert clauses.where(F.length("clause_text") == 1000).count() == 9
     by_type = {r.clause_type: r["count"] for r in clauses.groupBy("clause_type").count().collect()}
