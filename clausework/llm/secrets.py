@@ -51,17 +51,18 @@ AROUND = ["named_secret", "named_other", "assigned", "quoted", "in_path", "addre
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, start`` (code points before it), ``candidate``, ``before`` and ``after`` of every candidate."""
+    """``id``, ``text_key`` (a hash of the text), ``start`` (code points before it), ``candidate``,
+    ``before`` and ``after`` of every candidate; ``k`` numbers those of a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), text.alias("t")).where(F.col("t").rlike(CANDIDATE)).select(
-        "id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("t", CANDIDATE, -1).alias("gaps"))
+        "id", F.xxhash64("t").alias("text_key"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("t", CANDIDATE, -1).alias("gaps"))
     # the text is gap, candidate, gap, ..., candidate, gap
     each = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"),
                                                   F.expr("1").alias("one"), F.get("gaps", i).substr(F.greatest(F.length(F.get("gaps", i)) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
                                                   F.get("gaps", i + 1).substr(F.lit(1), F.lit(CONTEXT)).alias("after")))
-    rows = found.select("id", "row", F.posexplode(each).alias("k", "s")).select("id", "row", "k", "s.candidate", "s.gap", "s.before", "s.after")
+    rows = found.select("id", "text_key", "row", F.posexplode(each).alias("k", "s")).select("id", "text_key", "row", "k", "s.candidate", "s.gap", "s.before", "s.after")
     upto = Window.partitionBy("row").orderBy("k")
-    return rows.select("id", "row", "k", (F.sum(F.col("gap") + F.length("candidate")).over(upto) - F.length("candidate")).alias("start"), "candidate", "before", "after")
+    return rows.select("id", "text_key", "row", "k", (F.sum(F.col("gap") + F.length("candidate")).over(upto) - F.length("candidate")).alias("start"), "candidate", "before", "after")
 
 
 def _share(pattern: str) -> Column:
@@ -111,7 +112,7 @@ def label_findings(featured: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None,
          train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``id_col, start, length, candidate, score, is_secret`` for every candidate.
+    """``id_col, text_key, k, start, length, candidate, score, is_secret`` for every candidate.
 
     ``labelled`` has the feature columns, ``candidate`` and ``label``.
     """
@@ -130,14 +131,29 @@ def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_co
         scored = model.transform(vector.transform(found)).withColumn("score", vector_to_array("probability")[1])
     else:
         scored = found.withColumn("score", F.when(label_rule()[0], 1.0).otherwise(0.0))
-    return scored.select(F.col("id").alias(id_col), F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"),
+    return scored.select(F.col("id").alias(id_col), "text_key", "k", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"),
                          "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret of a document replaced by a label in its text."""
-    mine = (findings.where("is_secret").groupBy(F.col(id_col).alias("_id"))
-            .agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets")))
-    clean = F.when(F.col("_secrets").isNotNull(), F.aggregate("_secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(LABEL)))).otherwise(F.col(text_col))
-    joined = docs.join(mine, docs[id_col].eqNullSafe(mine["_id"]), "left").withColumn(text_col, clean)
-    return joined.select(*docs.columns)
+    """``docs`` with every secret of a text replaced by a label, wherever it is a candidate there.
+
+    Findings meet their text by id and text hash, so rows that share an id,
+    or have none, are each cleaned by their own findings, and no group is
+    larger than one text's candidates.
+    """
+    each = findings.groupBy(F.col(id_col).alias("id"), "text_key", "candidate").agg(
+        F.max("is_secret").alias("secret"), F.collect_set("k").alias("ks"))
+    marks = (each.select("id", "text_key", "secret", F.explode("ks").alias("k")).groupBy("id", "text_key")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "secret"))), lambda x: x["secret"]).alias("marks"),
+                  F.max("secret").alias("any")).where("any").select(F.col("id").alias("mark_id"), F.col("text_key").alias("mark_key"), "marks"))
+    text = F.col("doc")[text_col].cast("string")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"),
+                       F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"))
+    met = rows.join(marks, rows["id"].eqNullSafe(marks["mark_id"]) & (rows["text_key"] == marks["mark_key"]), "left")
+    # the text is gap, candidate, gap, ..., candidate, gap
+    met = met.select("doc", "marks", F.when(F.col("marks").isNotNull(), F.split(text, CANDIDATE, -1)).alias("gaps"),
+                     F.when(F.col("marks").isNotNull(), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("found"))
+    pieces = F.transform("found", lambda c, i: F.concat(F.get("gaps", i), F.when(F.get("marks", i), F.lit(LABEL)).otherwise(c)))
+    clean = F.when(F.col("marks").isNotNull(), F.concat(F.array_join(pieces, ""), F.get("gaps", F.size("found")))).otherwise(text)
+    return met.select(*[(clean.cast(docs.schema[c].dataType) if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

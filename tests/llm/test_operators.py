@@ -234,6 +234,58 @@ def test_secrets_spans_and_forest(spark):
     assert secrets.scan(docs.limit(0), words).count() == 0
 
 
+def test_redact_rows_without_or_with_one_id(spark):
+    """Rows that share an id or have none are cleaned by the findings of their own text."""
+    key, other = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    texts = [f"token = {key} and {key} again", f"sha1 {other} end", f"token = {other}", "nothing", "", None]
+    docs = spark.createDataFrame([(i, t, 1, "m") for t in texts for i in (None, 7)] + [(7, texts[0], 1, "m")],
+                                 "doc_id long, text string, marks int, text_key string")
+    said = [(i, t, k, c, not t.startswith("sha1")) for t in texts[:3] for i in (None, 7) for k, c in enumerate(re.findall("[0-9a-f]{32}", t))]
+    findings = spark.createDataFrame(said + said[:1], "doc_id long, t string, k int, candidate string, is_secret boolean").withColumn("text_key", F.xxhash64("t"))
+    got = secrets.redact(docs, findings)
+    assert got.columns == docs.columns and got.schema["marks"].dataType == docs.schema["marks"].dataType
+    clean = [f"token = {secrets.LABEL} and {secrets.LABEL} again", texts[1], f"token = {secrets.LABEL}", "nothing", "", None]
+    want = [(i, t) for t in clean for i in (None, 7)] + [(7, clean[0])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_operators_on_odd_tables(spark, odd):
+    """Nulls in any column, repeated rows and ids, long texts, extra columns named as outputs."""
+    n = odd.count()
+    clash = odd.withColumns({c: F.lit("x") for c in ("host", "path", "verdict", "kept", "score", "component_id", "shard", "slot", "op", "n_words")})
+    assert simhash.near_duplicates(clash).count() == n
+    assert bands.quality_rules(clash, ["doc_id", "n_words"]).count() == n
+    assert quality.score(clash).count() == n
+    assert sharding.shard_documents(clash, n_shards=3).count() == n
+    words = spark.createDataFrame([("word",)], "word string")
+    assert secrets.redact(clash, secrets.scan(clash, words)).exceptAll(clash).count() <= n
+    items = odd.select(F.col("doc_id").alias("item_id"), "text", F.lit(1).alias("pos"))
+    found = templates.contaminated(clash, items)
+    # every text of five words and more holds itself
+    own = odd.where(F.size(F.split(F.trim("text"), r"\s+")) >= 8).where("doc_id >= 8").select("doc_id").distinct()
+    assert own.join(found.where("doc_id = item_id"), "doc_id", "left_anti").count() == 0
+    pages = clash.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "http://a.com/x").alias("url"), "host", "path", "verdict")
+    assert url_rules.judge(pages, url_rules.mine(pages.withColumn("blocked", F.col("page_id") % 2 == 0))).count() == n
+    changes = token_counts.inserts(clash, "words@1", 1)
+    assert token_counts.delta_of(changes).agg(F.sum("n_changes")).first()[0] == odd.select("doc_id").distinct().count()
+    records = spark.createDataFrame([(None, "revisit", None, None, None), (1, None, None, 5, None), (None, "response", None, 4, None), (3, "revisit", None, 6, None)],
+                                    "record_id long, kind string, url string, seconds long, headers map<string,string>").withColumns({"slice": F.lit(1), "found": F.lit(2)})
+    assert sorted(r.status for r in revisits.resolve(records).collect()) == ["no_response", "unchecked"]
+
+
+def test_stages_on_odd_tables(spark, odd, sf):
+    import corpus_pipeline
+    named = odd.withColumns({c: F.lit(1) for c in ("doc", "marks", "gaps", "text_key", "votes", "features", "posterior", "component_id", "item", "hash")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, named, sf)
+        rows = out.collect()
+        assert len(rows) <= named.count(), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == named.columns, name
+        else:
+            assert len(rows) == named.count()
+
+
 def test_rollup_commits_are_idempotent(spark):
     rollup = token_counts.Rollup(spark, run_dir(spark, "test-rollup"))
     assert rollup.totals().count() == 0
