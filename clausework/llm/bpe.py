@@ -6,8 +6,9 @@ token it makes) to the positions where it stands.  The index is drained in
 rank order: every merge of the lowest rank is applied at all its positions,
 and only the two touched neighbours of each merge enter the index again.
 Each distinct word of a block is merged once however often it occurs, and
-the words a Python worker has met are kept for its next blocks (a bounded
-table), so the work follows the distinct words.
+the words a task has met are kept for its next blocks (a bounded table that
+is let go when the task ends, so that an idle worker holds little), so the
+work follows the distinct words.
 
 Why blocks and not one index over the whole corpus: joining the merged
 words back to their occurrences would shuffle every word of the corpus
@@ -40,8 +41,8 @@ from pyspark.sql import types as T
 # Characters of text whose words are looked up together.
 BLOCK_CHARS = 3 << 20
 # Bytes of distinct unseen words replayed in one index.
-BLOCK_BYTES = 1 << 20
-# Words a Python worker remembers with their ids; a full table starts anew.
+BLOCK_BYTES = 1 << 19
+# Words a task remembers with their ids; a full table starts anew.
 TABLE_WORDS = 400_000
 
 # Space-led words, and runs of blanks without the blank that leads a word.
@@ -85,6 +86,10 @@ class Tokens:
         return b"".join(b"".join(map(look, ids[k:k + step].tolist())) for k in range(0, len(ids), step))
 
 
+    def forget(self) -> None:
+        """Nothing is kept of the values."""
+
+
 class MergeReplay:
     """Encodes texts, each distinct word once, by one vocabulary."""
 
@@ -102,6 +107,10 @@ class MergeReplay:
         self.pairs, self.makes = (np.array(x, np.int64) for x in zip(*pairs))
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Let go of the words met so far."""
+        self.known = {}
+
     def made(self, a, b):
         """The token (its rank) that each pair of tokens makes, or -1."""
         import numpy as np
@@ -292,9 +301,13 @@ def _mapped(df: DataFrame, vocab: Vocabulary, carry: list[str], in_col: str, out
                     stop += 1
                 values = work(ready, column.slice(start, stop - start).to_pylist())
                 out = pa.array(list(values), pa.binary())
+                del values
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, stop - start) for k in range(len(kept))), out],
                                                  names=[*kept, out_col])
+                del out
                 start = stop
+        ready.forget()
+        pa.default_memory_pool().release_unused()
 
     return df.select(*kept, F.col(in_col).alias("_in")).mapInArrow(run, schema)
 
