@@ -33,6 +33,8 @@ from clausework.llm.common import WORD_GAP, written
 WINDOW = 8
 MIN_WORDS = 5
 MIN_SHARE = 0.5
+# Windows of a text that are made together.
+CHUNK = 256
 # Item windows sent to every executor, at most (about 100 bytes each).
 BROADCAST_WINDOWS = 200_000
 
@@ -57,8 +59,14 @@ def _canonical(clean: Column) -> Column:
 
 
 def _templates(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] | None) -> DataFrame:
-    """``id``, ``pos``, ``len``, ``hash`` of every template window and ``slots``
-    (position, type and value) of its text."""
+    """``id``, ``n``, ``pos``, ``len``, ``hash`` of every template window and its ``slots``:
+    an array as long as the window with each slot's mark and value, null at plain words.
+
+    A text is dealt in chunks of ``CHUNK`` windows before these are made, so
+    that no row holds more than a chunk's windows and each window carries the
+    slots inside it and no others: the work is in proportion to a text's
+    length, however long it is.
+    """
     t = rows.select(F.col(id_col).alias("id"), _clean(F.col(text_col)).alias("clean"))
     t = t.select("id", "clean", _canonical(F.col("clean")).alias("canon"))
     gaps = F.split("clean", WORD_GAP)
@@ -68,49 +76,48 @@ def _templates(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] |
     full = F.filter("w", lambda w: w != "")
     places = F.when(F.col("raw").isNotNull(), F.filter(F.arrays_zip(F.col("w"), F.col("raw")), lambda x: x["w"] != ""))
     t = t.select("id", full.alias("w"), places.alias("both"))
-    slots = F.filter(F.transform(F.col("both"), lambda x, i: F.when(x["w"].rlike(r"^[\x01-\x03]"), F.struct(
-        i.alias("at"), F.substring(x["w"], 1, 1).alias("kind"), F.lower(F.regexp_replace(x["raw"], r"^[^\p{L}\p{N}+-]+|[^\p{L}\p{N}%€$£]+$", "")).alias("value")))),
-        lambda x: x.isNotNull())
-    t = t.select("id", "w", F.size("w").alias("n"), slots.alias("slots"))
+    values = F.transform("both", lambda x: F.when(x["w"].rlike(r"^[\x01-\x03]"), F.concat(
+        F.substring(x["w"], 1, 1), F.lower(F.regexp_replace(x["raw"], r"^[^\p{L}\p{N}+-]+|[^\p{L}\p{N}%€$£]+$", "")))))
+    t = t.select("id", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"), values.alias("v"))
     if lengths is None:  # an item: windows of its own length where it is short
-        t = t.where(F.col("n") >= MIN_WORDS).withColumn("len", F.least(F.col("n"), F.lit(WINDOW)))
-        parts = [t]
+        parts = [t.where(F.col("n") >= MIN_WORDS).withColumn("len", F.least(F.col("n"), F.lit(WINDOW)))]
     else:
         parts = [t.where(F.col("n") >= k).withColumn("len", F.lit(k)) for k in lengths]
+    n_windows = F.col("n") - F.col("len") + 1
     out = None
     for p in parts:
-        hashes = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1),
-                             lambda i: F.xxhash64(F.slice(F.col("w"), i, F.col("len"))))
-        p = p.select("id", "n", "len", "slots", F.posexplode(hashes).alias("pos", "hash"))
+        chunks = F.transform(F.sequence(F.lit(0), n_windows - 1, F.lit(CHUNK)), lambda b: F.struct(
+            b.alias("base"), F.slice(F.col("w"), b + 1, F.col("len") + (CHUNK - 1)).alias("w"),
+            F.slice(F.col("v"), b + 1, F.col("len") + (CHUNK - 1)).alias("v")))
+        p = p.select("id", "n", "len", F.explode(chunks).alias("c")).select("id", "n", "len", "c.*")
+        windows = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.struct(
+            F.xxhash64(F.slice(F.col("w"), i, F.col("len"))).alias("hash"), F.slice(F.col("v"), i, F.col("len")).alias("slots")))
+        p = (p.select("id", "n", "len", "base", F.posexplode(windows).alias("k", "window"))
+             .select("id", "n", "len", (F.col("base") + F.col("k")).alias("pos"), "window.*"))
         out = p if out is None else out.unionByName(p)
     return out
 
 
-def _slots_of(window_slots: str) -> Column:
-    """The slots that lie inside a window, by their place in it."""
-    inside = F.filter(F.col(window_slots), lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("pos") + F.col("len")))
-    return F.transform(inside, lambda s: F.struct((s["at"] - F.col("pos")).alias("at"), s["kind"].alias("kind"), s["value"].alias("value")))
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: ``id_col``, ``item_col``,
     ``hit_windows`` of the item's ``item_windows``, and whether it is
     ``reworded`` (some slot filled otherwise than in the item)."""
     windows = written(_templates(items, item_col, item_text_col, None).select(
-        F.col("id").alias("item"), "n", "len", F.col("pos").alias("item_pos"), "hash", _slots_of("slots").alias("item_slots")), "item-windows")
+        F.col("id").alias("item"), "n", "len", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")), "item-windows")
     shape = windows.agg(F.count("*"), F.collect_set("len")).first()
     lengths = sorted(shape[1]) or [WINDOW]
     side = F.broadcast(windows) if shape[0] <= BROADCAST_WINDOWS else windows
     met = (_templates(docs, id_col, text_col, lengths).drop("n").join(side, ["hash", "len"])
            .select(F.col("id").alias("doc"), "item", "n", "len", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
-                   _slots_of("slots").alias("doc_slots"), "item_slots"))
+                   F.col("slots").alias("doc_slots"), "item_slots"))
     met = written(met, "met-windows")
     # each value of the item must be one value of the document at an alignment
-    fillings = (met.where(F.size("item_slots") > 0)
-                .select("doc", "item", "shift", F.explode(F.arrays_zip("doc_slots", "item_slots")).alias("s"))
-                .groupBy("doc", "item", "shift", F.col("s.item_slots.kind").alias("kind"), F.col("s.item_slots.value").alias("value"))
-                .agg(F.min("s.doc_slots.value").alias("lo"), F.max("s.doc_slots.value").alias("hi"))
+    # (the templates are equal, so both sides have their slots, of one type each, at equal places)
+    fillings = (met.where(F.col("item_slots").isNotNull())
+                .select("doc", "item", "shift", F.explode(F.arrays_zip("doc_slots", "item_slots")).alias("s")).where("s.item_slots is not null")
+                .groupBy("doc", "item", "shift", F.col("s.item_slots").alias("value"))
+                .agg(F.min("s.doc_slots").alias("lo"), F.max("s.doc_slots").alias("hi"))
                 .groupBy("doc", "item", "shift").agg(F.max((F.col("lo") != F.col("hi")).cast("int")).alias("broken"),
                                                       F.max((F.col("lo") != F.col("value")).cast("int")).alias("other")))
     spots = met.groupBy("doc", "item", "shift", "item_pos", "n", "len").agg(F.count("*").alias("k"))
