@@ -1,8 +1,12 @@
 """Benchmark decontamination by template canonicalisation (operator 9, native).
 
 Texts and benchmark items are read as words without punctuation, lower-cased,
-in which a number, a unit after a number, and a capitalised word inside a
-sentence are typed placeholders (slots).  Every window of ``WINDOW`` words
+in which a number, a unit after or joined to a number, and a capitalised word
+inside a sentence are typed placeholders (slots).  A capitalised word that
+opens a sentence or a line may be a name or not: its windows are compared with
+it as itself and as a name, in every choice where a window holds several, so
+that sentences may open with other names and lines may be wrapped anew.  Every
+window of ``WINDOW`` words
 of every whole document is hash-joined with the windows of the items, so a
 question asked again with other numbers, names or units still meets its
 template.  Windows that meet at one alignment of document and item fill the
@@ -41,26 +45,36 @@ BROADCAST_WINDOWS = 200_000
 NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{N}+(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
 UNITS = ("%|€|\\$|£|km|kg|cm|mm|m|g|mg|l|ml|s|ms|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|"
          "meters?|metres?|grams?|lit(?:er|re)s?|dollars?|euros?|cents?|percent|degrees?")
+# A number joined to its unit.
+FUSED = rf"(?<![\p{{L}}\p{{N}}])([+-]?\p{{N}}+(?:[.,:/]\p{{N}}+)*)(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))"
 # The slots of a canonical text: marks no text holds (control characters are blanked first).
 NUM, UNIT, NAME = "\x01", "\x02", "\x03"
+# Around a word that opens a sentence or line and may be a name.
+OPEN, SHUT = "\x04", "\x05"
+CAPITALISED = r"\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 
 
 def _clean(text: Column) -> Column:
-    """Text with words of mere punctuation and the slot marks blanked."""
+    """Text with words of mere punctuation and the slot marks blanked, joined units apart, one blank for several."""
     text = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x00-\x08]+", " ")
-    return F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D%€$£]+(?![^\x20\x09-\x0D])", " ")
+    text = F.when(text.rlike(r"\p{N}[\p{L}%€$£]"), F.regexp_replace(text, FUSED, "$1 ")).otherwise(text)
+    text = F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D%€$£]+(?![^\x20\x09-\x0D])", " ")
+    return F.when(text.rlike(r"[\x20\x09]{2}"), F.regexp_replace(text, r"[\x20\x09]{2,}", " ")).otherwise(text)
 
 
 def _canonical(clean: Column) -> Column:
-    """The same words as ``clean`` has, lower-cased without punctuation, slots as marks."""
+    """The same words as ``clean`` has, lower-cased without punctuation, slots as marks, words that may be names between marks."""
     c = F.when(clean.rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace(clean, NUMBER, NUM), rf"(?<={NUM})({WORD_GAP})(?:{UNITS})(?![\p{{L}}\p{{N}}])", "$1" + UNIT)).otherwise(clean)
-    c = F.regexp_replace(c, r"(?<=[\p{L}\p{N},;][\x20\x09])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\x01-\x03\x20\x09-\x0D]+", ""))
+    c = F.regexp_replace(c, rf"(?<=[\p{{L}}\p{{N}}{NUM}{UNIT},;][\x20\x09]){CAPITALISED}", NAME)
+    c = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}\x01-\x03][^\x20\x09-\x0D]?){CAPITALISED}", f"{OPEN}$0{SHUT}")
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\x01-\x05\x20\x09-\x0D]+", ""))
 
 
 def _templates(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] | None) -> DataFrame:
     """``id``, ``n``, ``pos``, ``len``, ``hash`` of every template window and its ``slots``:
     an array as long as the window with each slot's mark and value, null at plain words.
+    A window with words that may be names has a row for each choice of them; of a
+    document (``lengths`` given) the slots of such rows are all that may be slots.
 
     A text is dealt in chunks of ``CHUNK`` windows before these are made, so
     that no row holds more than a chunk's windows and each window carries the
@@ -70,30 +84,47 @@ def _templates(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] |
     t = rows.select(F.col(id_col).alias("id"), _clean(F.col(text_col)).alias("clean"))
     t = t.select("id", "clean", _canonical(F.col("clean")).alias("canon"))
     gaps = F.split("clean", WORD_GAP)
-    has_slots = F.col("canon").rlike(r"[\x01-\x03]")
+    has_slots = F.col("canon").rlike(r"[\x01-\x04]")
     # words stand at equal places in both; those left empty are dropped from both
     t = t.select("id", F.split("canon", WORD_GAP).alias("w"), F.when(has_slots, gaps).alias("raw"))
     full = F.filter("w", lambda w: w != "")
     places = F.when(F.col("raw").isNotNull(), F.filter(F.arrays_zip(F.col("w"), F.col("raw")), lambda x: x["w"] != ""))
     t = t.select("id", full.alias("w"), places.alias("both"))
-    values = F.transform("both", lambda x: F.when(x["w"].rlike(r"^[\x01-\x03]"), F.concat(
-        F.substring(x["w"], 1, 1), F.lower(F.regexp_replace(x["raw"], r"^[^\p{L}\p{N}+-]+|[^\p{L}\p{N}%€$£]+$", "")))))
-    t = t.select("id", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"), values.alias("v"))
+    mark = lambda w: F.translate(F.substring(w, 1, 1), OPEN, NAME)
+    values = F.transform("both", lambda x: F.when(x["w"].rlike(r"^[\x01-\x04]"), F.concat(
+        mark(x["w"]), F.lower(F.regexp_replace(x["raw"], r"^[^\p{L}\p{N}%€$£+-]+|[^\p{L}\p{N}%€$£]+$", "")))))
+    plain = F.transform("w", lambda w: F.xxhash64(F.translate(w, OPEN + SHUT, "")))
+    names = F.when(F.col("both").isNotNull(), F.transform("w", lambda w: F.when(
+        w.startswith(OPEN), F.xxhash64(F.regexp_replace(w, f"^{OPEN}[^{SHUT}]*{SHUT}", NAME)))))
+    t = t.select("id", F.size("w").alias("n"), plain.alias("w"), names.alias("names"), values.alias("v"))
     if lengths is None:  # an item: windows of its own length where it is short
         parts = [t.where(F.col("n") >= MIN_WORDS).withColumn("len", F.least(F.col("n"), F.lit(WINDOW)))]
     else:
         parts = [t.where(F.col("n") >= k).withColumn("len", F.lit(k)) for k in lengths]
     n_windows = F.col("n") - F.col("len") + 1
+
+    def choices(i):
+        """The words of window ``i`` in every choice of its possible names."""
+        spots = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda j: F.get("names", i + j - 1).isNotNull())
+        asked = F.aggregate(spots, F.array(F.slice("w", i, F.col("len"))), lambda done, j: F.concat(done, F.transform(
+            done, lambda c: F.concat(F.slice(c, F.lit(1), j), F.array(F.get("names", i + j - 1)), F.slice(c, j + 2, F.col("len"))))))
+        return F.when(F.col("names").isNull(), F.array(F.slice("w", i, F.col("len")))).otherwise(asked)
+
+    def slots(c, i):
+        """The slots of window ``i`` in the choice ``c``: a word taken as itself is none."""
+        v = F.slice("v", i, F.col("len"))
+        return v if lengths is not None else F.transform(v, lambda x, j: F.when(
+            F.get("names", i + j - 1).isNull() | (F.get(c, j) == F.get("names", i + j - 1)), x))
+
     out = None
     for p in parts:
         chunks = F.transform(F.sequence(F.lit(0), n_windows - 1, F.lit(CHUNK)), lambda b: F.struct(
-            b.alias("base"), F.slice(F.col("w"), b + 1, F.col("len") + (CHUNK - 1)).alias("w"),
-            F.slice(F.col("v"), b + 1, F.col("len") + (CHUNK - 1)).alias("v")))
+            b.alias("base"), *(F.slice(F.col(c), b + 1, F.col("len") + (CHUNK - 1)).alias(c) for c in ("w", "names", "v"))))
         p = p.select("id", "n", "len", F.explode(chunks).alias("c")).select("id", "n", "len", "c.*")
-        windows = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.struct(
-            F.xxhash64(F.slice(F.col("w"), i, F.col("len"))).alias("hash"), F.slice(F.col("v"), i, F.col("len")).alias("slots")))
-        p = (p.select("id", "n", "len", "base", F.posexplode(windows).alias("k", "window"))
-             .select("id", "n", "len", (F.col("base") + F.col("k")).alias("pos"), "window.*"))
+        windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.transform(choices(i), lambda c: F.struct(
+            i.alias("k"), F.xxhash64(c).alias("hash"), slots(c, i).alias("slots")))))
+        p = (p.select("id", "n", "len", "base", F.explode(windows).alias("window"))
+             .select("id", "n", "len", (F.col("base") + F.col("window.k") - 1).alias("pos"), "window.hash", "window.slots"))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -110,7 +141,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     side = F.broadcast(windows) if shape[0] <= BROADCAST_WINDOWS else windows
     met = (_templates(docs, id_col, text_col, lengths).drop("n").join(side, ["hash", "len"])
            .select(F.col("id").alias("doc"), "item", "n", "len", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
-                   F.col("slots").alias("doc_slots"), "item_slots"))
+                   # equal templates have their slots at equal places: those of the item say which of the document's count
+                   F.transform("slots", lambda s, j: F.when(F.get("item_slots", j).isNotNull(), s)).alias("doc_slots"), "item_slots"))
     met = written(met, "met-windows")
     # each value of the item must be one value of the document at an alignment
     # (the templates are equal, so both sides have their slots, of one type each, at equal places)

@@ -365,3 +365,20 @@ def test_pipeline_drops_and_scrubs(spark, sf):
         seen = corpus_pipeline.written(after, name)
     assert 0 < seen.count() < docs.count()
     assert corpus_pipeline.run(spark, sf).count() == seen.count()
+
+
+def test_templates_at_sentence_and_line_starts(spark):
+    """Names that open a sentence or a line, names after a number, units joined to a number."""
+    items = [(1, "Tom has 5 apples and gives 2 to Anna. Anna eats one apple and keeps the rest. How many apples does Anna have?"),
+             (2, "A train runs 60km in 2h and a car runs 80km in 3h on the same road to town"),
+             (3, "In the year 1990 Anna and the old man from the mill by Berlin went up to the hills with bread")]
+    texts = {1: ["Max has 7 apples and gives 3 to Clara. Clara eats one apple and keeps the rest. How many apples does Clara have?",
+                 "Max has 7 apples and gives 3 to\nClara. Clara eats  one apple and keeps the rest. How many apples does\nClara have?",
+                 "so how is it: Max has 7 apples and gives 3 to Clara.\nClara eats one apple and keeps the rest. How many apples does\t Clara have?"],
+             2: ["A train runs 70 km in 4 h and a car runs 90 km in 5 h on the same road to town", "A train runs 70miles in 4min and a car runs 90miles in 5min on the same road to town"],
+             3: ["In the year 1871 Boris and the old man from the mill by Paris went up to the hills with bread"]}
+    docs = [(10 * i + k, t) for i, ts in texts.items() for k, t in enumerate(ts)]
+    docs += [(100 + i, t) for i, t in items]
+    got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    whole = {(r.doc_id, r.item_id): r.reworded for r in got if r.hit_windows == r.item_windows}
+    assert whole == {**{(d, d // 10): True for d, _ in docs if d < 100}, **{(100 + i, i): False for i, _ in items}}
