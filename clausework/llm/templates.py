@@ -11,9 +11,10 @@ of every whole document is hash-joined with the windows of the items, so a
 question asked again with other numbers, names or units still meets its
 template.  Windows that meet at one alignment of document and item fill the
 same slots; the fillings are consistent when each value of the item is
-replaced by one value throughout.  Inconsistent alignments are dropped, and
-a document holds an item when the windows of the remaining ones make up
-``MIN_SHARE`` of the item.
+replaced by one value throughout (equal numbers are one value where the same
+word follows them: 2 pens at 2 euros are two).  A window over a value that is
+replaced by several is dropped unless it is verbatim, and a document holds an
+item when the remaining windows make up ``MIN_SHARE`` of the item.
 
 Only expressions, joins and aggregates of Spark are used.  The item side is
 broadcast while its counted windows are at most ``BROADCAST_WINDOWS``; past
@@ -75,6 +76,8 @@ def _templates(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] |
     an array as long as the window with each slot's mark and value, null at plain words.
     A window with words that may be names has a row for each choice of them; of a
     document (``lengths`` given) the slots of such rows are all that may be slots.
+    The slots of an item are structs of the value and the ``key`` under which it
+    has to be filled alike: the value, of a number with what follows it.
 
     A text is dealt in chunks of ``CHUNK`` windows before these are made, so
     that no row holds more than a chunk's windows and each window carries the
@@ -93,6 +96,11 @@ def _templates(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] |
     mark = lambda w: F.translate(F.substring(w, 1, 1), OPEN, NAME)
     values = F.transform("both", lambda x: F.when(x["w"].rlike(r"^[\x01-\x04]"), F.concat(
         mark(x["w"]), F.lower(F.regexp_replace(x["raw"], r"^[^\p{L}\p{N}%€$£+-]+|[^\p{L}\p{N}%€$£]+$", "")))))
+    if lengths is None:
+        t = t.withColumn("v", values)
+        follows = lambda i: F.coalesce(F.get("v", i + 1), F.translate(F.get("both", i + 1)["w"], OPEN + SHUT, ""), F.lit(""))
+        values = F.transform("v", lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("value"), F.when(
+            x.startswith(NUM), F.concat(x, F.lit(NUM), follows(i))).otherwise(x).alias("key"))))
     plain = F.transform("w", lambda w: F.xxhash64(F.translate(w, OPEN + SHUT, "")))
     names = F.when(F.col("both").isNotNull(), F.transform("w", lambda w: F.when(
         w.startswith(OPEN), F.xxhash64(F.regexp_replace(w, f"^{OPEN}[^{SHUT}]*{SHUT}", NAME)))))
@@ -139,24 +147,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     shape = windows.agg(F.count("*"), F.collect_set("len")).first()
     lengths = sorted(shape[1]) or [WINDOW]
     side = F.broadcast(windows) if shape[0] <= BROADCAST_WINDOWS else windows
+    # equal templates have their slots at equal places: those of the item say which of the document's count
+    filled = F.filter(F.arrays_zip("slots", "item_slots"), lambda s: s["item_slots"].isNotNull())
     met = (_templates(docs, id_col, text_col, lengths).drop("n").join(side, ["hash", "len"])
            .select(F.col("id").alias("doc"), "item", "n", "len", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
-                   # equal templates have their slots at equal places: those of the item say which of the document's count
-                   F.transform("slots", lambda s, j: F.when(F.get("item_slots", j).isNotNull(), s)).alias("doc_slots"), "item_slots"))
+                   F.transform(filled, lambda s: F.struct(s["item_slots"]["key"].alias("key"), s["slots"].alias("value"),
+                                                          (s["slots"] != s["item_slots"]["value"]).alias("other"))).alias("slots")))
     met = written(met, "met-windows")
-    # each value of the item must be one value of the document at an alignment
-    # (the templates are equal, so both sides have their slots, of one type each, at equal places)
-    fillings = (met.where(F.col("item_slots").isNotNull())
-                .select("doc", "item", "shift", F.explode(F.arrays_zip("doc_slots", "item_slots")).alias("s")).where("s.item_slots is not null")
-                .groupBy("doc", "item", "shift", F.col("s.item_slots").alias("value"))
-                .agg(F.min("s.doc_slots").alias("lo"), F.max("s.doc_slots").alias("hi"))
-                .groupBy("doc", "item", "shift").agg(F.max((F.col("lo") != F.col("hi")).cast("int")).alias("broken"),
-                                                      F.max((F.col("lo") != F.col("value")).cast("int")).alias("other")))
-    spots = met.groupBy("doc", "item", "shift", "item_pos", "n", "len").agg(F.count("*").alias("k"))
-    same = [spots[c].eqNullSafe(fillings[c]) for c in ("doc", "item", "shift")]
-    held = spots.join(fillings, same[0] & same[1] & same[2], "left").where(F.coalesce("broken", F.lit(0)) == 0)
-    once = held.groupBy(spots["doc"], spots["item"], "item_pos").agg(
-        F.first("n").alias("n"), F.first("len").alias("len"), F.min(F.coalesce("other", F.lit(0))).alias("other"))
+    # the values of an item that an alignment replaces by more than one value
+    broken = (met.where(F.size("slots") > 0).select("doc", "item", "shift", F.explode("slots").alias("s"))
+              .groupBy("doc", "item", "shift", "s.key").agg(F.min("s.value").alias("lo"), F.max("s.value").alias("hi")).where("lo != hi")
+              .groupBy("doc", "item", "shift").agg(F.collect_set("key").alias("broken")))
+    spots = (met.select("doc", "item", "shift", "item_pos", "n", "len", F.transform("slots", lambda s: s["key"]).alias("keys"),
+                        F.coalesce(F.exists("slots", lambda s: s["other"]), F.lit(False)).cast("int").alias("other")).distinct())
+    same = [spots[c].eqNullSafe(broken[c]) for c in ("doc", "item", "shift")]
+    held = (spots.join(broken, same[0] & same[1] & same[2], "left")
+            .where((F.col("other") == 0) | F.col("broken").isNull() | ~F.arrays_overlap("keys", "broken")))
+    once = held.groupBy(spots["doc"], spots["item"], "item_pos").agg(F.first("n").alias("n"), F.first("len").alias("len"), F.min("other").alias("other"))
     return (once.groupBy("doc", "item").agg(F.count("*").alias("hit_windows"), F.max(F.col("n") - F.col("len") + 1).cast("long").alias("item_windows"),
                                             F.max("other").alias("other"))
             .where(F.col("hit_windows") >= MIN_SHARE * F.col("item_windows"))

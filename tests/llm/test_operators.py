@@ -382,3 +382,15 @@ def test_templates_at_sentence_and_line_starts(spark):
     got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     whole = {(r.doc_id, r.item_id): r.reworded for r in got if r.hit_windows == r.item_windows}
     assert whole == {**{(d, d // 10): True for d, _ in docs if d < 100}, **{(100 + i, i): False for i, _ in items}}
+
+
+def test_templates_leave_out_contradicting_windows_only(spark):
+    """A long copy with one of two equal numbers changed; one value held twice by chance."""
+    words = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    items = [(1, f"we count 12 apples at noon {words} and in the end 12 apples are left over for all of us here"),
+             (2, "a boy buys 2 pens at 2 euros each in the shop and pays at the desk by the door")]
+    docs = [(1, items[0][1].replace("end 12", "end 15")), (2, items[1][1].replace("2 pens at 2", "3 pens at 5")), (3, items[0][1])]
+    got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): (r.item_windows - r.hit_windows, r.reworded) for r in got}
+    # eight windows lie over the changed number of the first; none is left out of the others
+    assert found == {(1, 1): (8, False), (2, 2): (0, True), (3, 1): (0, False)}
