@@ -41,8 +41,8 @@ TREES, DEPTH, SEED = 24, 6, 7
 CONTEXT = 80
 LABEL = "[SECRET]"
 
-KEY = r"[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{KEY})(?=[A-Za-z+/_=-]*+[0-9]){KEY}{{16,}}+"
+KEY = r"[A-Za-z0-9+/_-]"
+CANDIDATE = rf"(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{16,}}+={{0,2}}"
 SECRET_NAMES = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|key)s?"
 OTHER_NAMES = r"(?:sha1|sha256|sha|md5|etag|checksum|digest|hash|commit|revision|uuid|guid|isbn|order|invoice|phone|card|number|no|id|version)s?"
 

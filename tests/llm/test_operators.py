@@ -394,3 +394,21 @@ def test_templates_leave_out_contradicting_windows_only(spark):
     found = {(r.doc_id, r.item_id): (r.item_windows - r.hit_windows, r.reworded) for r in got}
     # eight windows lie over the changed number of the first; none is left out of the others
     assert found == {(1, 1): (8, False), (2, 2): (0, True), (3, 1): (0, False)}
+
+
+def test_secrets_assigned_without_blanks(spark):
+    """The name of NAME=value is no part of the candidate and counts as its neighbour."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        rows.append((i, [f"export {['TOKEN', 'MY_OWN_SERVICE_API_KEY'][i % 2]}={key} now", f"see http://h.io/x?api_key={key}&user=me now", f"file sha1={key} now"][i % 3], key))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").drop("key")
+    words = spark.createDataFrame([("word",)], "word string")
+    found = secrets.scan(docs, words)
+    got = {(r.doc_id, r.candidate): r.is_secret for r in found.collect()}
+    assert {(i, k): i % 3 < 2 for i, _, k in rows}.items() <= got.items()
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    assert all(clean[i] == (t.replace(k, secrets.LABEL) if i % 3 < 2 else t) for i, t, k in rows)
+    padded = secrets.candidates(spark.createDataFrame([(1, "is QUJDREVGR0hJSktMTU5PUFE9== end")], "doc_id long, text string"), "doc_id", "text").collect()
+    assert [r.candidate for r in padded] == ["QUJDREVGR0hJSktMTU5PUFE9=="]
