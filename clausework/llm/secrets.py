@@ -1,6 +1,8 @@
 """Secret scans with a random forest for false positives (operator 5, native).
 
-Candidates are runs of 16 or more key characters with a digit.  Each has
+Candidates are runs of 16 or more key characters (several joined by dots are
+one), and every value assigned to a name such as ``password``, whatever its
+length and characters, up to its closing quote or white space.  Each has
 features: its length, the transitions between character classes, the shares
 of digits, capitals and distinct characters, how much of it dictionary words
 cover, whether it stands in a path or address, and what its neighbouring
@@ -9,7 +11,7 @@ candidates are secrets.
 
 Labelled findings may be given.  Where none are, ``label_findings`` labels
 those candidates whose surroundings leave no doubt: assigned to a name such
-as ``token`` (a secret); digits only, in a URL or path, named as a
+as ``token`` and no word (a secret, whatever the forest says); digits only, in a URL or path, named as a
 checksum or number, or mostly dictionary words (not one).  The forest learns
 each labelled finding twice, once with its neighbours hidden, so that it
 also judges candidates by their own look; it judges all candidates.  It is
@@ -42,12 +44,29 @@ CONTEXT = 80
 LABEL = "[SECRET]"
 
 KEY = r"[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{16,}}+={{0,2}}"
 SECRET_NAMES = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|key)s?"
 OTHER_NAMES = r"(?:sha1|sha256|sha|md5|etag|checksum|digest|hash|commit|revision|uuid|guid|isbn|order|invoice|phone|card|number|no|id|version)s?"
 
+# What a secret's name and an assignment look like, the identifier that ends in the name
+# and an opening quote included, and the value that follows.
+NAMED = rf"(?<![A-Za-z])(?i:{SECRET_NAMES})[\"'`]?[\x20\t]*(?:=>|:=|=|:)"
+ASSIGN = rf"(?:(?<!{KEY}){KEY}*?)?{NAMED}[\x20\t]*[\"'`]?"
+VALUE = (r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|"
+         r"[^\s\"'`]+?(?=&[A-Za-z0-9_.-]++=|[\s\"'`]|$|(?<![.,;)\]}>])[.,;)\]}>]++(?:[\s\"'`]|$)))")
+RUN = rf"(?<!{KEY})(?=[+/_-]*+[A-Za-z0-9]){KEY}{{16,}}+(?:\.(?!{KEY}*?{NAMED}){KEY}{{16,}}+)*+={{0,2}}"
+# Group 1 is what stands before an assigned value; a candidate is the match without it.
+CANDIDATE = rf"({ASSIGN})(?!//){VALUE}|{RUN}"
+
 OWN = ["length", "transitions", "digits", "capitals", "distinct", "vowels", "covered", "hex_only", "digits_only", "slashes", "dashes"]
-AROUND = ["named_secret", "named_other", "assigned", "quoted", "in_path", "address", "word_before"]
+AROUND = ["named_secret", "named_other", "assigned", "quoted", "in_path", "address", "word_before", "prose"]
+
+
+def _parts(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text and the gaps around them: gap, candidate, gap, ..., candidate, gap."""
+    heads, whole = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    found = F.zip_with(whole, heads, lambda w, h: w.substr(F.length(h) + 1, F.length(w)))
+    gaps = F.zip_with(F.split(text, CANDIDATE, -1), heads, lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    return found, gaps
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,8 +74,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``before`` and ``after`` of every candidate; ``k`` numbers those of a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), text.alias("t")).where(F.col("t").rlike(CANDIDATE)).select(
-        "id", F.xxhash64("t").alias("text_key"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("t", CANDIDATE, -1).alias("gaps"))
-    # the text is gap, candidate, gap, ..., candidate, gap
+        "id", F.xxhash64("t").alias("text_key"), F.monotonically_increasing_id().alias("row"), _parts(F.col("t"))[0].alias("c"), _parts(F.col("t"))[1].alias("gaps"))
     each = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"),
                                                   F.expr("1").alias("one"), F.get("gaps", i).substr(F.greatest(F.length(F.get("gaps", i)) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
                                                   F.get("gaps", i + 1).substr(F.lit(1), F.lit(CONTEXT)).alias("after")))
@@ -92,15 +110,18 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "assigned": _flag(b.rlike(r"(?:=|:|=>|:=)\s*[\"'`]?$")), "quoted": _flag(b.rlike(r"[\"'`]$") & a.rlike(r"^[\"'`]")),
         "in_path": _flag(b.rlike(r"(?:[a-z]+://|www\.|[/\\])\S*$") | F.col("candidate").rlike("/.*/")),
         "address": _flag(b.rlike(r"[@.]$") | a.rlike(r"^[@]|^\.[a-z]")),
-        "word_before": F.length(F.regexp_extract(b, r"([a-z]+)[^a-z]*$", 1)).cast("double")})
+        "word_before": F.length(F.regexp_extract(b, r"([a-z]+)[^a-z]*$", 1)).cast("double"),
+        # a word after a colon, or words between quotes
+        "prose": _flag((b.rlike(r":\s+$") & F.col("candidate").rlike(r"^\(?[A-Za-z]?[a-z]*[!?:]*$")) | F.col("candidate").rlike(r"\s"))})
     return out.drop("covered_chars")
 
 
 def label_rule() -> tuple[Column, Column]:
     """When a candidate is a secret, and when not one, beyond doubt."""
     c = F.col
-    sure = (c("named_secret") == 1) & (c("assigned") == 1) & (c("digits_only") == 0)
-    never = (c("digits_only") == 1) | (c("in_path") == 1) | (c("named_other") == 1) | (c("covered") >= 0.8) | (c("address") == 1)
+    looks = (c("length") >= 16) | (c("length") >= 8) & ((c("digits") > 0) | (c("transitions") > 0) | c("candidate").rlike(r"[^A-Za-z]"))
+    sure = (c("named_secret") == 1) & (c("assigned") == 1) & (c("digits_only") == 0) & (c("covered") < 0.8) & (c("prose") == 0) & looks
+    never = (c("digits_only") == 1) | (c("in_path") == 1) | (c("named_other") == 1) | (c("covered") >= 0.8) | (c("address") == 1) | (c("prose") == 1)
     return sure, never
 
 
@@ -114,9 +135,11 @@ def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_co
          train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``id_col, text_key, k, start, length, candidate, score, is_secret`` for every candidate.
 
+    What the label rule is sure of is a secret in any case where no labels are given.
     ``labelled`` has the feature columns, ``candidate`` and ``label``.
     """
     found = written(features(written(candidates(docs, id_col, text_col), "candidates"), dictionary), "featured")
+    sure = label_rule()[0] if labelled is None else F.lit(False)
     labelled = label_findings(found) if labelled is None else labelled
     inputs = [*OWN, *AROUND]
     labelled = labelled.select("candidate", "label", *inputs)
@@ -132,7 +155,7 @@ def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_co
     else:
         scored = found.withColumn("score", F.when(label_rule()[0], 1.0).otherwise(0.0))
     return scored.select(F.col("id").alias(id_col), "text_key", "k", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"),
-                         "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
+                         "candidate", "score", ((F.col("score") >= 0.5) | sure).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,9 +174,9 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"),
                        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"))
     met = rows.join(marks, rows["id"].eqNullSafe(marks["mark_id"]) & (rows["text_key"] == marks["mark_key"]), "left")
-    # the text is gap, candidate, gap, ..., candidate, gap
-    met = met.select("doc", "marks", F.when(F.col("marks").isNotNull(), F.split(text, CANDIDATE, -1)).alias("gaps"),
-                     F.when(F.col("marks").isNotNull(), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("found"))
+    found, gaps = _parts(text)
+    met = met.select("doc", "marks", F.when(F.col("marks").isNotNull(), gaps).alias("gaps"),
+                     F.when(F.col("marks").isNotNull(), found).alias("found"))
     pieces = F.transform("found", lambda c, i: F.concat(F.get("gaps", i), F.when(F.get("marks", i), F.lit(LABEL)).otherwise(c)))
     clean = F.when(F.col("marks").isNotNull(), F.concat(F.array_join(pieces, ""), F.get("gaps", F.size("found")))).otherwise(text)
     return met.select(*[(clean.cast(docs.schema[c].dataType) if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -396,6 +396,25 @@ def test_templates_leave_out_contradicting_windows_only(spark):
     assert found == {(1, 1): (8, False), (2, 2): (0, True), (3, 1): (0, False)}
 
 
+def test_secrets_of_any_length_and_alphabet(spark):
+    """Short passwords, keys without a digit, marks, dotted tokens; prose after a name is none."""
+    rng = random.Random(8)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    rows = [(i, f'start token = "{h}" then http://h.io/a/{h[:20]} and {rng.randint(10**15, 10**16 - 1)} end. The key: this is it') for i, h in enumerate(hexes)]
+    odd_ones = {100: ('password = "Tr0ub4.dor!"', "Tr0ub4.dor!"), 101: ("pwd: s3cr$t@~x next", "s3cr$t@~x"), 102: ("api_key = 'KQXWERTYZUIOPLKA'", "KQXWERTYZUIOPLKA"),
+                102 + 1: ("token: eyJhbGci.eyJzdWIi.c2lnbmF0 end", "eyJhbGci.eyJzdWIi.c2lnbmF0")}
+    rows += [(i, t) for i, (t, _) in odd_ones.items()] + [(200, "found KQXWERTYZUIOPLKAMNBV here"), (201, "The key: nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs, spark.createDataFrame([("nothing",), ("this",)], "word string"))
+    got, texts = found.collect(), dict(rows)
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.candidate for r in got)
+    assert {(i, v) for i, (_, v) in odd_ones.items()} <= {(r.doc_id, r.candidate) for r in got if r.is_secret}
+    assert (200, "KQXWERTYZUIOPLKAMNBV") in {(r.doc_id, r.candidate) for r in got}
+    assert not {"nothing", "this"} & {r.candidate for r in got if r.is_secret}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    assert all(clean[i] == t.replace(v, secrets.LABEL) for i, (t, v) in odd_ones.items())
+
+
 def test_secrets_assigned_without_blanks(spark):
     """The name of NAME=value is no part of the candidate and counts as its neighbour."""
     rng = random.Random(9)
