@@ -11,7 +11,7 @@ included (``parse_strict``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausework import constants as C
@@ -43,6 +43,15 @@ def analysis_prompt(raw_text) -> Column:
     return F.concat(F.lit(C.PROMPT_TEMPLATE), prefix(F.coalesce(raw_text, F.lit("")), C.LLM_INPUT_CHARS))
 
 
+def prompt_parts(documents: DataFrame, id_col: str = "document_id", text_col: str = "raw_text") -> DataFrame:
+    """``id_col, part, prompt`` over the whole text: part 0 is ``analysis_prompt``, each
+    further one has the next 12,000 characters; an empty text has part 0 only."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(C.LLM_INPUT_CHARS))
+    parts = F.transform(starts, lambda s: F.concat(F.lit(C.PROMPT_TEMPLATE), text.substr(s + 1, F.lit(C.LLM_INPUT_CHARS))))
+    return documents.select(id_col, F.posexplode(parts).alias("part", "prompt"))
+
+
 def clean_response(text) -> Column:
     """Strip, drop every fence marker in order, strip again."""
     out = strip_ws(text)

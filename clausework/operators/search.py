@@ -67,10 +67,11 @@ def _area(rows: DataFrame, rank: int, title, matched_text, severity, t1, t2) ->
                        severity.cast("string").alias("severity"), t1.alias("_t1"), t2.cast("string").alias("_t2"))
 
 
-def clause_rows(clauses: DataFrame) -> DataFrame:
-    """Clauses, searched in the lowered type and text."""
+def clause_rows(clauses: DataFrame, searched: str = "clause_text") -> DataFrame:
+    """Clauses, searched in the lowered type and text (P1); ``searched`` may be
+    ``clause_text_full``, the text before the service's cut."""
     return _area(clauses, 1, F.col("clause_type"), F.col("clause_text"), F.lit(None),
-                 F.lower("clause_type"), F.lower("clause_text"))
+                 F.lower("clause_type"), F.lower(searched))
 
 
 def risk_rows(risks: DataFrame) -> DataFrame:

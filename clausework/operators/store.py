@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.arrays import explode_with_pos
-from clausework.functions.text import coerce_score, safe_name
+from clausework.functions.text import coerce_score, safe_name, split_paragraphs
 from clausework.operators.analysis import with_analysis
 from clausework.operators.logs import written_or_logged
 from clausework.operators.rules import empty_analysis
@@ -163,13 +163,31 @@ def parties_table(analysed: DataFrame) -> DataFrame:
                             "pos", "party_name").select(*CHILD_COLUMNS["parties"], *CARRIED)
 
 
+def _whole_clauses(analysed: DataFrame) -> DataFrame:
+    """``analysed`` with ``_whole``, its clauses with ``clause_text_full``: a text of the
+    rules as long as their cut is read again from the first paragraph with its keyword."""
+    clauses = F.col("analysis.key_clauses")
+    is_cut = lambda c: (F.length(c["clause_text"]) == C.CLAUSE_TEXT_CHARS) & (F.col("analysis.mode") == C.RULES_MODE)
+    split = analysed.withColumn("_paras", F.when(F.exists(clauses, is_cut), split_paragraphs("raw_text")))
+
+    def whole(c):
+        first = F.get(F.filter("_paras", lambda p: p.startswith(c["clause_text"]) & F.lower(p).contains(F.lower(c["clause_type"]))), F.lit(0))
+        text = F.coalesce(c["clause_text"], F.lit(""))
+        return F.struct(c["clause_type"].alias("clause_type"), c["clause_text"].alias("clause_text"),
+                        F.when(is_cut(c), F.coalesce(first, text)).otherwise(text).alias("clause_text_full"))
+
+    return split.withColumn("_whole", F.transform(clauses, whole))
+
+
 def clauses_table(analysed: DataFrame) -> DataFrame:
-    """One row per clause (K3); missing fields are ''."""
-    return (explode_with_pos(_processed(analysed), ["document_id", *CARRIED], F.col("analysis.key_clauses"),
+    """One row per clause (K3); missing fields are ''.  ``clause_text_full`` is
+    the text before the service's cut, carried beside its columns."""
+    return (explode_with_pos(_whole_clauses(_processed(analysed)), ["document_id", *CARRIED], F.col("_whole"),
                              "pos", "c")
             .select("document_id", "pos",
                     F.coalesce(F.col("c.clause_type"), F.lit("")).alias("clause_type"),
-                    F.coalesce(F.col("c.clause_text"), F.lit("")).alias("clause_text"), *CARRIED))
+                    F.coalesce(F.col("c.clause_text"), F.lit("")).alias("clause_text"),
+                    F.col("c.clause_text_full").alias("clause_text_full"), *CARRIED))
 
 
 def risks_table(analysed: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ def q_document_parties(spark, sf):
 
 def q_documents_clauses(spark, sf):
     st = _rules_store(spark, sf)
-    return ST.with_document(st.clauses, st.documents)
+    return ST.with_document(ST.child_view(st.clauses, "clauses"), st.documents)
 
 
 def q_documents_risks(spark, sf):

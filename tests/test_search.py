@@ -42,3 +42,25 @@ def test_null_fields(spark):
     areas = sorted((h.query_id, h.match_area) for h in hits)
     # NULL severity renders as 'None' and matches; NULL clause type is ''
     assert areas == [(1, "Risk"), (2, "Clause"), (3, "Risk")]
+
+
+def test_whole_clause_is_searched_and_prompts_cover_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    from clausework import constants as C
+    from clausework.functions.responses import analysis_prompt, prompt_parts
+    from clausework.operators import search as S
+    from clausework.operators.rules import with_rule_analysis
+    from clausework.operators.store import clauses_table
+    long = "Termination " + "on notice " * 3000 + "zebra"
+    docs = spark.createDataFrame([("a", long), ("b", "Payment is due in thirty days."), ("c", None)], "document_id string, raw_text string")
+    files = docs.where("raw_text is not null").withColumns({"file_name": F.lit("f"), "uploaded_at": F.lit(0).cast("timestamp"), "status": F.lit(C.STATUS_PROCESSED)})
+    clauses = clauses_table(with_rule_analysis(files))
+    assert {(r.clause_text, r.clause_text_full) for r in clauses.collect()} == {(long[:1000], long), ("Payment is due in thirty days.",) * 2}
+    query = spark.createDataFrame([(1, "Zebra")], "query_id int, query_text string")
+    assert S.hits_of(S.clause_rows(clauses), query).count() == 0
+    assert [r.document_id for r in S.hits_of(S.clause_rows(clauses, "clause_text_full"), query).collect()] == ["a"]
+    parts = {(r.document_id, r.part): r.prompt for r in prompt_parts(docs).collect()}
+    assert set(parts) == {("a", 0), ("a", 1), ("a", 2), ("b", 0), ("c", 0)}
+    assert "".join(parts["a", k][len(C.PROMPT_TEMPLATE):] for k in range(3)) == long
+    assert all(r.p == parts[r.document_id, 0] for r in docs.select("document_id", analysis_prompt(F.col("raw_text")).alias("p")).collect())
