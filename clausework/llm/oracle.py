@@ -1,8 +1,9 @@
-"""DuckDB SQL for those of the ten queries that SQL can express."""
+"""DuckDB SQL for those of the operator queries that SQL can express."""
 
 from __future__ import annotations
 
 from clausework.llm import revisits
+from clausework.llm.vector_codes import ENTRIES, MAX_COMPONENT, PARTS, ROUNDS, SCALE
 
 _WORDS = {
     "words@1": r"[^\x20\x09-\x0D]+",
@@ -57,4 +58,37 @@ SELECT CAST(record_id AS BIGINT) AS record_id, canonical_url, CAST(CASE WHEN sta
   CASE WHEN status IN ('resolved', 'unchecked') THEN {lines(new)} ELSE {lines(own)} END AS headers FROM k"""
 
 
-ORACLE = {"op6_token_rollups": _op6(), "op10_revisits": _op10()}
+def _op13() -> str:
+    floored = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for k in range(ROUNDS + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (
+  SELECT p.rn, p.part, e.entry, CAST(sum((p.v - e.v) * (p.v - e.v)) AS BIGINT) AS dist
+  FROM pieces p JOIN book{k} e USING (part, pos) GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT rn, part, arg_min(entry, dist * {ENTRIES} + entry) AS entry, min(dist) AS dist FROM d{k} GROUP BY ALL)""")
+        if k < ROUNDS:
+            steps.append(f"""
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, CAST(CASE WHEN n IS NULL THEN o.v ELSE {floored} END AS BIGINT) AS v
+  FROM book{k} o LEFT JOIN (
+    SELECT part, entry, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM pieces JOIN a{k} USING (rn, part) GROUP BY ALL) USING (part, entry, pos))""")
+    last = ROUNDS
+    return f"""
+WITH valid AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c) AND abs(c) < {MAX_COMPONENT})) = len(embedding)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS rn FROM valid),
+kept AS MATERIALIZED (SELECT * FROM numbered WHERE len(x) = (SELECT len(x) FROM numbered WHERE rn = 0)),
+pieces AS MATERIALIZED (
+  SELECT rn, {PARTS} * i // len(x) AS part, i AS pos, x[i + 1] AS v
+  FROM (SELECT rn, x, unnest(range(len(x))) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT part, r.entry, pos, v FROM pieces JOIN (
+  SELECT rn, row_number() OVER (ORDER BY rn) - 1 AS entry FROM kept ORDER BY rn LIMIT {ENTRIES}) r USING (rn)),{",".join(steps)},
+digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{last}),
+coded AS (SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{last} GROUP BY rn)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rn), digest"""
+
+
+ORACLE = {"op6_token_rollups": _op6(), "op10_revisits": _op10(), "op13_ball_kmeans": _op13()}

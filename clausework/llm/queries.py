@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm import bands, bpe, quality, revisits, secrets, sharding, simhash, templates, token_counts, url_rules
+from clausework.llm import bands, bpe, quality, revisits, secrets, sharding, simhash, templates, token_counts, url_rules, vector_codes
 from clausework.llm.common import load, written
 from clausework.session import run_dir
 
@@ -141,6 +141,12 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("record_id", "canonical_url", "response_id", "status", revisits.header_text(F.col("headers")).alias("headers"))
 
 
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
+    return vector_codes.with_label_errors(coded, "label").select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_weak_labels, op2_byte_bpe, op3_simhash, op4_url_filters, op5_secret_forest, op6_token_rollups, op7_kd_shards,
-    op8_compression_bands, op9_template_decontamination, op10_revisits)}
+    op8_compression_bands, op9_template_decontamination, op10_revisits, op13_ball_kmeans)}
