@@ -91,4 +91,32 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM kept JOIN coded USING (rn), digest"""
 
 
-ORACLE = {"op6_token_rollups": _op6(), "op10_revisits": _op10(), "op13_ball_kmeans": _op13()}
+def _op12() -> str:
+    return """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, string_split_regex(t, '[\\x20\\x09-\\x0D]+') AS raw, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+v AS (SELECT *, list_filter(raw, lambda x: x <> '') AS ws FROM w),
+f AS (SELECT doc_id, part,
+  CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN CASE WHEN doc_id IS NULL THEN least IS NOT NULL ELSE least < doc_id END THEN 16 ELSE 0 END AS mask FROM v),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+k AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(name, bit)),
+o AS (SELECT [a, b, c, x, y] AS names FROM (SELECT k1.name AS a, k2.name AS b, k3.name AS c, k4.name AS x, k5.name AS y
+  FROM k k1, k k2, k k3, k k4, k k5) WHERE len(list_distinct([a, b, c, x, y])) = 5),
+s AS (SELECT array_to_string(names, '') AS filter_order, i AS step, names[i] AS name,
+  coalesce(list_sum(list_transform(names[1:i - 1], lambda x: 1 << (ascii(x) - 65))), 0)::INT AS gone FROM o, (SELECT unnest(range(1, 6)) AS i)),
+g AS (SELECT p.part, s.*, k.bit FROM (SELECT DISTINCT part FROM d) p, s JOIN k USING (name)),
+r AS (SELECT g.part, g.filter_order, g.step, g.name,
+  sum(CASE WHEN mask & gone = 0 AND mask & bit = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & gone = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & gone <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & gone = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & gone = 0 AND mask & bit <> 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM g JOIN m ON m.part = g.part GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS BIGINT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley FROM r"""
+
+
+ORACLE = {"op6_token_rollups": _op6(), "op10_revisits": _op10(), "op12_filter_audit": _op12(), "op13_ball_kmeans": _op13()}

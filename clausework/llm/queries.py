@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm import bands, bpe, quality, revisits, secrets, sharding, simhash, templates, token_counts, url_rules, vector_codes
+from clausework.llm import bands, bpe, filter_audit, pii, quality, revisits, secrets, sharding, simhash, templates, token_counts, url_rules, vector_codes
 from clausework.llm.common import load, written
 from clausework.session import run_dir
 
@@ -141,6 +141,22 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("record_id", "canonical_url", "response_id", "status", revisits.header_text(F.col("headers")).alias("headers"))
 
 
+def spans_text(spans: Column) -> Column:
+    """``kind:start:end`` of spans in order, comma-joined."""
+    name = F.array(*(F.lit(k) for k in pii.KINDS))
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(name, s["rank"]), s["start"], s["stop"])), ",")
+
+
+def op11_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(load(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "added")).alias("spans"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
     return vector_codes.with_label_errors(coded, "label").select(
@@ -149,4 +165,4 @@ def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_weak_labels, op2_byte_bpe, op3_simhash, op4_url_filters, op5_secret_forest, op6_token_rollups, op7_kd_shards,
-    op8_compression_bands, op9_template_decontamination, op10_revisits, op13_ball_kmeans)}
+    op8_compression_bands, op9_template_decontamination, op10_revisits, op11_semi_crf, op12_filter_audit, op13_ball_kmeans)}
