@@ -149,7 +149,8 @@ def spans_text(spans: Column) -> Column:
 
 def op11_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(load(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    of_kind = lambda k: F.filter("base", lambda s: s["rank"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "added")).alias("spans"))
 
 
