@@ -13,7 +13,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from clausework.operators.analysis import with_analysis
 from clausework.operators.logs import written_or_logged
 from clausework.operators.rules import empty_analysis
 from clausework.operators.search import paragraph_table
+from clausework.operators.snapshots import Snapshots
 from clausework.sources.corpus import with_status
 
 # Columns of the child tables as the service stores them (plus our ``pos``).
@@ -114,15 +114,30 @@ class Store:
             for done in [pool.submit(write_one, name) for name in TABLES]:
                 done.result()
 
+    def append(self, path: str, batch: str, more: dict[str, DataFrame] | None = None, partition_by: dict[str, list[str]] | None = None,
+               **how) -> int | None:
+        """Add the tables of a batch (and ``more`` of the same batch) to the store under ``path`` in one
+        commit; its version, or None when the batch was there already (``operators.snapshots``)."""
+        tables = {name: getattr(self, name) for name in TABLES}
+        tables = {name: df if name == "outcomes" else df.sortWithinPartitions("document_id") for name, df in tables.items()}
+        return Snapshots(path=path, spark=self.documents.sparkSession).commit(
+            batch, tables | (more or {}), partition_by, optional=("upload_log",), **how)
+
+    @staticmethod
+    def current(spark: SparkSession, path: str, version: int | None = None) -> "Store":
+        """All batches committed by ``append`` up to a version (the latest by default)."""
+        log = Snapshots(spark, path)
+        return Store(*[log.read(n, version, UPLOAD_LOG if n == "upload_log" else None) for n in TABLES])
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Store":
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+
         def table(name: str) -> DataFrame:
-            try:
-                return spark.read.parquet(f"{path}/{name}")
-            except AnalysisException:
-                if name != "upload_log":
-                    raise
+            folder = hadoop(f"{path}/{name}")
+            if name == "upload_log" and not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
                 return spark.createDataFrame([], UPLOAD_LOG)  # the log could not be written
+            return spark.read.parquet(f"{path}/{name}")
 
         return Store(*[table(n) for n in TABLES])
 

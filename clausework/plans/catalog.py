@@ -19,7 +19,10 @@ from clausework.functions.arrays import explode_with_pos
 from clausework.functions import text as T
 from clausework.operators import reports as RP
 from clausework.operators import search as S
+from clausework.operators import search_index as SI
 from clausework.operators import store as ST
+from clausework.operators import upload as UP
+from clausework.operators.newest import NewestFirst, write_by_time
 from clausework.operators.analysis import normalized, with_analysis, with_response_checks
 from clausework.operators.rules import keyword_matches, with_rule_analysis
 from clausework.session import run_dir
@@ -471,6 +474,84 @@ def q_analysis_with_fallback(spark, sf):
     return _flat_analysis(with_analysis(CP.processed(spark, sf), CP.responses(spark, sf)))
 
 
+# --------------------------------------------------------------------------
+# batches committed to one store, the stored search index, early-ending search
+# --------------------------------------------------------------------------
+
+def _halves(df: DataFrame) -> list[DataFrame]:
+    """A table as two batches that together are the whole of it."""
+    half = F.pmod(F.xxhash64("file_name"), F.lit(2))
+    return [df.where(half == 0), df.where(half == 1)]
+
+
+def _appended(spark, sf) -> str:
+    """The corpus with its responses committed as two batches, the first one sent twice."""
+    path = run_dir(spark, "append-store")
+    analysed = ST.persist_analysed(ST.analyse_files(CP.corpus(spark, sf), CP.responses(spark, sf)), path)
+    one, two = (ST.Store.from_analysed(part) for part in _halves(analysed))
+    for batch, st in (("one", one), ("two", two), ("one", one)):
+        st.append(path, batch)
+    return path
+
+
+def q_append_documents(spark, sf):
+    return ST.Store.current(spark, _appended(spark, sf)).documents.drop("uploaded_at")
+
+
+def q_append_clauses(spark, sf):
+    return ST.child_view(ST.Store.current(spark, _appended(spark, sf)).clauses, "clauses")
+
+
+def q_append_log(spark, sf):
+    return (ST.Store.current(spark, _appended(spark, sf)).upload_log
+            .select("document_id", "file_name", "document_type", F.col("risk_score").cast("bigint").alias("risk_score"),
+                    "mode", "status", "gcs_path", "uploaded_at"))
+
+
+def q_upload_job(spark, sf):
+    """Landed files uploaded in two jobs, read back from the store: documents with their outcome."""
+    path = run_dir(spark, "uploads")
+    for k, files in enumerate(_halves(CP.corpus_files(spark, sf))):
+        UP.upload(files, path, f"upload-{k}", index=False)
+    docs = ST.Store.current(spark, path).documents
+    return docs.select("file_name", "document_type", F.col("risk_score").cast("bigint").alias("risk_score"),
+                       "mode", F.length("raw_text").cast("bigint").alias("n_chars"))
+
+
+def _indexed(spark, sf) -> tuple[SI.SearchIndex, DataFrame]:
+    """The searchable rows indexed as two segments, the first one sent twice."""
+    rows = _search_rows(spark, sf)
+    index = SI.SearchIndex(spark, run_dir(spark, "search-index"))
+    one, two = _halves(rows)
+    for batch, part in (("one", one), ("two", two), ("one", one)):
+        index.add(batch, part)
+    return index, rows
+
+
+def q_indexed_search(spark, sf):
+    """Every hit of every query from the stored index (as ``search_all``)."""
+    index, rows = _indexed(spark, sf)
+    return index.hits(CP.search_queries(spark), rows).drop("uploaded_at", "area_rank")
+
+
+def q_indexed_search_words(spark, sf):
+    """Counts of as many queries as the benchmark has words, from a merged index (as ``batch_search_words``)."""
+    index, _ = _indexed(spark, sf)
+    index.merge("merged")
+    return index.counts(CP.word_queries(spark, sf))
+
+
+# The corpus has a document a second: slices of two minutes stand for days.
+CORPUS_SLICE_SECONDS = 120
+
+
+def q_newest_top50(spark, sf):
+    """The first 50 hits of each query from rows stored by upload time (as ``search_top50``)."""
+    path = run_dir(spark, "rows-by-time")
+    write_by_time(_search_rows(spark, sf), path, CORPUS_SLICE_SECONDS)
+    return NewestFirst(spark, path).top(CP.search_queries(spark)).drop("uploaded_at", "area_rank")
+
+
 # --------------------------------------------------------------------------
 # step 8: streaming intake
 # --------------------------------------------------------------------------
@@ -521,6 +602,10 @@ QUERIES: dict[str, Query] = {
     "analysis_prompts": q_analysis_prompts, "response_clean": q_response_clean,
     "response_parse": q_response_parse, "response_valid": q_response_valid,
     "analysis_with_fallback": q_analysis_with_fallback,
+    # batches, index, early end
+    "append_documents": q_append_documents, "append_clauses": q_append_clauses, "append_log": q_append_log,
+    "upload_job": q_upload_job, "indexed_search": q_indexed_search, "indexed_search_words": q_indexed_search_words,
+    "newest_top50": q_newest_top50,
     # step 8
     "stream_intake": q_stream_intake,
 }

@@ -467,5 +467,18 @@ ORACLE: dict[str, str] = {
 }
 
 
+# The same rows by another way: stored batches, the index, the early-ending search.
+ORACLE |= {
+    "append_documents": ORACLE["write_documents"], "append_clauses": ORACLE["write_clauses"],
+    "indexed_search": ORACLE["search_all"], "indexed_search_words": ORACLE["batch_search_words"],
+    "newest_top50": ORACLE["search_top50"], "upload_job": ORACLE["stream_intake"],
+    "append_log": """SELECT o.document_id, o.file_name, coalesce(d.document_type, '') AS document_type,
+                     CAST(TRY_CAST(d.risk_score AS INTEGER) AS BIGINT) AS risk_score, coalesce(d.mode, '') AS mode,
+                     CASE WHEN o.status = 'processed' THEN 'processed' ELSE 'failed_no_text' END AS status,
+                     CAST(NULL AS VARCHAR) AS gcs_path, o.uploaded_at
+                     FROM outcome o LEFT JOIN ldocs d USING (document_id) WHERE o.status <> 'skipped'""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_base(v, k in ALL_DOCUMENTS) for k, v in ORACLE.items()}
