@@ -42,6 +42,21 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def text_key(text: Column | str) -> Column:
+    """A hash that tells rows of one id apart by their texts; null is as empty."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that are not among ``gone`` (``id_col`` and ``text_key``):
+    a row goes by its own id and text, a null id is an id like any other."""
+    out = gone.select(F.col(id_col).alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own_id"), text_key(text_col).alias("_own_key"))
+    kept = own.join(out, F.col("_own_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_key") == F.col("_gone_key")), "left_anti")
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
 def lower_ascii(text: Column | str) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(text, A_TO_Z, A_TO_Z.lower())
