@@ -52,6 +52,8 @@ RANGE_BYTES = 32 << 20
 # Copies of one text that are merged by one task at least.
 FAN_IN = 64
 FIRST_PREFIX, LONGER = 4, 4
+# Bytes of too heavy prefixes of a level that are sent to every executor at most.
+BROADCAST_BYTES = 8 << 20
 
 
 class TextTrie:
@@ -160,7 +162,7 @@ def _prefix_keys(entries: DataFrame, share: int) -> tuple[DataFrame, bool]:
 
     A key shorter than its level's length is a whole text.  Only keys that
     are too heavy reach the driver, at most the table's bytes over ``share`` a
-    level; whether they are broadcast is left to Spark, which knows their size.
+    level; they are broadcast while their own bytes are within a bound.
     """
     spark = entries.sparkSession
     weight = F.octet_length("text") + 16
@@ -174,6 +176,8 @@ def _prefix_keys(entries: DataFrame, share: int) -> tuple[DataFrame, bool]:
         groups = [(r.key, 0 if len(r.key) == length else max(1, min(-(-r.bytes // share), -(-r.n // FAN_IN)))) for r in heavy]
         whole = whole or any(n > 1 for _, n in groups)
         table = spark.createDataFrame(groups, "heavy string, groups int")
+        if sum(4 * len(k) + 32 for k, _ in groups) <= BROADCAST_BYTES:
+            table = F.broadcast(table)  # the texts stay where they are
         length *= LONGER
         met = keyed.join(table, F.col("open") & (F.col("key") == F.col("heavy")), "left")
         split = F.coalesce(F.col("groups") == 0, F.lit(False))
