@@ -100,6 +100,7 @@ PROMPT_TEMPLATE = (
 # Stable error codes for a rejected response (the original used exception text).
 ERR_INVALID_JSON = "INVALID_JSON"
 ERR_SCHEMA = "SCHEMA_MISMATCH"
+ERR_PART_MISSING = "PART_MISSING"   # a part of a prompt has no answer
 ERR_CALL_FAILED = "CALL_FAILED"
 
 # Derived corpus (FIXTURES.md section 3): extension by doc_id % 6.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.responses import clean_response, parse_strict, parsed_fields, response_checks
+from clausework.functions.text import strip_ws
 from clausework.operators.rules import analysis_struct, with_rule_analysis
 
 
@@ -69,8 +70,8 @@ def with_analysis(docs: DataFrame, responses: DataFrame | None = None,
                   "_has_resp", "_resp_row"))
 
 
-def one_response_per_document(checked: DataFrame) -> DataFrame:
-    """One checked response per document, so a document is never stored twice.
+def one_response_per_document(checked: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """One checked response per document (or other ``keys``), so a document is never stored twice.
 
     The service asks once per document; a responses table written twice
     (e.g. a re-run appended) may repeat a key.  A usable response wins over
@@ -79,13 +80,66 @@ def one_response_per_document(checked: DataFrame) -> DataFrame:
     repeated in a third of all rows ships one row per map task; the join
     that follows reuses this partitioning on ``document_id``.
     """
-    fields = [c for c in checked.columns if c != "document_id"]
+    fields = [c for c in checked.columns if c not in keys]
     rank = F.struct((~(F.coalesce(F.col("_has_resp"), F.lit(False))
                        & F.coalesce(F.col("resp_valid"), F.lit(False)))).alias("unusable"),
                     F.col("response_text").alias("text"))
-    best = (checked.groupBy("document_id")
+    best = (checked.groupBy(*keys)
             .agg(F.min_by(F.struct(*fields), rank).alias("_best")))
-    return best.select("document_id", *[F.col(f"_best.{c}").alias(c) for c in fields if c != "response_text"])
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in fields if c != "response_text"])
+
+
+def fold_part_answers(prompts: DataFrame, answers: DataFrame) -> DataFrame:
+    """One analysis of each document from the answers to the parts of its prompt.
+
+    ``prompts`` has ``document_id, part`` (``functions.responses.prompt_parts``),
+    ``answers`` ``document_id, part, response_text``.  Output: ``document_id,
+    n_parts, n_used, ai_error, analysis``.
+
+    Every part must have a usable answer; else ``analysis`` is NULL and
+    ``ai_error`` says why (``PART_MISSING``, or the code of the first part that
+    was rejected), and the document is left to the rules.  The answers are
+    folded in the order of the parts: the first text that is not empty of each
+    field; parties and clauses once each, in order of appearance; a risk (by
+    its lowered name) once, with the highest severity that a part gave it and
+    that part's reason; the least of the scores, as a risk anywhere is one of
+    the whole.
+    """
+    keys = ("document_id", "part")
+    checked = with_response_checks(answers.select(*keys, "response_text"))
+    marked = checked.select(*keys, "resp_v", "resp_score", "resp_valid", "resp_error", F.col("response_text").isNotNull().alias("_has_resp"), "response_text")
+    best = one_response_per_document(marked, keys)
+    f = parsed_fields(F.col("resp_v"), F.col("resp_score"))
+    told = best.select(*keys, "_has_resp", "resp_valid", "resp_error", *[c.alias(name) for name, c in f.items()])
+    each = prompts.select(*keys).join(told, list(keys), "left")
+    used = F.coalesce(F.col("_has_resp") & F.col("resp_valid"), F.lit(False))
+    error = F.when(~F.coalesce(F.col("_has_resp"), F.lit(False)), F.lit(C.ERR_PART_MISSING)).when(~used, F.col("resp_error"))
+    parts = each.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("part", used.alias("used"), error.alias("error"), *f))).alias("parts"))
+    parts = parts.select("document_id", "parts", F.array_distinct(F.flatten(F.transform("parts", lambda p: p["risks"]))).alias("risks"))
+
+    def first_text(name: str):
+        return F.coalesce(F.get(F.filter(F.transform("parts", lambda p: p[name]), lambda x: x != ""), F.lit(0)), F.lit(""))
+
+    def rank(risk):
+        level = F.lower(risk["severity"])
+        return F.when(level == "high", 0).when(level == "medium", 1).when(level == "low", 2).otherwise(3)
+
+    def worst(name):
+        same = F.filter("risks", lambda r: F.lower(strip_ws(r["risk"])) == name)
+        return F.aggregate(same, F.get(same, F.lit(0)), lambda a, r: F.when(rank(r) < rank(a), r).otherwise(a))
+
+    names = F.array_distinct(F.transform("risks", lambda r: F.lower(strip_ws(r["risk"]))))
+    joined = lambda name: F.array_distinct(F.flatten(F.transform("parts", lambda p: p[name])))
+    analysis = analysis_struct(
+        first_text("document_type"), joined("parties"), first_text("effective_date"), first_text("expiry_date"),
+        first_text("contract_value"), first_text("governing_law"), joined("key_clauses"), F.transform(names, worst),
+        F.array_min(F.transform("parts", lambda p: p["risk_score"])), F.lit(C.LLM_MODE), F.lit(""))
+    errors = F.filter(F.transform("parts", lambda p: p["error"]), lambda e: e.isNotNull())
+    missing = F.exists(errors, lambda e: e == C.ERR_PART_MISSING)
+    return parts.select(
+        "document_id", F.size("parts").cast("bigint").alias("n_parts"), F.size(F.filter("parts", lambda p: p["used"])).cast("bigint").alias("n_used"),
+        F.when(missing, F.lit(C.ERR_PART_MISSING)).otherwise(F.coalesce(F.get(errors, F.lit(0)), F.lit(""))).alias("ai_error"),
+        F.when(F.size(errors) == 0, analysis).alias("analysis"))
 
 
 def request_responses(prompts: DataFrame, ask: Callable[[str], str | None], path: str) -> DataFrame:

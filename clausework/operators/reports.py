@@ -41,14 +41,15 @@ def report_children(children: DataFrame, documents: DataFrame, fields: list[str]
             .select("document_id", "file_name", *fields))
 
 
-def report_raw_text(documents: DataFrame) -> DataFrame:
-    """Raw_Text sheet: text cut at 30,000 characters.
+def report_raw_text(documents: DataFrame, chars: int | None = C.REPORT_TEXT_CHARS) -> DataFrame:
+    """Raw_Text sheet: text cut at 30,000 characters, as in the service's workbook (None: whole).
 
     The cut comes before the sort, so the range exchange carries at most
-    30,000 characters per document, not the whole text.
+    that many characters per document.
     """
+    text = F.coalesce("raw_text", F.lit(""))
     return (documents.select("document_id", "file_name", "uploaded_at",
-                             prefix(F.coalesce("raw_text", F.lit("")), C.REPORT_TEXT_CHARS).alias("raw_text"))
+                             (text if chars is None else prefix(text, chars)).alias("raw_text"))
             .orderBy(*_newest_first())
             .select("document_id", "file_name", "raw_text"))
 
@@ -92,7 +93,8 @@ def _or_not_detected(c):
 
 
 def result_cards(outcomes: DataFrame) -> DataFrame:
-    """Display values of the per-file result card (P7); HTML is not built."""
+    """Display values of the per-file result card (P7); HTML is not built.  The cards of
+    clauses and risks hold a heading line and the clause's text or the risk's reason."""
     a = lambda f: F.col(f"analysis.{f}")
     parties = F.when(F.size(a("parties")) == 0, F.lit(C.NOT_DETECTED)).otherwise(
         F.array_join(a("parties"), "\n"))
@@ -101,6 +103,11 @@ def result_cards(outcomes: DataFrame) -> DataFrame:
     risks = F.when(F.size(a("risks")) == 0, F.lit(C.NO_RISKS)).otherwise(
         F.array_join(F.transform(a("risks"), lambda r: F.concat(upper_severity(r["severity"]), F.lit(" — "),
                                                                 r["risk"])), "\n"))
+    clause_cards = F.when(F.size(a("key_clauses")) == 0, F.lit(C.NO_CLAUSES)).otherwise(
+        F.array_join(F.transform(a("key_clauses"), lambda c: F.concat(c["clause_type"], F.lit("\n"), c["clause_text"])), "\n\n"))
+    risk_cards = F.when(F.size(a("risks")) == 0, F.lit(C.NO_RISKS)).otherwise(
+        F.array_join(F.transform(a("risks"), lambda r: F.concat(upper_severity(r["severity"]), F.lit(" — "), r["risk"],
+                                                                F.lit("\n"), r["reason"])), "\n\n"))
     score = F.concat(F.coalesce(F.col("risk_score").cast("string"), F.lit("")), F.lit(C.SCORE_SUFFIX))
     gcs = F.when(F.col("gcs_path") == "", F.lit(C.NOT_UPLOADED)).otherwise(F.col("gcs_path"))
     return outcomes.select(
@@ -111,7 +118,8 @@ def result_cards(outcomes: DataFrame) -> DataFrame:
         _or_not_detected(a("expiry_date")).alias("expiry_display"),
         _or_not_detected(a("contract_value")).alias("value_display"),
         _or_not_detected(a("governing_law")).alias("law_display"),
-        clauses.alias("clauses_display"), risks.alias("risks_display"))
+        clauses.alias("clauses_display"), risks.alias("risks_display"),
+        clause_cards.alias("clause_cards"), risk_cards.alias("risk_cards"))
 
 
 def append_search_log(counts: DataFrame, path: str) -> bool:

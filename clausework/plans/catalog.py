@@ -17,13 +17,14 @@ from clausework import constants as C
 from clausework.functions import responses as R
 from clausework.functions.arrays import explode_with_pos
 from clausework.functions import text as T
+from clausework.operators import bucketed as B
 from clausework.operators import reports as RP
 from clausework.operators import search as S
 from clausework.operators import search_index as SI
 from clausework.operators import store as ST
 from clausework.operators import upload as UP
 from clausework.operators.newest import NewestFirst, write_by_time
-from clausework.operators.analysis import normalized, with_analysis, with_response_checks
+from clausework.operators.analysis import fold_part_answers, normalized, with_analysis, with_response_checks
 from clausework.operators.rules import keyword_matches, with_rule_analysis
 from clausework.session import run_dir
 from clausework.sources import corpus as CP
@@ -552,6 +553,70 @@ def q_newest_top50(spark, sf):
     return NewestFirst(spark, path).top(CP.search_queries(spark)).drop("uploaded_at", "area_rank")
 
 
+def _published(spark, sf, store: ST.Store) -> B.Published:
+    return B.publish(store, run_dir(spark, "published"), buckets=8)
+
+
+def q_bucketed_clauses(spark, sf):
+    return _published(spark, sf, _rules_store(spark, sf)).with_documents("clauses")
+
+
+def q_bucketed_risks(spark, sf):
+    return _published(spark, sf, _rules_store(spark, sf)).with_documents("risks")
+
+
+def q_bucketed_parties(spark, sf):
+    return _published(spark, sf, _llm_store(spark, sf)).with_documents("parties")
+
+
+def q_newest_document_clauses(spark, sf):
+    """The clauses of the document uploaded last, read from its bucket."""
+    published = _published(spark, sf, _rules_store(spark, sf))
+    newest = published.documents.select("document_id", "uploaded_at").orderBy(F.col("uploaded_at").desc(), "document_id").first()
+    return published.children("clauses", newest.document_id if newest else "")
+
+
+# --------------------------------------------------------------------------
+# whole texts beside the service's cuts; a manifest over real files
+# --------------------------------------------------------------------------
+
+def q_report_raw_text_whole(spark, sf):
+    return RP.report_raw_text(_rules_store(spark, sf).documents, chars=None)
+
+
+def q_search_clauses_whole(spark, sf):
+    """Clauses searched in their whole texts; the text shown is the stored one."""
+    hits = S.hits_of(S.clause_rows(_rules_store(spark, sf).clauses, "clause_text_full"), CP.search_queries(spark))
+    return hits.select("query_id", "document_id", "pos", "title", "matched_text")
+
+
+def q_analysis_prompt_parts(spark, sf):
+    parts = R.prompt_parts(CP.corpus(spark, sf))
+    return parts.select("document_id", F.col("part").cast("bigint").alias("part"), "prompt")
+
+
+def q_part_answers(spark, sf):
+    """The answers to all parts of every document's prompt, folded into one analysis."""
+    prompts = R.prompt_parts(CP.corpus(spark, sf))
+    folded = fold_part_answers(prompts, CP.part_answers(spark, sf, prompts))
+    named = folded.withColumns({"part_error": F.col("ai_error"), "severities": _joined(F.col("analysis.risks"), "severity")})
+    flat = _flat_analysis(named, ["n_parts", "n_used", "part_error", "severities"])
+    return flat.drop("mode", "ai_error").withColumnRenamed("part_error", "ai_error")
+
+
+def q_landed_manifest(spark, sf):
+    """The corpus landed as files and read back by its manifest: empty files, which the file
+    source does not list, included."""
+    folder = run_dir(spark, "landed")
+    files = CP.corpus_files(spark, sf)
+    CP.land_files(files, folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    manifest = files.select(F.concat(F.lit(f"{root}/"), "file_name").alias("path"), "file_name")
+    read = IN.read_landing(spark, folder, manifest)
+    return read.select("file_name", "length", F.octet_length("content").cast("bigint").alias("n_bytes"))
+
+
 # --------------------------------------------------------------------------
 # step 8: streaming intake
 # --------------------------------------------------------------------------
@@ -606,6 +671,11 @@ QUERIES: dict[str, Query] = {
     "append_documents": q_append_documents, "append_clauses": q_append_clauses, "append_log": q_append_log,
     "upload_job": q_upload_job, "indexed_search": q_indexed_search, "indexed_search_words": q_indexed_search_words,
     "newest_top50": q_newest_top50,
+    "bucketed_clauses": q_bucketed_clauses, "bucketed_risks": q_bucketed_risks, "bucketed_parties": q_bucketed_parties,
+    "newest_document_clauses": q_newest_document_clauses,
+    "report_raw_text_whole": q_report_raw_text_whole, "search_clauses_whole": q_search_clauses_whole,
+    "analysis_prompt_parts": q_analysis_prompt_parts, "landed_manifest": q_landed_manifest,
+    "part_answers": q_part_answers,
     # step 8
     "stream_intake": q_stream_intake,
 }

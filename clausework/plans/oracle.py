@@ -232,7 +232,7 @@ ldocs AS (
 
 # Pure text operators see every document, not only those that are stored.
 ALL_DOCUMENTS = {"split_paragraphs", "best_paragraph", "keyword_matches", "clause_title", "rule_clauses", "rule_risks",
-                 "risk_score", "rule_analysis", "analysis_prompts"}
+                 "risk_score", "rule_analysis", "analysis_prompts", "analysis_prompt_parts"}
 
 
 def with_base(body: str, all_documents: bool = False) -> str:
@@ -392,14 +392,32 @@ ORACLE: dict[str, str] = {
                         CASE o.status
                           WHEN 'failed' THEN upper({lit(C.FAILED_RISK[1])}) || ' — ' || {lit(C.FAILED_RISK[0])}
                           WHEN 'skipped' THEN upper({lit(C.SKIPPED_RISK[1])}) || ' — ' || {lit(C.SKIPPED_RISK[0])}
-                          ELSE CASE WHEN f.n_risks = 0 THEN 'No risks detected.' ELSE f.risk_labels END END AS risks_display
+                          ELSE CASE WHEN f.n_risks = 0 THEN 'No risks detected.' ELSE f.risk_labels END END AS risks_display,
+                        CASE WHEN coalesce(f.n_clauses, 0) = 0 THEN 'No clauses detected.' ELSE f.clause_cards END AS clause_cards,
+                        CASE o.status
+                          WHEN 'failed' THEN upper({lit(C.FAILED_RISK[1])}) || ' — ' || {lit(C.FAILED_RISK[0])} || chr(10) || {lit(C.FAILED_RISK[2])}
+                          WHEN 'skipped' THEN upper({lit(C.SKIPPED_RISK[1])}) || ' — ' || {lit(C.SKIPPED_RISK[0])} || chr(10) || {lit(C.SKIPPED_RISK[2])}
+                          ELSE CASE WHEN f.n_risks = 0 THEN 'No risks detected.' ELSE f.risk_cards END END AS risk_cards
                         FROM outcome o LEFT JOIN (
                           SELECT fi.*, CASE WHEN fi.mode = 'groq_analysis'
                                  THEN (SELECT string_agg(upper(coalesce(json_extract_string(r.e, '$.severity'), '')) || ' — '
                                               || coalesce(json_extract_string(r.e, '$.risk'), ''), chr(10) ORDER BY r.pos)
                                        FROM lrisks r WHERE r.document_id = fi.document_id)
                                  ELSE (SELECT string_agg(upper(r.severity) || ' — ' || r.risk, chr(10) ORDER BY r.pos)
-                                       FROM rrisks r WHERE r.document_id = fi.document_id) END AS risk_labels
+                                       FROM rrisks r WHERE r.document_id = fi.document_id) END AS risk_labels,
+                                 CASE WHEN fi.mode = 'groq_analysis'
+                                 THEN (SELECT string_agg(upper(coalesce(json_extract_string(r.e, '$.severity'), '')) || ' — '
+                                              || coalesce(json_extract_string(r.e, '$.risk'), '') || chr(10)
+                                              || coalesce(json_extract_string(r.e, '$.reason'), ''), chr(10) || chr(10) ORDER BY r.pos)
+                                       FROM lrisks r WHERE r.document_id = fi.document_id)
+                                 ELSE (SELECT string_agg(upper(r.severity) || ' — ' || r.risk || chr(10) || r.reason, chr(10) || chr(10) ORDER BY r.pos)
+                                       FROM rrisks r WHERE r.document_id = fi.document_id) END AS risk_cards,
+                                 CASE WHEN fi.mode = 'groq_analysis'
+                                 THEN (SELECT string_agg(coalesce(json_extract_string(c.e, '$.clause_type'), '') || chr(10)
+                                              || coalesce(json_extract_string(c.e, '$.clause_text'), ''), chr(10) || chr(10) ORDER BY c.pos)
+                                       FROM lclauses c WHERE c.document_id = fi.document_id)
+                                 ELSE (SELECT string_agg(c.clause_type || chr(10) || c.clause_text, chr(10) || chr(10) ORDER BY c.pos)
+                                       FROM rclauses c WHERE c.document_id = fi.document_id) END AS clause_cards
                           FROM final fi) f USING (document_id)""",
     "upload_log": """SELECT o.document_id, o.file_name,
                      CASE WHEN o.status = 'processed' THEN 'contract' ELSE '' END AS document_type,
@@ -477,8 +495,68 @@ ORACLE |= {
                      CASE WHEN o.status = 'processed' THEN 'processed' ELSE 'failed_no_text' END AS status,
                      CAST(NULL AS VARCHAR) AS gcs_path, o.uploaded_at
                      FROM outcome o LEFT JOIN ldocs d USING (document_id) WHERE o.status <> 'skipped'""",
+    "bucketed_clauses": ORACLE["documents_clauses"], "bucketed_risks": ORACLE["documents_risks"],
+    "bucketed_parties": ORACLE["documents_parties"],
+    "newest_document_clauses": """SELECT document_id, CAST(pos AS BIGINT) AS pos, clause_type, clause_text FROM rclauses
+                                  WHERE document_id = (SELECT document_id FROM processed ORDER BY uploaded_at DESC, document_id LIMIT 1)""",
+    "report_raw_text_whole": "SELECT document_id, file_name, raw_text FROM processed",
+    "search_clauses_whole": """SELECT q.query_id, c.document_id, CAST(c.pos AS BIGINT) AS pos, c.clause_type AS title, c.clause_text AS matched_text
+                               FROM rclauses c JOIN kw k ON k.clause_type = c.clause_type
+                               LEFT JOIN best b ON b.document_id = c.document_id AND b.keyword = k.keyword
+                               JOIN q ON contains(lower(c.clause_type), q.lq) OR contains(lower(coalesce(b.para, '')), q.lq)""",
+    "analysis_prompt_parts": f"""SELECT document_id, CAST(part AS BIGINT) AS part,
+                                 {lit(C.PROMPT_TEMPLATE)} || substring(raw_text, part * {C.LLM_INPUT_CHARS} + 1, {C.LLM_INPUT_CHARS}) AS prompt
+                                 FROM (SELECT document_id, raw_text, unnest(range(CAST(greatest(1, ceil(length(raw_text) / {C.LLM_INPUT_CHARS}.0)) AS BIGINT))) AS part
+                                       FROM processed)""",
+    "landed_manifest": "SELECT file_name, CAST(strlen(raw_text) AS BIGINT) AS length, CAST(strlen(raw_text) AS BIGINT) AS n_bytes FROM corpus",
 }
 
 
+_PARTS = f"range(CAST(greatest(1, ceil(length(coalesce(raw_text, '')) / {C.LLM_INPUT_CHARS}.0)) AS BIGINT))"
+_PART_ANSWERS = f""",
+pp AS (SELECT document_id, unnest({_PARTS}) AS part FROM processed),
+pv AS (SELECT pp.document_id, pp.part, coalesce(v.is_valid, false) AS ok,
+         CASE WHEN v.document_id IS NULL THEN 'PART_MISSING' WHEN NOT v.is_valid THEN v.error_code END AS err,
+         p.document_type, p.effective_date, p.expiry_date, p.contract_value, p.governing_law, p.score, p.parties, p.kc, p.rk
+       FROM pp LEFT JOIN rvalid v ON v.document_id = pp.document_id || '#' || CAST(pp.part AS VARCHAR)
+       LEFT JOIN rparsed p ON p.document_id = v.document_id),
+pd AS (SELECT document_id, count(*) AS n_parts, count(*) FILTER (WHERE ok) AS n_used, bool_or(err = 'PART_MISSING') AS missing, arg_min(err, part) FILTER (WHERE err IS NOT NULL) AS err,
+         {", ".join(f"coalesce(arg_min({c}, part) FILTER (WHERE {c} <> ''), '') AS {c}" for c in ("document_type", "effective_date", "expiry_date", "contract_value", "governing_law"))},
+         min(score) AS risk_score FROM pv GROUP BY 1),
+py AS (SELECT document_id, name, min(place) AS place FROM (
+         SELECT document_id, part * 100000 + unnest(range(len(parties))) AS place, unnest(parties) AS name FROM pv) GROUP BY 1, 2),
+pc AS (SELECT document_id, t, x, min(place) AS place FROM (
+         SELECT document_id, place, coalesce(json_extract_string(e, '$.clause_type'), '') AS t, coalesce(json_extract_string(e, '$.clause_text'), '') AS x FROM (
+           SELECT document_id, part * 100000 + unnest(range(len(kc))) AS place, unnest(kc) AS e FROM pv)) GROUP BY 1, 2, 3),
+pr AS (SELECT document_id, k, min(place) AS place, arg_min(risk, lvl * 1000000000 + place) AS risk, arg_min(severity, lvl * 1000000000 + place) AS severity FROM (
+         SELECT *, lower({strip('risk')}) AS k, CASE lower(severity) WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS lvl FROM (
+           SELECT document_id, place, coalesce(json_extract_string(e, '$.risk'), '') AS risk, coalesce(json_extract_string(e, '$.severity'), '') AS severity FROM (
+             SELECT document_id, part * 100000 + unnest(range(len(rk))) AS place, unnest(rk) AS e FROM pv))) GROUP BY 1, 2),
+pu AS (SELECT *, n_used = n_parts AS whole FROM pd)
+SELECT d.document_id, CAST(n_parts AS BIGINT) AS n_parts, CAST(n_used AS BIGINT) AS n_used, CASE WHEN missing THEN 'PART_MISSING' ELSE coalesce(err, '') END AS ai_error,
+  {", ".join(f"CASE WHEN whole THEN d.{c} END AS {c}" for c in ("document_type", "effective_date", "expiry_date", "contract_value", "governing_law"))},
+  CASE WHEN whole THEN CAST(risk_score AS BIGINT) END AS risk_score,
+  CASE WHEN whole THEN coalesce((SELECT string_agg(name, '|' ORDER BY place) FROM py WHERE py.document_id = d.document_id), '') END AS parties,
+  CASE WHEN whole THEN (SELECT count(*) FROM py WHERE py.document_id = d.document_id) END AS n_parties,
+  CASE WHEN whole THEN coalesce((SELECT string_agg(t, '|' ORDER BY place) FROM pc WHERE pc.document_id = d.document_id), '') END AS clause_types,
+  CASE WHEN whole THEN (SELECT count(*) FROM pc WHERE pc.document_id = d.document_id) END AS n_clauses,
+  CASE WHEN whole THEN coalesce((SELECT string_agg(risk, '|' ORDER BY place) FROM pr WHERE pr.document_id = d.document_id), '') END AS risk_names,
+  CASE WHEN whole THEN (SELECT count(*) FROM pr WHERE pr.document_id = d.document_id) END AS n_risks,
+  CASE WHEN whole THEN coalesce((SELECT string_agg(severity, '|' ORDER BY place) FROM pr WHERE pr.document_id = d.document_id), '') END AS severities
+FROM pu d"""
+
+
+def _part_answers() -> str:
+    """The answers of the fixture stand for parts of prompts: ``document_id`` of ``resp`` is ``id#part``."""
+    whole = f"SELECT c.document_id, r.response_text\n  FROM corpus c JOIN (VALUES {_RESP}) r(remainder, response_text) ON c.doc_id % {C.RESPONSE_MODULUS} = r.remainder"
+    part = (f"SELECT c.document_id || '#' || CAST(c.part AS VARCHAR) AS document_id, r.response_text\n"
+            f"  FROM (SELECT document_id, doc_id, unnest({_PARTS}) AS part FROM processed) c "
+            f"JOIN (VALUES {_RESP}) r(remainder, response_text) ON (c.doc_id + c.part) % {C.RESPONSE_MODULUS} = r.remainder")
+    base = with_base("", all_documents=True)
+    if whole not in base:
+        raise ValueError("the base SQL has other responses")
+    return base.replace(whole, part).rstrip() + _PART_ANSWERS
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: with_base(v, k in ALL_DOCUMENTS) for k, v in ORACLE.items()}
+    return {k: with_base(v, k in ALL_DOCUMENTS) for k, v in ORACLE.items()} | {"part_answers": _part_answers()}

@@ -7,6 +7,9 @@ projections only, no shuffle, so it scales with the input splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,13 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(fixture), "remainder").select("document_id", "response_text")
 
 
+def part_answers(spark: SparkSession, sf_dir: str, prompts: DataFrame) -> DataFrame:
+    """Answers ``(document_id, part, response_text)`` to the parts of prompts, assigned by ``(doc_id + part) % 27``."""
+    fixture = spark.createDataFrame(list(enumerate(C.RESPONSE_FIXTURE)), "remainder INT, response_text STRING")
+    remainder = F.pmod(F.col("document_id").cast("bigint") + F.col("part"), F.lit(C.RESPONSE_MODULUS)).cast("int")
+    return prompts.select("document_id", "part", remainder.alias("remainder")).join(F.broadcast(fixture), "remainder").select("document_id", "part", "response_text")
+
+
 def search_log_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search log derived from ``events`` (FIXTURES.md section 6)."""
     ev = load(spark, sf_dir, "events")
@@ -121,6 +131,40 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fs_uri(path: str) -> str:
+    """Hadoop-style ``file:/x`` to a URI pyarrow understands."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        return "file://" + path[len("file:"):]
+    return path
+
+
+def land_files(files: DataFrame, folder: str) -> int:
+    """Write ``(file_name, content)`` rows as files under ``folder``: a landing folder for tests and queries.
+
+    Runs inside the tasks (``mapInPandas``): each task writes its own rows to
+    the shared file system, so nothing passes through the driver.  Names are
+    deterministic, so a retried task rewrites the same files.
+    """
+    target = _fs_uri(folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(target)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            sizes = []
+            for name, content in zip(pdf["file_name"], pdf["content"]):
+                data = bytes(content) if content is not None else b""
+                with fs.open_output_stream(f"{base}/{name}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"file_name": pdf["file_name"], "n_bytes": pd.Series(sizes, dtype="int64")})
+
+    written = files.select("file_name", "content").mapInPandas(write, "file_name string, n_bytes long")
+    return written.agg(F.count(F.lit(1))).first()[0]
+
+
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted PDF pages ``(document_id, page_no, text)`` from ``conversations``."""
     conv = load(spark, sf_dir, "conversations")

@@ -16,9 +16,7 @@ logs them; the batch path with a manifest does.
 from __future__ import annotations
 
 import uuid
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,40 +29,6 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 STORE_TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
 
 
-def _fs_uri(path: str) -> str:
-    """Hadoop-style ``file:/x`` to a URI pyarrow understands."""
-    if path.startswith("file:") and not path.startswith("file://"):
-        return "file://" + path[len("file:"):]
-    return path
-
-
-def land_files(files: DataFrame, folder: str) -> int:
-    """Write ``(file_name, content)`` rows as files under ``folder``.
-
-    Runs inside the tasks (``mapInPandas``): each task writes its own rows to
-    the shared file system, so nothing passes through the driver.  Names are
-    deterministic, so a retried task rewrites the same files.
-    """
-    target = _fs_uri(folder)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(target)
-        fs.create_dir(base, recursive=True)
-        for pdf in batches:
-            sizes = []
-            for name, content in zip(pdf["file_name"], pdf["content"]):
-                data = bytes(content) if content is not None else b""
-                with fs.open_output_stream(f"{base}/{name}") as out:
-                    out.write(data)
-                sizes.append(len(data))
-            yield pd.DataFrame({"file_name": pdf["file_name"], "n_bytes": pd.Series(sizes, dtype="int64")})
-
-    written = files.select("file_name", "content").mapInPandas(write, "file_name string, n_bytes long")
-    return written.agg(F.count(F.lit(1))).first()[0]
-
-
 def _run_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream that this checkpoint belongs to, made at its first start."""
     folder = f"{checkpoint.rstrip('/')}/run_id"
@@ -118,7 +82,7 @@ def stream_corpus_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     root = run_dir(spark, "stream")
     landing, store, ckpt = f"{root}/landing", f"{root}/store", f"{root}/checkpoint"
-    land_files(CP.corpus_files(spark, sf_dir), landing)
+    CP.land_files(CP.corpus_files(spark, sf_dir), landing)
     q = start_intake_stream(spark, landing, store, ckpt)
     q.awaitTermination()
     docs = spark.read.parquet(f"{store}/documents")
@@ -126,4 +90,4 @@ def stream_corpus_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "mode", F.length("raw_text").cast("bigint").alias("n_chars"))
 
 
-__all__ = ["land_files", "start_intake_stream", "stream_corpus_intake"]
+__all__ = ["start_intake_stream", "stream_corpus_intake"]
