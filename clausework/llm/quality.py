@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.common import WORD_GAP, bounded_sample, written
+from clausework.llm.common import WORD_GAP, bounded_sample, text_key, written
 
 TRAIN_ROWS = 20_000
 HASHED = 1 << 12
@@ -134,13 +134,14 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``id_col, posterior, score, kept`` for every row."""
+    """``id_col, text_key, posterior, score, kept`` for every row; ``text_key`` is a hash of the text."""
     spark = docs.sparkSession
-    made = _measures(docs, [id_col], text_col).select(id_col, F.array(*(v.cast("int") for v in labellers().values())).alias("votes"), _features().alias("features"))
+    keyed = docs.select(id_col, text_col, text_key(text_col).alias("text_key"))
+    made = _measures(keyed, [id_col, "text_key"], text_col).select(id_col, "text_key", F.array(*(v.cast("int") for v in labellers().values())).alias("votes"), _features().alias("features"))
     table = written(made, "quality-features")
     counts = {tuple(r["votes"]): r["count"] for r in table.groupBy("votes").count().collect()}
     if not counts:
-        return table.select(id_col, F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+        return table.select(id_col, "text_key", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     posterior, _, _ = estimate(counts)
     # at most 3^9 patterns
     known = spark.createDataFrame([(list(p), x) for p, x in posterior.items()], "votes array<int>, posterior double")
@@ -152,6 +153,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     train = written(both.select("features", "side.*").where("weight > 0.001"), "quality-train")
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=0.001, maxIter=40).fit(hashing.transform(train))
     if model.numClasses < 2:  # all sampled documents are of one class for certain
-        return table.select(id_col, "posterior", F.col("posterior").alias("score"), (F.col("posterior") >= KEEP_SCORE).alias("kept"))
+        return table.select(id_col, "text_key", "posterior", F.col("posterior").alias("score"), (F.col("posterior") >= KEEP_SCORE).alias("kept"))
     scored = model.transform(hashing.transform(table)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(id_col, "posterior", "score", (F.col("score") >= KEEP_SCORE).alias("kept"))
+    return scored.select(id_col, "text_key", "posterior", "score", (F.col("score") >= KEEP_SCORE).alias("kept"))

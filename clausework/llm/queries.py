@@ -27,7 +27,7 @@ def dictionary(spark: SparkSession) -> DataFrame:
 
 
 def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(load(spark, sf_dir, "documents"))
+    return quality.score(load(spark, sf_dir, "documents")).drop("text_key")
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def token_batches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     bare = F.when(F.instr("text", "Licensed under ") > 0, F.regexp_replace("text", r"(?m)^Licensed under [^\n]*$", "")).otherwise(F.col("text"))
     counts = [token_counts.count_tokens(c, v).alias(f"{k}{i}") for i, v in enumerate(TOKENIZERS) for k, c in (("n", F.col("text")), ("r", bare))]
-    counted = written(docs.select("doc_id", "source", "lang", *counts), "document-counts")
+    counted = written(docs.select("doc_id", "source", "lang", F.monotonically_increasing_id().alias("row"), *counts), "document-counts")
     bad = load(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
     gone, stays = counted.join(bad, "doc_id", "left_semi"), counted.join(bad, "doc_id", "left_anti")
 
@@ -72,7 +72,7 @@ def token_batches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         for i, version in enumerate(TOKENIZERS):
             value = lambda k: F.col(f"{k}{i}") if k else F.lit(None).cast("long")
             one = part.select(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer"),
-                              value(before).alias("before"), value(after).alias("after"))
+                              F.concat_ws(":", F.lit(seq), F.lit(version), "row").alias("change"), value(before).alias("before"), value(after).alias("after"))
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -103,7 +103,7 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return templates.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def captures(pages: DataFrame) -> DataFrame:

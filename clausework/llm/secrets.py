@@ -11,7 +11,7 @@ candidates are secrets.
 
 Labelled findings may be given.  Where none are, ``label_findings`` labels
 those candidates whose surroundings leave no doubt: assigned to a name such
-as ``token`` and no word (a secret, whatever the forest says); digits only, in a URL or path, named as a
+as ``token`` and no word (a secret); digits only, in a URL or path, named as a
 checksum or number, or mostly dictionary words (not one).  The forest learns
 each labelled finding twice, once with its neighbours hidden, so that it
 also judges candidates by their own look; it judges all candidates.  It is
@@ -61,20 +61,26 @@ OWN = ["length", "transitions", "digits", "capitals", "distinct", "vowels", "cov
 AROUND = ["named_secret", "named_other", "assigned", "quoted", "in_path", "address", "word_before", "prose"]
 
 
-def _parts(text: Column) -> tuple[Column, Column]:
-    """The candidates of a text and the gaps around them: gap, candidate, gap, ..., candidate, gap."""
-    heads, whole = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    found = F.zip_with(whole, heads, lambda w, h: w.substr(F.length(h) + 1, F.length(w)))
-    gaps = F.zip_with(F.split(text, CANDIDATE, -1), heads, lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
-    return found, gaps
+def _matched(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``found``, the candidates of the text, and ``gaps`` around them: gap, candidate, gap, ..., candidate, gap.
+    Each expression over the text is a column of its own, so that it runs once."""
+    names = [c for c in rows.columns]
+    rows = rows.select(*names, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)).alias("_heads"),
+                       F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_whole"), F.split(text, CANDIDATE, -1).alias("_split"))
+    found = F.zip_with("_whole", "_heads", lambda w, h: w.substr(F.length(h) + 1, F.length(w)))
+    gaps = F.zip_with("_split", "_heads", lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    return rows.select(*names, found.alias("found"), gaps.alias("gaps"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``text_key`` (a hash of the text), ``start`` (code points before it), ``candidate``,
     ``before`` and ``after`` of every candidate; ``k`` numbers those of a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), text.alias("t")).where(F.col("t").rlike(CANDIDATE)).select(
-        "id", F.xxhash64("t").alias("text_key"), F.monotonically_increasing_id().alias("row"), _parts(F.col("t"))[0].alias("c"), _parts(F.col("t"))[1].alias("gaps"))
+    # an assignment has one of these marks, any other candidate a long run
+    might = F.contains("t", F.lit("=")) | F.contains("t", F.lit(":")) | F.col("t").rlike(f"{KEY}{{16}}")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).where(might).where(F.col("t").rlike(CANDIDATE))
+    found = _matched(rows.select("id", F.xxhash64("t").alias("text_key"), F.monotonically_increasing_id().alias("row"), "t"), "t").select(
+        "id", "text_key", "row", F.col("found").alias("c"), "gaps")
     each = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"),
                                                   F.expr("1").alias("one"), F.get("gaps", i).substr(F.greatest(F.length(F.get("gaps", i)) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
                                                   F.get("gaps", i + 1).substr(F.lit(1), F.lit(CONTEXT)).alias("after")))
@@ -135,11 +141,10 @@ def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_co
          train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``id_col, text_key, k, start, length, candidate, score, is_secret`` for every candidate.
 
-    What the label rule is sure of is a secret in any case where no labels are given.
-    ``labelled`` has the feature columns, ``candidate`` and ``label``.
+    ``labelled`` has the feature columns, ``candidate`` and ``label``.  The forest
+    decides over every candidate, those included that it was trained on.
     """
     found = written(features(written(candidates(docs, id_col, text_col), "candidates"), dictionary), "featured")
-    sure = label_rule()[0] if labelled is None else F.lit(False)
     labelled = label_findings(found) if labelled is None else labelled
     inputs = [*OWN, *AROUND]
     labelled = labelled.select("candidate", "label", *inputs)
@@ -155,7 +160,7 @@ def scan(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_co
     else:
         scored = found.withColumn("score", F.when(label_rule()[0], 1.0).otherwise(0.0))
     return scored.select(F.col("id").alias(id_col), "text_key", "k", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"),
-                         "candidate", "score", ((F.col("score") >= 0.5) | sure).alias("is_secret"))
+                         "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,9 +179,7 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"),
                        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"))
     met = rows.join(marks, rows["id"].eqNullSafe(marks["mark_id"]) & (rows["text_key"] == marks["mark_key"]), "left")
-    found, gaps = _parts(text)
-    met = met.select("doc", "marks", F.when(F.col("marks").isNotNull(), gaps).alias("gaps"),
-                     F.when(F.col("marks").isNotNull(), found).alias("found"))
+    met = _matched(met.select("doc", "marks", F.when(F.col("marks").isNotNull(), text).alias("marked")), "marked")
     pieces = F.transform("found", lambda c, i: F.concat(F.get("gaps", i), F.when(F.get("marks", i), F.lit(LABEL)).otherwise(c)))
     clean = F.when(F.col("marks").isNotNull(), F.concat(F.array_join(pieces, ""), F.get("gaps", F.size("found")))).otherwise(text)
     return met.select(*[(clean.cast(docs.schema[c].dataType) if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausework.llm.common import drop_written, written
+from clausework.llm.common import drop_written, text_key, written
 
 SEED = 42
 # Rows of a shard before it is parted further, and of a slice of one that can't be.
@@ -288,32 +288,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
-    """``(id_col, fingerprint, component_id)`` for every row: the signed
-    fingerprint and the smallest id reachable over links."""
-    of_doc = written(fingerprints(docs, [id_col], text_col, "fingerprint", shingle), "fingerprints")
+    """``(id_col, text_key, fingerprint, component_id, class_print)`` for every row: a
+    hash of the text, the signed fingerprint, the smallest id reachable over
+    links, and the smallest fingerprint reachable, which names the class also
+    where no row has an id."""
+    keyed = docs.select(id_col, text_col, text_key(text_col).alias("text_key"))
+    of_doc = written(fingerprints(keyed, [id_col, "text_key"], text_col, "fingerprint", shingle), "fingerprints")
     prints = written(of_doc.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
     edges = links(prints, "fingerprint", max_bits)
     reach = written(components(edges), "components")
     named = reach.join(prints, reach.vertex == prints.fingerprint).select("vertex", "root", "first_id")
     of_root = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = written(reach.join(of_root, "root").select(F.col("vertex").alias("fingerprint"), "component_id"), "linked")
+    linked = written(reach.join(of_root, "root").select(F.col("vertex").alias("fingerprint"), "component_id", "root"), "linked")
     drop_written(edges)
     classes = written(prints.join(linked.withColumn("_linked", F.lit(True)), "fingerprint", "left").select(
-        "fingerprint", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id")), "classes")
+        "fingerprint", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"),
+        F.coalesce("root", "fingerprint").alias("class_print")), "classes")
     for t in (reach, linked, prints):
         drop_written(t)
-    return of_doc.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each class does: the row
-    whose id is the component id.  Rows with a null id, which no class can
-    name, all stay; of rows repeated under one id one stays."""
-    known = classes.where(F.col(id_col).isNotNull())
-    gone = known.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    twice = written(known.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
-    kept = docs.join(gone, id_col, "left_anti")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, id_col, "left_anti").unionByName(again).select(*docs.columns)
+    return of_doc.join(classes, "fingerprint").select(id_col, "text_key", "fingerprint", "component_id", "class_print")
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each class does.
+
+    ``classes`` has ``id_col``, ``text_key`` and ``class_print`` of the rows.
+    Of a class that row stays whose id, and at equal ids whose ``text_key``, is
+    least; a null id stays where the class has no other.  Rows are told apart by
+    id and text, so rows of different texts that share an id, or have none, are
+    judged each by its own class; of rows equal in both one stays.
+    """
+    rows = classes.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "class_print")
+    best = written(rows.groupBy("class_print").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("best"),
+                                                   F.count("*").alias("n")), "class-leaders")
+    gone = rows.join(best.where("n > 1"), "class_print").where(~(F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_key") == F.col("best.key")))).select("_id", "_key").distinct()
+    # a text has one class, so rows equal in id and text stay or go together
+    twice = written(rows.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "repeated-rows")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own_id"), text_key(text_col).alias("_own_key"))
+    same = lambda t: F.col("_own_id").eqNullSafe(t["_id"]) & (F.col("_own_key") == t["_key"])
+    kept = own.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        again = kept.join(twice, same(twice), "left_semi").dropDuplicates(["_own_id", "_own_key"])
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(again)
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -8,20 +8,27 @@ reduced to one row per group (partial sums in every task, so a source with
 a third of all documents is added up where it is read) and committed under
 its batch id.
 
-Commits are idempotent: a batch has its own folder, which the job replaces
-as a whole, and only a folder with Spark's ``_SUCCESS`` file counts.  A
-batch that is sent again, by a retry or a second driver, replaces itself
-and adds nothing; a batch lost half-way counts not at all.
+Commits are idempotent and atomic: a batch is written under an attempt's
+name and renamed to its own folder when it is complete.  A batch that is
+committed already is left as it is, so sending it again, by a retry or a
+second driver, adds nothing, and an attempt that is lost half-way changes
+nothing; of two attempts at once the first rename wins.
+
+A change that is delivered twice within a batch counts once.  Changes may
+carry an id (``change``), by which repeats are told; without one, rows equal
+in all columns are one change, but rows without a document id never are, as
+nothing says that they mean the same document.
 
 Cases: a null text has no tokens; a null source or language is a group of
-its own; of change rows repeated in a batch with equal document, tokenizer
-and sequence one counts; empty batches commit an empty folder; a group whose
+its own; rows that share a document id but differ in anything else are
+changes of their own; empty batches commit an empty folder; a group whose
 documents all went stays with total 0.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +55,11 @@ def count_tokens(text: Column, tokenizer: str) -> Column:
 
 def delta_of(changes: DataFrame) -> DataFrame:
     """A batch's changes as one signed row per group."""
-    once = changes.dropDuplicates(["seq", "doc_id", "tokenizer"])
+    columns = [c.split()[0] for c in CHANGES.split(", ")]
+    rows = changes.select(*columns, F.col("change").cast("string").alias("change") if "change" in changes.columns else F.lit(None).cast("string").alias("change"))
+    once = (rows.where("change is not null").dropDuplicates(["change"])
+            .unionByName(rows.where("change is null and doc_id is not null").dropDuplicates(columns))
+            .unionByName(rows.where("change is null and doc_id is null")))
     sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
     return once.groupBy(*KEYS).agg(
         F.sum(sign).cast("long").alias("n_docs"),
@@ -62,17 +73,33 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch_id: str, changes: DataFrame) -> None:
-        """Commit a batch, or commit it again to the same effect."""
+    def _fs(self):
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Commit a batch; False when it was committed before."""
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError(f"batch id {batch_id!r}")
-        delta_of(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        path, fs = self._fs()
+        final = path(f"{self.path}/batch={batch_id}")
+        if fs.exists(path(final, "_SUCCESS")):
+            return False
+        name = f"_attempt-{uuid.uuid4().hex}"
+        attempt = path(f"{self.path}/{name}")
+        delta_of(changes).write.parquet(attempt.toString())
+        if not fs.exists(final) and fs.rename(attempt, final) and not fs.exists(path(final, name)):
+            return True
+        # another attempt was first: a rename may have put this one inside its folder
+        fs.delete(attempt, True)
+        fs.delete(path(final, name), True)
+        return False
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        jvm = self.spark._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS")
-        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done) or []
+        path, fs = self._fs()
+        found = fs.globStatus(path(f"{self.path}/batch=*/_SUCCESS")) or []
         return sorted(f.getPath().getParent().getName().removeprefix("batch=") for f in found)
 
     def totals(self) -> DataFrame:

@@ -106,9 +106,13 @@ def test_simhash_links_with_large_shards(spark, monkeypatch):
 
 
 def test_keep_one_row_of_each_class(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b"), (None, "c")], "doc_id long, text string")
-    classes = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 3), (None, None)], "doc_id long, component_id long")
-    assert sorted(map(str, (r.doc_id for r in simhash.keep_one(docs, classes).collect()))) == ["1", "3", "None"]
+    """One row of a class stays, told by id and text: rows of different texts under one id, or none, are judged apart."""
+    long = [" ".join(f"w{k}{i}" for i in range(60)) for k in range(3)]
+    docs = spark.createDataFrame([(1, long[0]), (1, long[0]), (2, long[0]), (2, long[1]), (3, long[1]), (None, long[2]), (None, long[2]), (None, long[0]), (7, None), (8, "")],
+                                 "doc_id long, text string").withColumn("class_print", F.lit("clash"))
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, long[0]), (2, long[1]), (None, long[2]), (7, None)], key=str)
 
 
 def test_shards_near_equal_and_slots_gapless(spark, odd):
@@ -267,7 +271,9 @@ def test_operators_on_odd_tables(spark, odd):
     pages = clash.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "http://a.com/x").alias("url"), "host", "path", "verdict")
     assert url_rules.judge(pages, url_rules.mine(pages.withColumn("blocked", F.col("page_id") % 2 == 0))).count() == n
     changes = token_counts.inserts(clash, "words@1", 1)
-    assert token_counts.delta_of(changes).agg(F.sum("n_changes")).first()[0] == odd.select("doc_id").distinct().count()
+    # rows that differ in anything are changes of their own, and so is every row without an id
+    known = changes.where("doc_id is not null").distinct().count()
+    assert token_counts.delta_of(changes).agg(F.sum("n_changes")).first()[0] == known + changes.where("doc_id is null").count()
     records = spark.createDataFrame([(None, "revisit", None, None, None), (1, None, None, 5, None), (None, "response", None, 4, None), (3, "revisit", None, 6, None)],
                                     "record_id long, kind string, url string, seconds long, headers map<string,string>").withColumns({"slice": F.lit(1), "found": F.lit(2)})
     assert sorted(r.status for r in revisits.resolve(records).collect()) == ["no_response", "unchecked"]
@@ -299,6 +305,33 @@ def test_rollup_commits_are_idempotent(spark):
     assert rollup.batches() == ["b1", "b2", "b3"]
 
 
+def test_changes_that_share_an_id(spark):
+    """Null ids are apart, other sources are other changes; a change's own id tells what was delivered twice."""
+    rows = [("insert", 1, None, "a", "en", "t", None, 10), ("insert", 1, None, "a", "en", "t", None, 10), ("insert", 1, 7, "a", "en", "t", None, 5), ("insert", 1, 7, "b", "en", "t", None, 6)]
+    got = {r.source: (r.n_docs, r.n_tokens, r.n_changes) for r in token_counts.delta_of(spark.createDataFrame(rows, token_counts.CHANGES)).collect()}
+    assert got == {"a": (3, 25, 3), "b": (1, 6, 1)}
+    named = spark.createDataFrame([(*rows[0], "x"), (*rows[0], "x"), (*rows[0], "y"), (*rows[2], "z"), (*rows[2], None), (*rows[2], None)], token_counts.CHANGES + ", change string")
+    assert {r.source: (r.n_docs, r.n_tokens) for r in token_counts.delta_of(named).collect()} == {"a": (4, 30)}
+
+
+def test_commits_that_die_or_meet(spark, monkeypatch):
+    rollup = token_counts.Rollup(spark, run_dir(spark, "test-rollup"))
+    rows = spark.createDataFrame([("insert", 1, 1, "a", "en", "t", None, 10)], token_counts.CHANGES)
+    bad = rows.withColumn("after", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception):
+        rollup.commit("b", bad)
+    assert rollup.batches() == [] and rollup.totals().count() == 0
+    assert rollup.commit("b", rows) is True
+    # sent again with other rows, or by a writer that did not see the first: what is committed stays
+    more = rows.withColumn("after", F.lit(99).cast("long"))
+    assert rollup.commit("b", more) is False
+    path, fs = rollup._fs()
+    late = path(f"{rollup.path}/_attempt-late")
+    token_counts.delta_of(more).write.parquet(late.toString())
+    assert not fs.rename(late, path(f"{rollup.path}/batch=b")) or fs.exists(path(f"{rollup.path}/batch=b/_attempt-late"))
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(1, 10)]
+
+
 def test_templates_slots(spark):
     items = [(1, "If Anna buys 12 apples at 3 euros each and Anna sells 12 apples, how much money does Anna have now"), (2, "too short"), (3, None)]
     docs = [(1, "Intro. " + items[0][1] + " . After."), (2, "If Boris buys 40 apples at 7 euros each and Boris sells 40 apples, how much money does Boris have now"),
@@ -431,3 +464,60 @@ def test_secrets_assigned_without_blanks(spark):
     assert all(clean[i] == (t.replace(k, secrets.LABEL) if i % 3 < 2 else t) for i, t, k in rows)
     padded = secrets.candidates(spark.createDataFrame([(1, "is QUJDREVGR0hJSktMTU5PUFE9== end")], "doc_id long, text string"), "doc_id", "text").collect()
     assert [r.candidate for r in padded] == ["QUJDREVGR0hJSktMTU5PUFE9=="]
+
+
+def test_forest_on_held_out_findings(spark):
+    """Trained on labelled findings of some documents, the forest judges those of others."""
+    rng = random.Random(12)
+    names = ["token", "api_key", "password", "secret"]
+    others = ["sha1", "etag", "revision", "order id", "see", "file"]
+    words = "river mill family kind while hands".split()
+
+    def one(i):
+        kind = rng.random()
+        if kind < 0.4:
+            key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.choice([20, 32, 40])))
+            return f"the {rng.choice(words)} {rng.choice(names)} = {key} and", key, True
+        if kind < 0.7:
+            key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+            return f"the {rng.choice(words)} {rng.choice(others)} {key} and", key, False
+        if kind < 0.85:
+            key = str(rng.randint(10**15, 10**18))
+            return f"number {key} of {rng.choice(words)}", key, False
+        key = "-".join(rng.choice(words) for _ in range(4))
+        return f"see http://host.org/{key}/{key} for", f"{key}/{key}", False
+
+    made = [(i, *one(i)) for i in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    dictionary = spark.createDataFrame([(w,) for w in words], "word string")
+    truth = {i: (key, secret) for i, _, key, secret in made}
+    found = secrets.features(secrets.candidates(docs.where("doc_id < 600")), dictionary)
+    label = F.udf(lambda i, c: float(truth[i][1]) if c in truth[i][0] or truth[i][0] in c else None, "double")
+    labelled = found.withColumn("label", label("id", "candidate")).where("label is not null")
+    judged = [r for r in secrets.scan(docs.where("doc_id >= 600"), dictionary, labelled=labelled).collect() if r.candidate in truth[r.doc_id][0] or truth[r.doc_id][0] in r.candidate]
+    hits = sum(r.is_secret and truth[r.doc_id][1] for r in judged)
+    assert len(judged) >= 290
+    assert hits >= 0.97 * sum(truth[r.doc_id][1] for r in judged) and hits >= 0.97 * sum(r.is_secret for r in judged)
+
+
+def test_stages_judge_rows_by_id_and_text(spark, sf):
+    """Rows that share an id, or have none, stay or go each for itself in every stage."""
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(1).collect()]
+    scores = {r.doc_id: r.kept for r in quality.score(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = next(texts[i] for i, k in sorted(scores.items()) if k and len(texts[i]) > 2000)
+    bad = next(texts[i] for i, k in sorted(scores.items()) if not k and len(texts[i] or "") > 500)
+    row = docs.first().asDict()
+    add = lambda *pairs: docs.unionByName(spark.createDataFrame([{**row, "doc_id": i, "text": t} for i, t in pairs], docs.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    seen = lambda name, d: sorted((str(r.doc_id), r.text) for r in stages[name](spark, d, sf).where("doc_id is null or doc_id = 900001").collect())
+    rows = add((None, good), (None, bad), (900001, good), (900001, bad))
+    assert seen("quality_classifier", rows) == sorted([("None", good), ("900001", good)])
+    held = good[:1500] + " " + items[0]
+    rows = add((None, good), (None, held), (900001, good), (900001, held))
+    assert seen("benchmark_decontamination", rows) == sorted([("None", good), ("900001", good)])
+    fresh = [" ".join(f"new{k}{i}" for i in range(80)) for k in range(2)]
+    rows = add((None, fresh[0]), (None, fresh[1]), (900001, fresh[0]), (900001, fresh[0]))
+    assert seen("simhash_near_dedup", rows) == sorted([("None", fresh[1]), ("900001", fresh[0])])
