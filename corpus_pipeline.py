@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)``; ``run`` writes each result to
 the shared folder and reads it again as the next stage's documents.  All
 stages but the last return the columns of ``documents``.
+
+A stage judges every row by its own id and text: rows that share an id, or
+have none, stay or go each for itself, in every stage; of rows equal in both
+the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -11,30 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.llm import quality, queries, secrets, simhash, templates
-from clausework.llm.common import load, written
+from clausework.llm.common import load, without, written
 
 # No SQL: the stages train models, walk trees and replay merges.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not among ``gone``; rows with a null id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return _without(docs, quality.score(docs).where("not kept"))
+    return without(docs, quality.score(docs).where("not kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: that with the smallest id (null last, ties by the text's hash)."""
     return simhash.keep_one(docs, simhash.near_duplicates(docs, shingle=4, max_bits=4))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return _without(docs, templates.contaminated(docs, load(spark, sf_dir, "benchmark")))
+    return without(docs, templates.contaminated(docs, load(spark, sf_dir, "benchmark")))
 
 
 def scrub(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
