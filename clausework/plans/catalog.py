@@ -21,6 +21,7 @@ from clausework.operators import bucketed as B
 from clausework.operators import reports as RP
 from clausework.operators import search as S
 from clausework.operators import search_index as SI
+from clausework.operators import sheets as SH
 from clausework.operators import store as ST
 from clausework.operators import upload as UP
 from clausework.operators.newest import NewestFirst, write_by_time
@@ -576,6 +577,36 @@ def q_newest_document_clauses(spark, sf):
     return published.children("clauses", newest.document_id if newest else "")
 
 
+# Rows of a numbered sheet here: small, so that the corpus fills several.
+CORPUS_SHEET_ROWS = 500
+
+
+def q_numbered_documents(spark, sf):
+    """The documents sheet, newest first, in sheets of a fixed number of rows with row numbers."""
+    docs = _rules_store(spark, sf).documents.select("document_id", "file_name", "risk_score", "uploaded_at")
+    rows = SH.in_sheets(docs, [F.col("uploaded_at").desc(), "document_id"], CORPUS_SHEET_ROWS)
+    return rows.select("sheet", "number", "document_id", "file_name", F.col("risk_score").cast("bigint").alias("risk_score"))
+
+
+def q_numbered_clauses(spark, sf):
+    """The clauses sheet in the same manner."""
+    clauses = _rules_store(spark, sf).clauses.select("document_id", "file_name", "pos", "clause_type", "uploaded_at")
+    rows = SH.in_sheets(clauses, [F.col("uploaded_at").desc(), "document_id", "pos"], CORPUS_SHEET_ROWS)
+    return rows.select("sheet", "number", "document_id", "file_name", "clause_type")
+
+
+def q_maintained_history(spark, sf):
+    """The search log streamed in several epochs, one of them twice, and counted by day and text."""
+    from clausework.streaming import history_stream as H
+
+    root = run_dir(spark, "history")
+    CP.search_log_input(spark, sf).repartition(6, "searched_at").write.parquet(f"{root}/log")
+    for _ in range(2):  # started again: nothing is new
+        H.maintain(spark, f"{root}/log", f"{root}/store", f"{root}/checkpoint", late="3650 days", max_files=2).awaitTermination()
+    H.merge(spark, f"{root}/store", "merged")
+    return H.history(spark, f"{root}/store")
+
+
 # --------------------------------------------------------------------------
 # whole texts beside the service's cuts; a manifest over real files
 # --------------------------------------------------------------------------
@@ -676,6 +707,7 @@ QUERIES: dict[str, Query] = {
     "report_raw_text_whole": q_report_raw_text_whole, "search_clauses_whole": q_search_clauses_whole,
     "analysis_prompt_parts": q_analysis_prompt_parts, "landed_manifest": q_landed_manifest,
     "part_answers": q_part_answers,
+    "numbered_documents": q_numbered_documents, "numbered_clauses": q_numbered_clauses, "maintained_history": q_maintained_history,
     # step 8
     "stream_intake": q_stream_intake,
 }

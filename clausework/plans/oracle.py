@@ -508,6 +508,13 @@ ORACLE |= {
                                  {lit(C.PROMPT_TEMPLATE)} || substring(raw_text, part * {C.LLM_INPUT_CHARS} + 1, {C.LLM_INPUT_CHARS}) AS prompt
                                  FROM (SELECT document_id, raw_text, unnest(range(CAST(greatest(1, ceil(length(raw_text) / {C.LLM_INPUT_CHARS}.0)) AS BIGINT))) AS part
                                        FROM processed)""",
+    "numbered_documents": """SELECT CAST((number - 1) // 500 AS BIGINT) AS sheet, number, document_id, file_name, risk_score FROM (
+                             SELECT row_number() OVER (ORDER BY uploaded_at DESC, document_id) AS number, document_id, file_name, risk_score FROM rdocs)""",
+    "numbered_clauses": """SELECT CAST((number - 1) // 500 AS BIGINT) AS sheet, number, document_id, file_name, clause_type FROM (
+                           SELECT row_number() OVER (ORDER BY d.uploaded_at DESC, c.document_id, c.pos) AS number, c.document_id, d.file_name, c.clause_type
+                           FROM rclauses c JOIN processed d USING (document_id))""",
+    "maintained_history": """SELECT CAST(ts AS DATE) AS day, event_type AS query_text, count(*) AS searches,
+                             CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS results FROM events GROUP BY 1, 2""",
     "landed_manifest": "SELECT file_name, CAST(strlen(raw_text) AS BIGINT) AS length, CAST(strlen(raw_text) AS BIGINT) AS n_bytes FROM corpus",
 }
 

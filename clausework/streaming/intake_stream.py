@@ -29,7 +29,7 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 STORE_TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
 
 
-def _run_id(spark: SparkSession, checkpoint: str) -> str:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream that this checkpoint belongs to, made at its first start."""
     folder = f"{checkpoint.rstrip('/')}/run_id"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
@@ -68,7 +68,7 @@ def start_intake_stream(spark: SparkSession, landing: str, store_path: str, chec
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
               .load(landing))
     return (stream.writeStream
-            .foreachBatch(_process_batch(store_path, _run_id(spark, checkpoint), responses, bucket))
+            .foreachBatch(_process_batch(store_path, stream_id(spark, checkpoint), responses, bucket))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
