@@ -50,7 +50,7 @@ WINDOW = 8
 MIN_WORDS = 5
 MIN_SHARE = 0.5
 # Words of an anchor, at most.
-ANCHOR = 4
+ANCHOR = 3
 
 # A part after a mark belongs to the number unless a letter follows it.
 NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{N}++(?:[.,:/]\p{N}++(?!\p{L}))*+(?![\p{L}\p{N}])"
@@ -133,15 +133,15 @@ def _item_windows(items: DataFrame, item_col: str, text_col: str) -> tuple[DataF
     t = t.withColumn("len", F.least("n", F.lit(WINDOW)))
     t = t.select("k", "item", "n", "len", "words", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len"))).alias("item_pos"))
     t = t.select("k", "item", "n", "len", "item_pos", F.slice("words", F.col("item_pos") + 1, F.col("len")).alias("win"))
-    t = written(t.select("*", F.transform("win", lambda x: x["norm"]).alias("norms")).select(
-        "*", F.transform(F.filter(F.transform("norms", lambda x, o: F.struct(x.alias("norm"), o.alias("o"))), lambda x: x["norm"] != ""), lambda x: x).alias("told")), "item-windows")
+    told = F.filter(F.transform("win", lambda x, o: F.struct(x["norm"].alias("norm"), o.alias("o"))), lambda x: x["norm"] != "")
+    t = written(t.select("*", F.transform("win", lambda x: x["norm"]).alias("norms"), told.alias("told")), "item-windows")
 
     def runs(size: int) -> Column:
         """The least run of ``size`` plain words; null without one."""
         made = F.transform(F.sequence(F.lit(0), F.col("len") - size), lambda o: F.struct(
             _gram(F.col("norms"), o + 1, size).alias("gram"), o.alias("offset"), F.lit(size).alias("size"),
             F.forall(F.slice("win", o + 1, F.lit(size)), lambda x: x["sure"]).alias("ok")))
-        return F.array_min(F.filter(made, lambda x: x["ok"]))
+        return F.when(F.col("len") >= size, F.array_min(F.filter(made, lambda x: x["ok"])))
 
     told = F.transform("told", lambda x: x["norm"])
     size = F.least(F.size("told"), F.lit(ANCHOR))
@@ -150,25 +150,39 @@ def _item_windows(items: DataFrame, item_col: str, text_col: str) -> tuple[DataF
     return words, t.select("k", "item", "n", "len", "item_pos", "a.size", "a.gram", "a.offset", (~F.col("a.ok")).alias("verbatim"))
 
 
-def _candidates(docs: DataFrame, anchors: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
-    """``id, text_key, k``: the documents that have enough anchors of an item to hold it."""
+def _grams(sizes: list[int], made) -> Column:
+    """``made(i, size)`` at every place ``i`` (from 1) of ``norms`` that starts a run of a size."""
+    runs = [F.when(F.size("norms") >= s, F.transform(F.sequence(F.lit(1), F.size("norms") - (s - 1)), lambda i: made(i, s))) for s in sizes]
+    return F.flatten(F.array_compact(F.array(*runs)))
+
+
+def _candidates(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text_key, k``: the documents that have enough anchors of an item to hold it.
+
+    Anchors of the full size decide.  The windows whose plain words give no such
+    anchor are few in most items and taken as met; an item that could be held by
+    them alone is asked for with all its anchors.
+    """
+    windows = F.col("n") - F.col("len") + 1
+    per = anchors.groupBy("k").agg(F.sum(F.when(F.col("size") < ANCHOR, 1).otherwise(0)).alias("short"), (MIN_SHARE * F.max(windows)).alias("bar"))
+    asked = anchors.select("k", "gram", "size").join(per, "k").where((F.col("size") == ANCHOR) | (F.col("short") >= F.col("bar")))
+    asked = written(asked.select("k", "gram", "size", F.when(F.col("short") >= F.col("bar"), F.col("bar")).otherwise(F.col("bar") - F.col("short")).alias("bar")), "asked-anchors")
+    sizes = sorted(asked.agg(F.collect_set("size")).first()[0])
     t = _texts(docs, id_col, text_col).select("id", "text_key", _norm(F.col("t")).alias("t"))
     t = t.select("id", "text_key", F.filter(F.split("t", WORD_GAP), lambda w: w != "").alias("norms"))
-    made = [F.when(F.size("norms") >= s, F.transform(F.sequence(F.lit(1), F.size("norms") - (s - 1)), lambda i: _gram(F.col("norms"), i, s)))
-            .otherwise(F.array().cast("array<bigint>")) for s in sizes]
-    grams = written(anchors.select("gram").distinct(), "anchor-grams")
-    met = (t.select("id", "text_key", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("gram"))
+    grams = written(asked.select("gram").distinct(), "anchor-grams")
+    met = (t.select("id", "text_key", F.explode(_grams(sizes, lambda i, s: _gram(F.col("norms"), i, s))).alias("gram"))
            .join(grams, "gram", "left_semi").distinct())
     # a window has one anchor, so these are its windows that may be met
-    found = met.join(anchors.select("gram", "k", (F.col("n") - F.col("len") + 1).alias("windows")), "gram").groupBy("id", "text_key", "k", "windows").count()
-    return written(found.where(F.col("count") >= MIN_SHARE * F.col("windows")).select("id", "text_key", "k"), "candidates")
+    found = met.join(asked.select("gram", "k", "bar"), "gram").groupBy("id", "text_key", "k", "bar").count()
+    return written(found.where("count >= bar").select("id", "text_key", "k"), "candidates")
 
 
 def _met(docs: DataFrame, words: DataFrame, anchors: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
     """Windows of items met in documents: ``id, text_key, k, item, n, len, item_pos, shift`` and
     ``slots`` with the item's ``key``, the document's ``value``, whether it is an ``other`` value,
     and ``told``: false where the words are equal and may be no name."""
-    wanted = _candidates(docs, anchors, sizes, id_col, text_col)
+    wanted = _candidates(docs, anchors, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("own_key", F.xxhash64("text"))
     one = wanted.select(F.col("id").alias("wanted_id"), "text_key").distinct()
     rows = rows.join(one, rows["id"].eqNullSafe(one["wanted_id"]) & (F.col("own_key") == F.col("text_key")), "left_semi").dropDuplicates(["id", "own_key"])
@@ -176,10 +190,8 @@ def _met(docs: DataFrame, words: DataFrame, anchors: DataFrame, sizes: list[int]
     told = F.filter(F.transform("words", lambda x, i: F.struct(x["norm"].alias("norm"), i.alias("pos"))), lambda x: x["norm"] != "")
     texts = written(_tokens(rows, "id", "text").select("id", "text_key", "words", told.alias("told")), "candidate-words")
     texts = texts.select("id", "text_key", F.size("words").alias("m"), "words", F.col("told.norm").alias("norms"), F.col("told.pos").alias("places"))
-    made = [F.when(F.size("norms") >= s, F.transform(F.sequence(F.lit(1), F.size("norms") - (s - 1)), lambda i: F.struct(
-        _gram(F.col("norms"), i, s).alias("gram"), F.get("places", i - 1).alias("place")))) for s in sizes]
-    empty = F.array().cast("array<struct<gram:bigint,place:int>>")
-    grams = texts.select("id", "text_key", "m", F.explode(F.concat(empty, *(F.coalesce(x, empty) for x in made))).alias("g")).select("id", "text_key", "m", "g.*")
+    made = _grams(sizes, lambda i, s: F.struct(_gram(F.col("norms"), i, s).alias("gram"), F.get("places", i - 1).alias("place")))
+    grams = texts.select("id", "text_key", "m", F.explode(made).alias("g")).select("id", "text_key", "m", "g.*")
     starts = (grams.join(anchors, "gram").withColumn("start", F.col("place") - F.col("offset")).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("m"))))
     wanted = wanted.select(F.col("id").alias("c_id"), F.col("text_key").alias("c_key"), F.col("k").alias("c_k"))
     starts = (starts.join(wanted, starts["id"].eqNullSafe(wanted["c_id"]) & (starts["text_key"] == wanted["c_key"]) & (starts["k"] == wanted["c_k"]), "left_semi")
