@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausework import constants as C
 from clausework.functions import responses as R
@@ -21,6 +22,7 @@ from clausework.operators import bucketed as B
 from clausework.operators import reports as RP
 from clausework.operators import search as S
 from clausework.operators import search_index as SI
+from clausework.operators import rule_table as RT
 from clausework.operators import sheets as SH
 from clausework.operators import store as ST
 from clausework.operators import upload as UP
@@ -595,6 +597,17 @@ def q_numbered_clauses(spark, sf):
     return rows.select("sheet", "number", "document_id", "file_name", "clause_type")
 
 
+def q_table_rules(spark, sf):
+    """Rules as a table: the eight keywords, the two rules for what is missing, and for each word of the
+    benchmark that a document has it but not the word after it."""
+    word = CP.word_queries(spark, sf).select(F.col("query_text").alias("w"))
+    pairs = word.select("w", F.lead("w").over(Window.orderBy("w")).alias("after")).select(
+        F.concat(F.lit("pair:"), "w").alias("rule_id"), F.array("w").alias("every"), F.array().cast("array<string>").alias("some"), F.array("after").alias("none"))
+    fixed = [(f"has:{k}", [k], [], []) for k in C.CONTRACT_KEYWORDS] + [(f"lacks:{k}", [], [], [k]) for k, *_ in C.RISK_RULES]
+    rules = spark.createDataFrame(fixed, "rule_id string, every array<string>, some array<string>, none array<string>").unionByName(pairs)
+    return RT.evaluate(CP.corpus(spark, sf), rules)
+
+
 def q_maintained_history(spark, sf):
     """The search log streamed in several epochs, one of them twice, and counted by day and text."""
     from clausework.streaming import history_stream as H
@@ -708,6 +721,7 @@ QUERIES: dict[str, Query] = {
     "analysis_prompt_parts": q_analysis_prompt_parts, "landed_manifest": q_landed_manifest,
     "part_answers": q_part_answers,
     "numbered_documents": q_numbered_documents, "numbered_clauses": q_numbered_clauses, "maintained_history": q_maintained_history,
+    "table_rules": q_table_rules,
     # step 8
     "stream_intake": q_stream_intake,
 }

@@ -232,7 +232,7 @@ ldocs AS (
 
 # Pure text operators see every document, not only those that are stored.
 ALL_DOCUMENTS = {"split_paragraphs", "best_paragraph", "keyword_matches", "clause_title", "rule_clauses", "rule_risks",
-                 "risk_score", "rule_analysis", "analysis_prompts", "analysis_prompt_parts"}
+                 "risk_score", "rule_analysis", "analysis_prompts", "analysis_prompt_parts", "table_rules"}
 
 
 def with_base(body: str, all_documents: bool = False) -> str:
@@ -515,6 +515,13 @@ ORACLE |= {
                            FROM rclauses c JOIN processed d USING (document_id))""",
     "maintained_history": """SELECT CAST(ts AS DATE) AS day, event_type AS query_text, count(*) AS searches,
                              CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS results FROM events GROUP BY 1, 2""",
+    "table_rules": """, w AS (
+                      SELECT DISTINCT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+')) AS lq FROM benchmark),
+                    n AS (SELECT lq, lead(lq) OVER (ORDER BY lq) AS nxt FROM w WHERE lq <> '')
+                    SELECT d.document_id, 'pair:' || lq AS rule_id FROM processed d JOIN n ON contains(lower(d.raw_text), lq)
+                      AND NOT contains(lower(d.raw_text), coalesce(nxt, lq || chr(1) || lq))
+                    UNION ALL SELECT document_id, 'has:' || keyword FROM kwm
+                    UNION ALL SELECT d.document_id, 'lacks:' || r.keyword FROM processed d JOIN rr r ON NOT contains(lower(d.raw_text), r.keyword)""",
     "landed_manifest": "SELECT file_name, CAST(strlen(raw_text) AS BIGINT) AS length, CAST(strlen(raw_text) AS BIGINT) AS n_bytes FROM corpus",
 }
 
