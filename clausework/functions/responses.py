@@ -24,6 +24,17 @@ _CLAUSE_FIELDS = ["clause_type", "clause_text"]
 _RISK_FIELDS = ["risk", "severity", "reason"]
 
 
+def sealed_items(text: Column) -> Column:
+    """A text as the first item of an array whose second item is the text's SHA-256, parsed (see ``parse_strict``)."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.sha2(text, 256), F.lit('"]'))), "$", "array<variant>")
+
+
+def unsealed(items: Column, text: Column) -> Column:
+    """The value before the seal, where the array holds it and the seal alone."""
+    sealed = (F.size(items) == 2) & (F.try_variant_get(F.get(items, 1), "$", "string") == F.sha2(text, 256))
+    return F.when(sealed, F.get(items, 0))
+
+
 def parse_strict(text: Column) -> Column:
     """The one JSON value that makes up a whole text, as a variant; else NULL.
 
@@ -32,10 +43,7 @@ def parse_strict(text: Column) -> Column:
     text's SHA-256: text that follows the value, closes the array or adds
     items leaves no such array, and no text holds its own SHA-256.
     """
-    seal = F.sha2(text, 256)
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))), "$", "array<variant>")
-    sealed = (F.size(items) == 2) & (F.try_variant_get(F.get(items, 1), "$", "string") == seal)
-    return F.when(sealed, F.get(items, 0))
+    return unsealed(sealed_items(text), text)
 
 
 def analysis_prompt(raw_text) -> Column:
@@ -68,41 +76,43 @@ def _vtype(x) -> Column:
     return F.schema_of_variant(x)
 
 
-def _string_or_missing(obj, field: str) -> Column:
-    x = _vget(obj, f"$.{field}")
-    return x.isNull() | (_vtype(x) == "STRING")
+# The known fields of a response.
+FIELDS = [*_STRING_FIELDS, "parties", "key_clauses", "risks", "risk_score"]
 
 
-def _items_ok(v, field: str, item_fields: list[str]) -> Column:
+def field_values(v) -> dict[str, Column]:
+    """The known fields of a parsed response as variants, NULL where missing."""
+    return {f: _vget(v, f"$.{f}") for f in FIELDS}
+
+
+def _string_or_missing(x, t) -> Column:
+    return x.isNull() | (t == "STRING")
+
+
+def _items_ok(x, t, item_fields: list[str]) -> Column:
     """A list of objects whose known fields are strings; or something that
     iterates to nothing in Python ('' or {}); or missing."""
-    x = _vget(v, f"$.{field}")
-    t = _vtype(x)
-    arr = F.try_variant_get(v, f"$.{field}", "array<variant>")
+    arr = F.try_variant_get(x, "$", "array<variant>")
 
     def elem_ok(e):
         ok = _vtype(e).startswith("OBJECT<")
         for f in item_fields:
-            ok = ok & _string_or_missing(e, f)
+            ok = ok & _string_or_missing(_vget(e, f"$.{f}"), _vtype(_vget(e, f"$.{f}")))
         return ok
 
     empty_iterable = (t == "OBJECT<>") | ((t == "STRING") & (F.try_variant_get(x, "$", "string") == ""))
     return x.isNull() | empty_iterable | (t.startswith("ARRAY<") & F.forall(arr, elem_ok))
 
 
-def _parties_ok(v) -> Column:
-    x = _vget(v, "$.parties")
-    arr = F.try_variant_get(v, "$.parties", "array<variant>")
-    return x.isNull() | (_vtype(x).startswith("ARRAY<")
-                         & F.forall(arr, lambda e: _vtype(e) == "STRING"))
+def _parties_ok(x, t) -> Column:
+    arr = F.try_variant_get(x, "$", "array<variant>")
+    return x.isNull() | (t.startswith("ARRAY<") & F.forall(arr, lambda e: _vtype(e) == "STRING"))
 
 
-def response_score(v) -> Column:
+def response_score(sv, st) -> Column:
     """``int(risk_score)`` with Python rules: missing 0; integers as is;
     fractions truncated toward zero; booleans 1/0; integer text parsed;
     anything else NULL (rejects the response)."""
-    sv = _vget(v, "$.risk_score")
-    st = _vtype(sv)
     text = F.try_variant_get(sv, "$", "string")
     return (F.when(sv.isNull(), F.lit(0).cast("bigint"))
             .when(st.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(sv, "$", "bigint"))
@@ -114,19 +124,22 @@ def response_score(v) -> Column:
                   F.regexp_replace(strip_ws(text), "_", "").try_cast("bigint")))
 
 
-def response_checks(v) -> dict[str, Column]:
+def response_checks(v, values: dict[str, Column] | None = None, types: dict[str, Column] | None = None) -> dict[str, Column]:
     """Columns describing one cleaned response, given its parsed variant
     ``v`` (``parse_strict``): validity, error code and score.
 
-    ``v`` should be a column computed once (not the parse expression): every
-    field check below reads it.
+    ``v`` and, where given, the ``values`` of its fields (``field_values``) and
+    their ``types`` should be columns computed once: every check reads them.
     """
+    x = values or field_values(v)
+    t = types or {f: _vtype(c) for f, c in x.items()}
     parsed = v.isNotNull()
     is_object = _vtype(v).startswith("OBJECT<")
-    fields_ok = _parties_ok(v) & _items_ok(v, "key_clauses", _CLAUSE_FIELDS) & _items_ok(v, "risks", _RISK_FIELDS)
+    fields_ok = (_parties_ok(x["parties"], t["parties"]) & _items_ok(x["key_clauses"], t["key_clauses"], _CLAUSE_FIELDS)
+                 & _items_ok(x["risks"], t["risks"], _RISK_FIELDS))
     for f in _STRING_FIELDS:
-        fields_ok = fields_ok & _string_or_missing(v, f)
-    score = response_score(v)
+        fields_ok = fields_ok & _string_or_missing(x[f], t[f])
+    score = response_score(x["risk_score"], t["risk_score"])
     valid = parsed & is_object & F.coalesce(fields_ok, F.lit(False)) & score.isNotNull()
     error = (F.when(~parsed, F.lit(C.ERR_INVALID_JSON))
              .when(~valid, F.lit(C.ERR_SCHEMA))

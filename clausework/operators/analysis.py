@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework import constants as C
-from clausework.functions.responses import clean_response, parse_strict, parsed_fields, response_checks
+from clausework.functions.responses import FIELDS, clean_response, field_values, parsed_fields, response_checks, sealed_items, unsealed
 from clausework.functions.text import strip_ws
 from clausework.operators.rules import analysis_struct, with_rule_analysis
 
@@ -24,13 +24,15 @@ from clausework.operators.rules import analysis_struct, with_rule_analysis
 def with_response_checks(df: DataFrame, text_col: str = "response_text") -> DataFrame:
     """Add ``cleaned``, ``resp_valid``, ``resp_error``, ``resp_score`` and the
     parsed variant ``resp_v`` for a response text column."""
-    # parse once into columns; every check reads the parsed variant
-    staged = (df.withColumn("cleaned", clean_response(F.col(text_col)))
-              .withColumn("resp_v", parse_strict(F.col("cleaned"))))
-    checks = response_checks(F.col("resp_v"))
-    return (staged.withColumn("resp_score", checks["score"])
-            .withColumn("resp_valid", F.coalesce(checks["valid"], F.lit(False)))
-            .withColumn("resp_error", checks["error"]))
+    # each step is a column that the next reads: a text is parsed once, a field is taken from it once
+    staged = df.withColumn("cleaned", clean_response(F.col(text_col)))
+    staged = staged.withColumn("_items", sealed_items(F.col("cleaned")))
+    staged = staged.withColumn("resp_v", unsealed(F.col("_items"), F.col("cleaned")))
+    staged = staged.withColumns({f"_x_{f}": c for f, c in field_values(F.col("resp_v")).items()})
+    staged = staged.withColumns({f"_t_{f}": F.schema_of_variant(f"_x_{f}") for f in FIELDS})
+    checks = response_checks(F.col("resp_v"), {f: F.col(f"_x_{f}") for f in FIELDS}, {f: F.col(f"_t_{f}") for f in FIELDS})
+    return (staged.withColumns({"resp_score": checks["score"], "resp_valid": F.coalesce(checks["valid"], F.lit(False)), "resp_error": checks["error"]})
+            .drop("_items", *(f"_{k}_{f}" for f in FIELDS for k in "xt")))
 
 
 def with_analysis(docs: DataFrame, responses: DataFrame | None = None,

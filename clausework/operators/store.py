@@ -183,15 +183,20 @@ def _whole_clauses(analysed: DataFrame) -> DataFrame:
     rules as long as their cut is read again from the first paragraph with its keyword."""
     clauses = F.col("analysis.key_clauses")
     is_cut = lambda c: (F.length(c["clause_text"]) == C.CLAUSE_TEXT_CHARS) & (F.col("analysis.mode") == C.RULES_MODE)
-    split = analysed.withColumn("_paras", F.when(F.exists(clauses, is_cut), split_paragraphs("raw_text")))
 
-    def whole(c):
-        first = F.get(F.filter("_paras", lambda p: p.startswith(c["clause_text"]) & F.lower(p).contains(F.lower(c["clause_type"]))), F.lit(0))
+    def whole(paragraphs, c):
+        first = F.get(F.filter(paragraphs, lambda p: p.startswith(c["clause_text"]) & F.lower(p).contains(F.lower(c["clause_type"]))), F.lit(0))
         text = F.coalesce(c["clause_text"], F.lit(""))
         return F.struct(c["clause_type"].alias("clause_type"), c["clause_text"].alias("clause_text"),
                         F.when(is_cut(c), F.coalesce(first, text)).otherwise(text).alias("clause_text_full"))
 
-    return split.withColumn("_whole", F.transform(clauses, whole))
+    # the paragraphs are the start of a fold over the clauses: an expression inside
+    # a function of each clause would split the text anew for every clause
+    none = F.array().cast("array<struct<clause_type:string,clause_text:string,clause_text_full:string>>")
+    start = F.struct(F.when(F.exists(clauses, is_cut), split_paragraphs("raw_text")).alias("paragraphs"), none.alias("done"))
+    folded = F.aggregate(clauses, start, lambda a, c: F.struct(
+        a["paragraphs"].alias("paragraphs"), F.concat(a["done"], F.array(whole(a["paragraphs"], c))).alias("done")), lambda a: a["done"])
+    return analysed.withColumn("_whole", folded)
 
 
 def clauses_table(analysed: DataFrame) -> DataFrame:
