@@ -19,6 +19,7 @@ from clausework.functions import responses as R
 from clausework.functions.arrays import explode_with_pos
 from clausework.functions import text as T
 from clausework.operators import bucketed as B
+from clausework.operators import landing as LD
 from clausework.operators import reports as RP
 from clausework.operators import search as S
 from clausework.operators import search_index as SI
@@ -597,6 +598,15 @@ def q_numbered_clauses(spark, sf):
     return rows.select("sheet", "number", "document_id", "file_name", "clause_type")
 
 
+def q_landing_round_trip(spark, sf):
+    """All supported files landed twice, the second time as other documents, and put together again."""
+    store = run_dir(spark, "landing-store")
+    files = _files(spark, sf).where("supported").select("document_id", "file_name", "content")
+    LD.land(files, store, "first")
+    LD.land(files.withColumn("document_id", F.concat("document_id", F.lit("-again"))), store, "second")
+    return LD.landed(spark, store).select("document_id", "file_name", F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def q_table_rules(spark, sf):
     """Rules as a table: the eight keywords, the two rules for what is missing, and for each word of the
     benchmark that a document has it but not the word after it."""
@@ -721,7 +731,7 @@ QUERIES: dict[str, Query] = {
     "analysis_prompt_parts": q_analysis_prompt_parts, "landed_manifest": q_landed_manifest,
     "part_answers": q_part_answers,
     "numbered_documents": q_numbered_documents, "numbered_clauses": q_numbered_clauses, "maintained_history": q_maintained_history,
-    "table_rules": q_table_rules,
+    "table_rules": q_table_rules, "landing_round_trip": q_landing_round_trip,
     # step 8
     "stream_intake": q_stream_intake,
 }

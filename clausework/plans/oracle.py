@@ -522,6 +522,8 @@ ORACLE |= {
                       AND NOT contains(lower(d.raw_text), coalesce(nxt, lq || chr(1) || lq))
                     UNION ALL SELECT document_id, 'has:' || keyword FROM kwm
                     UNION ALL SELECT d.document_id, 'lacks:' || r.keyword FROM processed d JOIN rr r ON NOT contains(lower(d.raw_text), r.keyword)""",
+    "landing_round_trip": f"""SELECT {_FILE_ID} || again AS document_id, file_name, CAST(strlen(raw_text) AS BIGINT) AS n_bytes, sha256(raw_text) AS sha256
+                              FROM files, (VALUES (''), ('-again')) t(again) WHERE lower(suffix) IN ({_SUPPORTED})""",
     "landed_manifest": "SELECT file_name, CAST(strlen(raw_text) AS BIGINT) AS length, CAST(strlen(raw_text) AS BIGINT) AS n_bytes FROM corpus",
 }
 
