@@ -347,8 +347,8 @@ def test_templates_slots(spark):
 
 def test_templates_in_long_texts(spark):
     item = "If Anna buys 12 apples at 3 euros each and Anna sells 12 apples, how much money does Anna have now"
-    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(3 * templates.CHUNK)]
-    docs = [(k, " ".join([*words[:k], "end.", item.replace("12", "40"), *words[k:]])) for k in (0, templates.CHUNK - 9, templates.CHUNK, 3 * templates.CHUNK)]
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(3 * 256)]
+    docs = [(k, " ".join([*words[:k], "end.", item.replace("12", "40"), *words[k:]])) for k in (0, 256 - 9, 256, 3 * 256)]
     docs.append((-1, " ".join([*words[:300], "end.", item.replace("sells 12", "sells 41"), *words[300:]])))
     got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     # the whole item is met wherever a chunk of windows ends; the slots of the last one contradict each other
