@@ -28,13 +28,13 @@ TABLES = ["documents", *CHILD_COLUMNS]
 KEY = "document_id"
 
 
-def publish(store: Store, path: str, buckets: int = 64) -> "Published":
-    """Write the documents and their children under ``path``, bucketed and sorted by document."""
+def publish(store: Store, path: str, buckets: int = 64, children: list[str] | None = None) -> "Published":
+    """Write the documents and their children (all kinds by default) under ``path``, bucketed and sorted by document."""
     spark = store.documents.sparkSession
     shapes = {"documents": [*DOCUMENT_COLUMNS, "uploaded_at"], **{name: [c for c in columns] for name, columns in CHILD_COLUMNS.items()}}
     layout = {"buckets": buckets, "tables": {}}
     run = uuid.uuid4().hex[:12]
-    for name in TABLES:
+    for name in TABLES if children is None else ["documents", *children]:
         df = getattr(store, name).drop(*(CARRIED if name != "documents" else ())).select(*shapes[name])
         folder = f"{path}/{name}-{run}"
         # one task a bucket: one file a bucket

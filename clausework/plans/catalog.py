@@ -557,25 +557,25 @@ def q_newest_top50(spark, sf):
     return NewestFirst(spark, path).top(CP.search_queries(spark)).drop("uploaded_at", "area_rank")
 
 
-def _published(spark, sf, store: ST.Store) -> B.Published:
-    return B.publish(store, run_dir(spark, "published"), buckets=8)
+def _published(spark, store: ST.Store, children: str) -> B.Published:
+    return B.publish(store, run_dir(spark, "published"), buckets=8, children=[children])
 
 
 def q_bucketed_clauses(spark, sf):
-    return _published(spark, sf, _rules_store(spark, sf)).with_documents("clauses")
+    return _published(spark, _rules_store(spark, sf), "clauses").with_documents("clauses")
 
 
 def q_bucketed_risks(spark, sf):
-    return _published(spark, sf, _rules_store(spark, sf)).with_documents("risks")
+    return _published(spark, _rules_store(spark, sf), "risks").with_documents("risks")
 
 
 def q_bucketed_parties(spark, sf):
-    return _published(spark, sf, _llm_store(spark, sf)).with_documents("parties")
+    return _published(spark, _llm_store(spark, sf), "parties").with_documents("parties")
 
 
 def q_newest_document_clauses(spark, sf):
     """The clauses of the document uploaded last, read from its bucket."""
-    published = _published(spark, sf, _rules_store(spark, sf))
+    published = _published(spark, _rules_store(spark, sf), "clauses")
     newest = published.documents.select("document_id", "uploaded_at").orderBy(F.col("uploaded_at").desc(), "document_id").first()
     return published.children("clauses", newest.document_id if newest else "")
 
