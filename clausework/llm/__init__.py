@@ -1,2 +1,2 @@
-"""Training-data operators: ten corpus operators and the queries that apply
+"""Training-data operators: thirteen corpus operators and the queries that apply
 them.  Nothing else in the library imports this subpackage."""
