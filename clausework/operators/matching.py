@@ -9,17 +9,20 @@ equi-joins; the answer does not depend on which physical way is taken:
 * a pattern table of at most ``LITERAL_MAX`` rows becomes one literal
   ``contains`` per pattern inside a single projection (no join, no exchange);
   at most ``LITERAL_MAX + 1`` rows are read to find that out;
-* a larger table is an inverted index: each pattern is filed under one gram
-  of up to ``GRAM`` characters, that which is rarest among the patterns; a
-  text meets the patterns filed under its own distinct grams in a hash join,
-  and ``contains`` verifies the pair.  The index never passes through the
-  driver's Python.
-
-The index is broadcast while its counted rows and bytes are below
-``BROADCAST_ROWS`` and ``BROADCAST_BYTES``.  Beyond that the rows get a
-number and are written once to the shared folder; only (number, gram) pairs
-are shuffled, salted so that a gram which a third of all texts hold is no
-one task's work, and the candidate pairs fetch the text for the check.
+* a larger table of up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` is
+  sent to the tasks.  A text is met as its distinct words: a pattern is filed
+  under the start of its longest run without white space, which must stand
+  inside a word, and the words of a text repeat, so what a word holds is
+  looked up once per task.  A pattern that is no more than that run is found
+  by the word alone, any other is verified in the whole text;
+* beyond that an inverted index stays on the cluster: each pattern is filed under one gram
+  of up to ``GRAM`` characters, that which is rarest among the patterns.  The rows get a
+  number and are written once to the shared folder; only (number, gram) pairs
+  are shuffled, salted so that a gram which a third of all texts hold is no
+  one task's work, and the candidate pairs fetch the text for the check.
+
+In both ways no row carries its text along for each of its words or grams:
+that would copy a text as often as it has words.
 
 A NULL text holds nothing; a NULL or empty pattern matches nothing; a NULL
 key is a key like any other; a pattern text under several keys gives each.
@@ -27,6 +30,9 @@ key is a key like any other; a pattern text under several keys gives each.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +43,15 @@ from clausework.session import run_dir
 LITERAL_MAX = 64
 # Characters of the gram a pattern is filed under (a shorter pattern is its own gram).
 GRAM = 4
-# The index is sent to every executor up to this size.
+# The patterns are sent to every executor up to this size.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 # Parts of one gram's texts when the index is too large to send.
 SALTS = 16
+# Characters of the run a sent pattern is filed under, at most.
+RUN = 8
+# Words of up to ``KNOWN_CHARS`` characters whose patterns a task remembers, at most.
+KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 64
 
 
 def contains_any(texts: list[str], pattern: Column) -> Column:
@@ -90,12 +100,58 @@ def _with_grams(rows: DataFrame, texts: list[str], lengths: list[int]) -> DataFr
     return arrays.select(*rows.columns, F.explode_outer("_grams").alias("_gram"))
 
 
+def finder(patterns: list[str]) -> Callable[[list[str]], list[str]]:
+    """The patterns that occur in one of some texts, as a function of the texts."""
+    own: set[str] = set()  # patterns that are the run they are filed under
+    longer: dict[str, list[str]] = {}
+    for p in patterns:
+        run = max(p.split(), key=len, default="")[:RUN]
+        if p == run:
+            own.add(p)
+        else:
+            longer.setdefault(run, []).append(p)
+    blank = longer.pop("", [])
+    runs = own | longer.keys()
+    ones, twos = {r for r in runs if len(r) == 1}, {r for r in runs if len(r) == 2}
+    # longer runs by their starts: whether the start is a run itself
+    starts = dict.fromkeys((r[:k] for r in runs for k in range(3, len(r))), False) | dict.fromkeys((r for r in runs if len(r) > 2), True)
+    known: dict[str, tuple] = {}
+
+    def of(word: str) -> tuple:
+        """Patterns that the word holds, and those that a text with it may hold."""
+        found = ones.intersection(word)
+        found.update(twos.intersection([a + b for a, b in zip(word, word[1:])]))
+        for i in range(len(word) - 2):
+            for j in range(i + 3, min(i + RUN, len(word)) + 1):
+                filing = starts.get(word[i:j])
+                if filing is None:
+                    break
+                if filing:
+                    found.add(word[i:j])
+        more = [p for r in longer.keys() & found for p in longer[r]] if longer else []
+        both = (*own.intersection(found), *(p for p in more if p in word)), tuple(p for p in more if [p] != p.split())  # with white space
+        if len(word) <= KNOWN_CHARS:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            known[word] = both
+        return both
+
+    def find(texts: list[str]) -> list[str]:
+        held, open_ = set(), set(blank)
+        for word in {w for t in texts for w in t.split()}:
+            sure, maybe = known.get(word) or of(word)
+            held.update(sure)
+            open_.update(maybe)
+        return [*held, *(p for p in open_ if any(p in t for t in texts))]
+    return find
+
+
 class Patterns:
     """A pattern table resolved once and shared by every matching pass.
 
-    Few patterns: ``literal``, the (pattern, key) pairs.  Many: ``index``, the
-    written table ``(gram, p, key)``, with the gram lengths that occur and
-    whether it may be broadcast.
+    Few patterns: ``literal``, the (pattern, key) pairs.  More: the written
+    ``table (p, key)`` with ``texts``, its distinct patterns.  Many: ``index``,
+    the written table ``(gram, p, key)``, with the gram lengths that occur.
     """
 
     def __init__(self, patterns: DataFrame, pattern_col: str, key_col: str):
@@ -110,17 +166,19 @@ class Patterns:
         path = run_dir(spark, "patterns")
         table.distinct().write.parquet(f"{path}/patterns")
         table = spark.read.parquet(f"{path}/patterns")
+        n_rows, n_bytes = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("p"))).first()
+        self.small = n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
+        if self.small:
+            self.table = table.withColumnRenamed("k", key_col)
+            self.texts = [r.p for r in table.select("p").distinct().collect()]
+            return
         own = (table.select("p", F.split("p", "").alias("chars")).distinct()
                .select("p", F.explode_outer(F.array_distinct(_by_length(F.col("chars")))).alias("gram")).where("gram is not null"))
         use = own.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
         filed = own.join(use, "gram").groupBy("p").agg(F.min_by("gram", F.struct("uses", "gram")).alias("gram"))
         filed.join(table, "p").select("gram", "p", F.col("k").alias(key_col)).write.parquet(f"{path}/index")
         self.index = spark.read.parquet(f"{path}/index")
-        n_rows, n_bytes, lengths = self.index.agg(
-            F.count(F.lit(1)), F.sum(F.octet_length("p") + F.octet_length("gram")),
-            F.collect_set(F.char_length("gram"))).first()
-        self.lengths = sorted(lengths)
-        self.small = n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
+        self.lengths = sorted(self.index.agg(F.collect_set(F.char_length("gram"))).first()[0])
 
 
 def _by_length(chars: Column) -> Column:
@@ -131,13 +189,28 @@ def _by_length(chars: Column) -> Column:
     return found.otherwise(grams(chars, GRAM))
 
 
+def _sent(rows: DataFrame, texts: list[str], patterns: Patterns) -> DataFrame:
+    """Rows met with patterns that every task holds."""
+    wanted = patterns.texts
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        find = finder(wanted)
+        for batch in batches:
+            yield pd.Series([find([t for t in row if t]) for row in zip(*(batch[c] for c in batch.columns))], dtype=object)
+
+    found = F.pandas_udf(held, "array<string>")(F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)]))
+    # outer, so that no filter on the array's size is inferred below, which
+    # would make the array a second time; a NULL meets no pattern
+    met = rows.select(*rows.columns, F.explode_outer(found).alias("_p"))
+    keys = patterns.table.select(F.col("p").alias("_found"), F.col(patterns.key_col).alias("_key"))
+    return (met.join(F.broadcast(keys), F.col("_p") == F.col("_found"))
+            .select(*rows.columns, F.col("_key").alias(patterns.key_col)))
+
+
 def _indexed(rows: DataFrame, texts: list[str], patterns: Patterns) -> DataFrame:
     """Rows met with the patterns through the inverted index."""
     index = patterns.index.select(F.col("gram").alias("_gram"), F.col("p").alias("_p"), F.col(patterns.key_col).alias("_key"))
     keep = [*rows.columns, F.col("_key").alias(patterns.key_col)]
-    if patterns.small:
-        met = _with_grams(rows, texts, patterns.lengths).join(F.broadcast(index), "_gram")
-        return met.where(contains_any(texts, F.col("_p"))).select(*keep)
     spark = rows.sparkSession
     path = run_dir(spark, "numbered")
     rows.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
@@ -161,6 +234,6 @@ def rows_containing(rows: DataFrame, texts: list[str], patterns: DataFrame | Pat
     if not isinstance(patterns, Patterns):
         patterns = Patterns(patterns, pattern_col, key_col)
     if patterns.literal is None:
-        return _indexed(rows, texts, patterns)
+        return (_sent if patterns.small else _indexed)(rows, texts, patterns)
     schema = T.StructType([T.StructField(patterns.key_col, patterns.key_type)])
     return literal_matches(rows, texts, [(p, (k,)) for p, k in dict.fromkeys(patterns.literal)], schema)

@@ -66,8 +66,10 @@ def evaluate(docs: DataFrame, rules: DataFrame, id_col: str = "document_id", tex
 
     lowered = docs.select(F.col(id_col).alias("doc"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     hits = _written(rows_containing(lowered, ["t"], keywords, "keyword", "k").select("doc", "k").distinct(), "rule-hits")
-    sparse = hits.groupBy("doc").agg(_bits(F.collect_list("k")).alias("has"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), lambda w: F.coalesce(F.get(F.filter("has", lambda h: h["word"] == w), F.lit(0))["bits"], F.lit(0).cast("bigint")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("k") % 64).cast("int"))
+    words = hits.groupBy("doc", F.floor(F.col("k") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    sparse = words.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("has"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), lambda w: F.coalesce(F.col("has")[w], F.lit(0).cast("bigint")))
     maps = _written(sparse.select("doc", dense.alias("map")), "rule-bitmaps")
 
     has = lambda m: F.get("map", m["word"]).bitwiseAND(m["bits"])
