@@ -35,6 +35,8 @@ AREAS = {1: C.AREA_CLAUSE, 2: C.AREA_RISK, 3: C.AREA_RAW}
 ROW_KEY = ["document_id", "area_rank", "pos"]
 # Parts of one query's hits that are ranked apart before they meet.
 RANK_SALTS = 64
+# Parts of the upload time by whose counts hits are left out before they are sorted.
+TIME_PARTS = 1024
 _TEXTS = ["_t1", "_t2"]
 
 
@@ -137,6 +139,22 @@ def top_keys(keys: DataFrame, n: int = C.SEARCH_SHOWN, key: str = "q") -> DataFr
             .withColumn("rank", F.col("rank").cast("bigint")))
 
 
+def newest_keys(keys: DataFrame, n: int = C.SEARCH_SHOWN) -> DataFrame:
+    """The hit keys that can be among the first ``n`` of their query text: those of the newest
+    parts of the upload time that hold ``n`` of its hits, so that only these are sorted."""
+    # the difference of two times without a zone: no clock change can reorder parts
+    second = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', uploaded_at)")
+    first, last = keys.agg(F.min(second), F.max(second)).first()
+    if first is None:
+        return keys
+    part = F.coalesce(F.floor((second - first) / F.lit((last - first) // TIME_PARTS + 1)), F.lit(-1))  # no time comes last
+    parted = keys.withColumn("_part", part)
+    newer = F.sum("count").over(Window.partitionBy("q").orderBy(F.col("_part").desc())) - F.col("count")
+    least = (parted.groupBy("q", "_part").count().withColumn("_newer", newer).where(F.col("_newer") < n)
+             .groupBy(F.col("q").alias("_q")).agg(F.min("_part").alias("_least")))
+    return parted.join(least, (F.col("q") == F.col("_q")) & (F.col("_part") >= F.col("_least"))).select(*keys.columns)
+
+
 def top_hits(rows: DataFrame, keys: DataFrame, queries: DataFrame, path: str, n: int = C.SEARCH_SHOWN) -> DataFrame:
     """The first ``n`` hits of each query with their texts.
 
@@ -144,7 +162,7 @@ def top_hits(rows: DataFrame, keys: DataFrame, queries: DataFrame, path: str, n:
     the texts knows their size: a few are broadcast, many are a shuffle join.
     """
     spark = rows.sparkSession
-    top_keys(keys, n).drop("uploaded_at").write.mode("overwrite").parquet(f"{path}/top_keys")
+    top_keys(newest_keys(keys, n), n).drop("uploaded_at").write.mode("overwrite").parquet(f"{path}/top_keys")
     top = spark.read.parquet(f"{path}/top_keys")
     shown = rows.drop(*_TEXTS).join(top, ROW_KEY)
     return shown.join(_query_texts(queries).select("query_id", "q"), "q").select(*HIT_COLUMNS, "rank")
