@@ -1,18 +1,20 @@
-"""A stored search index: positional grams in immutable segments.
+"""A stored search index: positional words in immutable segments.
 
 At intake every searchable text (clauses, risks and paragraphs, lowered as a
-search lowers them) is cut into the ``GRAM`` characters at each of its places.
-A posting says that a gram stands at a place of a text of a row; the last
-places of a text have shorter grams, so every place starts one.  A batch's
+search lowers them) is cut into grams: a word with the white space before it,
+and the white space at the end.  A posting says that a gram stands at a place
+of a text of a row, so a text has as many postings as words.  A batch's
 postings are one segment, committed together with the batch's tables
 (``operators.snapshots``) and never changed; segments are merged into larger
 ones by a commit of their own.
 
-A query needs no text.  It is tiled by grams (offsets 0, 3, 6, ... and the
-last), and a row holds it exactly where all its tiles stand at one start, so
-the tiles' postings are read, shifted by their offsets, and counted by row
-and start.  A query shorter than a gram is a prefix of grams, which a small
-dictionary of the segment's grams names.  Postings are sorted by gram within
+A query needs no text.  It is cut into tiles in the same way.  A query of one
+tile stands where it is within a gram; of several, where the first ends a
+gram, the last starts one, and those between are grams, at one start.  The
+dictionary of the segments' grams, which grows as a vocabulary does, is
+matched with the tiles (``operators.matching``); the postings of the grams so
+found are read, those of one-tile queries gathered by row, the others shifted by their
+offsets and counted by row and start.  Postings are sorted by gram within
 ranges and parted by a hash of the gram, so that a search reads the parts
 and row groups of its grams only; a gram that a third of all rows holds is
 spread over many files, as ranges go by gram and row.
@@ -27,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.operators import search as S
+from clausework.operators.matching import rows_containing
 from clausework.operators.snapshots import Snapshots
 from clausework.session import run_dir
 
-GRAM = 3
+# A word with the white space before it, or the white space at the end.
+GRAM = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 # Folders into which postings are parted by a hash of their gram.
 GRAM_PARTS = 32
 # Up to this many grams are pushed into the scan as literals; more meet the postings in a join.
@@ -39,6 +43,10 @@ ROWS, POSTINGS, GRAMS = "index_rows", "index_postings", "index_grams"
 _TEXTS = ["_t1", "_t2"]
 
 
+def _grams(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(GRAM), F.lit(0))
+
+
 def _part(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(GRAM_PARTS)).cast("int")
 
@@ -63,10 +71,8 @@ def segment_tables(rows: DataFrame, segment: str) -> dict[str, DataFrame]:
     numbered = spark.read.parquet(path)
     every = None
     for number, text in enumerate(_TEXTS, start=1):
-        chars = numbered.where(F.col(text) != "").select("segment", "row", F.lit(number).alias("text_no"), F.split(text, "").alias("chars"))
-        more = [F.coalesce(F.get("chars", F.col("at") + k), F.lit("")) for k in range(1, GRAM)]
-        each = chars.select("segment", "row", "text_no", "chars", F.posexplode("chars").alias("at", "c"))
-        each = each.select(F.concat("c", *more).alias("gram"), "segment", "row", "text_no", "at").where("gram <> ''")
+        cut = numbered.where(F.col(text) != "").select("segment", "row", F.lit(number).alias("text_no"), F.posexplode(_grams(F.col(text))).alias("at", "gram"))
+        each = cut.select("gram", "segment", "row", "text_no", "at")
         every = each if every is None else every.unionByName(each)
     postings = every.withColumn("gram_part", _part(F.col("gram")))
     held = every.groupBy("gram").agg(F.count("*").alias("places"))
@@ -95,20 +101,18 @@ class SearchIndex:
         self.store.merge(f"{batch}-grams", GRAMS, lambda df: df.groupBy("gram").agg(F.sum("places").alias("places")))
 
     def tiles(self, queries: DataFrame) -> DataFrame:
-        """``(q, n_tiles, offset, gram)`` of each distinct query text; a text with a gram that no row holds has none."""
+        """``(q, n_tiles, offset, gram)`` of each distinct query text, a row for each gram that may stand
+        at a tile; a text with a tile that no gram fits has none."""
         q = queries.select(F.lower("query_text").alias("q")).where("q <> ''").distinct()
-        known = self.store.read(GRAMS, self.version).groupBy("gram").agg(F.sum("places").alias("places"))
-        size = F.char_length("q")
-        offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), size - GRAM, F.lit(GRAM)), F.array(size - GRAM)))
-        cut = (q.where(size >= GRAM).withColumn("offsets", offsets).select("q", F.size("offsets").alias("n_tiles"), F.explode("offsets").alias("offset"))
-               .withColumn("gram", F.expr(f"substring(q, offset + 1, {GRAM})")))
-        cut = cut.join(known.select("gram"), "gram", "left_semi")
-        whole = cut.groupBy("q").agg(F.count("*").alias("here"), F.first("n_tiles").alias("n")).where("here = n").select("q")
-        cut = cut.join(whole, "q", "left_semi").select("q", "n_tiles", "offset", "gram")
-        # a short query is a prefix of grams: each gram names its prefixes
-        prefixes = known.select("gram", F.explode(F.array(*(F.substring("gram", 1, k) for k in range(1, GRAM)))).alias("q")).distinct()
-        short = q.where(size < GRAM).join(prefixes, "q").select("q", F.lit(1).alias("n_tiles"), F.lit(0).alias("offset"), "gram")
-        return cut.unionByName(short)
+        cut = q.withColumn("tiles", _grams(F.col("q"))).select("q", F.size("tiles").alias("n_tiles"), F.posexplode("tiles").alias("offset", "tile"))
+        known = self.store.read(GRAMS, self.version).select("gram").distinct()
+        held = rows_containing(known, ["gram"], cut.select("tile").distinct(), "tile", "tile")
+        first, last = F.col("offset") == 0, F.col("offset") == F.col("n_tiles") - 1
+        fits = (F.when(first & last, True).when(first, F.endswith("gram", F.col("tile"))).when(last, F.startswith("gram", F.col("tile")))
+                .otherwise(F.col("gram") == F.col("tile")))
+        met = held.join(cut, "tile").where(fits).select("q", "n_tiles", "offset", "gram")
+        whole = met.where("n_tiles > 1").groupBy("q", "n_tiles").agg(F.count_distinct("offset").alias("here")).where("here = n_tiles").select("q")
+        return met.where("n_tiles = 1").unionByName(met.where("n_tiles > 1").join(whole, "q", "left_semi"))
 
     def hit_keys(self, queries: DataFrame) -> DataFrame:
         """Hits per query text (``q``, the row's key and upload time), from postings alone."""
@@ -120,11 +124,14 @@ class SearchIndex:
         if len(asked) <= PUSHED_GRAMS:
             parts = [r[0] for r in self.spark.createDataFrame([(g,) for g in asked], "gram string").select(_part(F.col("gram"))).distinct().collect()]
             postings = postings.where(F.col("gram_part").isin(parts) & F.col("gram").isin(asked))
-        met = postings.join(tiles.withColumnRenamed("gram", "g"), F.col("gram") == F.col("g"))
-        one = met.where("n_tiles = 1").select("q", "segment", "row")
-        starts = (met.where("n_tiles > 1").groupBy("q", "n_tiles", "segment", "row", "text_no", (F.col("at") - F.col("offset")).alias("start"))
-                  .agg(F.count("*").alias("n")).where("n = n_tiles").select("q", "segment", "row"))
-        return (one.unionByName(starts).distinct().join(self.store.read(ROWS, self.version), ["segment", "row"])
+        # a row's grams bring the queries they hold as lists, which meet in the row
+        single = tiles.where("n_tiles = 1").groupBy(F.col("gram").alias("g")).agg(F.collect_set("q").alias("qs"))
+        one = (postings.join(single, F.col("gram") == F.col("g")).groupBy("segment", "row")
+               .agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs")).select(F.explode_outer("qs").alias("q"), "segment", "row"))
+        met = postings.join(tiles.where("n_tiles > 1").withColumnRenamed("gram", "g"), F.col("gram") == F.col("g"))
+        starts = (met.groupBy("q", "n_tiles", "segment", "row", "text_no", (F.col("at") - F.col("offset")).alias("start"))
+                  .agg(F.count("*").alias("n")).where("n = n_tiles").select("q", "segment", "row").distinct())
+        return (one.unionByName(starts).join(self.store.read(ROWS, self.version), ["segment", "row"])
                 .select("q", "uploaded_at", *S.ROW_KEY))
 
     def counts(self, queries: DataFrame) -> DataFrame:
