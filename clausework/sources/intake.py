@@ -25,8 +25,6 @@ from clausework import constants as C
 from clausework.functions.text import file_suffix, is_supported, strip_ws
 
 ROUTES = {".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".txt": "txt"}
-# Manifest rows broadcast whole at most (one row is a path and a name).
-MANIFEST_BROADCAST_MAX = 1000000
 
 
 def read_landing(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
@@ -43,11 +41,9 @@ def read_landing(spark: SparkSession, folder: str, manifest: DataFrame | None =
     if manifest is None:
         return files.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1))
     listed = manifest.select("path", "file_name")
-    # file bytes never travel for the manifest: within the bound the manifest
-    # is broadcast and the files keep their bytes where they were read;
-    # beyond it, a shuffle join on path
-    side = F.broadcast(listed) if listed.count() <= MANIFEST_BROADCAST_MAX else listed
-    present = files.join(side, "path", "inner")
+    # a join on the path: the manifest, a row for each file, is never gathered
+    # on the driver unless it is below Spark's own broadcast threshold
+    present = files.join(listed, "path", "inner")
     # listed files the source cannot see: only paths are compared (the
     # binaryFile scan reads no bytes when no content is selected)
     unseen = (listed.join(files.select("path"), "path", "left_anti")
