@@ -26,6 +26,9 @@ from clausework.sources import corpus as CP
 from clausework.sources import intake as IN
 
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+# Files of a micro-batch, at most.  Each batch is eight jobs whatever it holds, so small ones
+# cost more than their files; the files of one are shared out over the tasks.
+FILES_PER_BATCH = 100_000
 STORE_TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
 
 
@@ -42,7 +45,10 @@ def _process_batch(store_path: str, run_id: str, responses: DataFrame | None, bu
     def run(batch: DataFrame, epoch_id: int) -> None:
         files = batch.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
                              F.unix_micros("modificationTime").alias("mtime_micros"), "length", "content")
-        texts = IN.extract_texts(IN.with_ids(files))
+        # read once: extraction takes each route from a copy with few partitions, not from the files again
+        copy = run_dir(batch.sparkSession, "stream-files")
+        IN.with_ids(files).write.parquet(copy)
+        texts = IN.extract_texts(batch.sparkSession.read.parquet(copy))
         intake = texts.select("document_id", "file_name",
                               F.timestamp_micros("mtime_micros").cast("timestamp_ntz").alias("uploaded_at"),
                               F.col("text").alias("raw_text"))
@@ -56,7 +62,7 @@ def _process_batch(store_path: str, run_id: str, responses: DataFrame | None, bu
 
 def start_intake_stream(spark: SparkSession, landing: str, store_path: str, checkpoint: str,
                         responses: DataFrame | None = None, bucket: str = "",
-                        max_files_per_trigger: int = 1000):
+                        max_files_per_trigger: int = FILES_PER_BATCH):
     """Start the intake stream; returns the ``StreamingQuery``.
 
     ``trigger(availableNow=True)``: process what has landed, in bounded
