@@ -35,6 +35,7 @@ Only the named columns are read, so others may have any name.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,8 +65,13 @@ def ranked(values: DataFrame, col: str) -> DataFrame:
         "value", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
 
 
-def _node_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    table = spark.createDataFrame(rows, schema)
+def _schema(**types: str) -> pa.Schema:
+    return pa.schema([(name, pa.type_for_alias(of)) for name, of in types.items()])
+
+
+def _node_table(spark, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    # as an Arrow table: a list would be sent through Python on the executors
+    table = spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema))
     return F.broadcast(table) if len(rows) <= BROADCAST_NODES else table
 
 
@@ -80,7 +86,7 @@ def _quantiles(rows: DataFrame, key: str, bounds: dict[int, list], wanted: dict[
         bins = max(16, LEVEL_BINS // len(open_nodes))
         step = {n: -(-(hi - lo + 1) // bins) for n, (lo, hi, _) in open_nodes.items()}
         table = _node_table(spark, [(n, lo, hi, step[n], float(wanted[n] - below)) for n, (lo, hi, below) in open_nodes.items()],
-                            "of long, lo long, hi long, step long, wanted double")
+                            _schema(of="int64", lo="int64", hi="int64", step="int64", wanted="float64"))
         sums = (rows.join(table, F.col("node") == F.col("of")).where(F.col(key).between(F.col("lo"), F.col("hi")))
                 .groupBy("of", F.expr(f"({key} - lo) div step").alias("bin"), "wanted").agg(F.sum("size").alias("w"), F.count("*").alias("n")))
         upto = F.sum("w").over(Window.partitionBy("of").orderBy("bin"))
@@ -117,7 +123,7 @@ def _cuts(rows: DataFrame, bounds: dict[int, list], wanted: dict[int, float]) ->
         tied = [n for n in bounds if n not in out]
         if not tied:
             break
-        table = _node_table(spark, [(n, cuts[n][-1]) for n in tied], "of long, cut long")
+        table = _node_table(spark, [(n, cuts[n][-1]) for n in tied], _schema(of="int64", cut="int64"))
         rows = rows.join(table, (F.col("node") == F.col("of")) & (F.col(key) == F.col("cut"))).select("node", "size", *names)
         after = names[k + 1]
         bounds = {r["node"]: [r["lo"], r["hi"]] for r in rows.groupBy("node").agg(F.min(after).alias("lo"), F.max(after).alias("hi")).collect()}
@@ -137,7 +143,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
     last = None
     rows, made = rows.withColumn("_node", F.lit(0).cast("long")), 1
     while nodes:
-        stats = {r["_node"]: r for r in rows.join(_node_table(spark, [(n,) for n in nodes], "of long"), F.col("_node") == F.col("of")).groupBy("_node").agg(
+        stats = {r["_node"]: r for r in rows.join(_node_table(spark, [(n,) for n in nodes], _schema(of="int64")), F.col("_node") == F.col("of")).groupBy("_node").agg(
             F.sum("size").alias("w"), F.count("*").alias("n"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).collect()}
         for n, (first, k) in nodes.items():
             if n in stats and (k == 1 or stats[n]["n"] == 1):
@@ -148,7 +154,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
         widest = {n: max(dims, key=lambda d: ((stats[n][f"hi_{d}"] - stats[n][f"lo_{d}"]) / spread[d], d)) for n in nodes}
         wanted = {n: stats[n]["w"] * (k // 2) / k for n, (_, k) in nodes.items()}
         bounds = {n: [stats[n][f"lo_{widest[n]}"], stats[n][f"hi_{widest[n]}"]] for n in nodes}
-        table = _node_table(spark, [(n, dims.index(widest[n])) for n in nodes], "of long, dim int")
+        table = _node_table(spark, [(n, dims.index(widest[n])) for n in nodes], _schema(of="int64", dim="int32"))
         valued = rows.join(table, F.col("_node") == F.col("of"))
         value = F.element_at(F.array(*(F.col(d) for d in dims)), F.col("dim") + 1)
         cuts = _cuts(valued.select(F.col("_node").alias("node"), "size", value.alias("value"), "id", "row"), bounds, wanted)
@@ -157,7 +163,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
             sides.append((n, dims.index(widest[n]), *cuts[n], made, made + 1))
             after[made], after[made + 1] = (first, k // 2), (first + k // 2, k - k // 2)
             made += 2
-        table = _node_table(spark, sides, "of long, dim int, c0 long, c1 long, c2 long, here boolean, low long, high long")
+        table = _node_table(spark, sides, _schema(of="int64", dim="int32", c0="int64", c1="int64", c2="int64", here="bool", low="int64", high="int64"))
         c = F.col
         left = (F.when(value != c("c0"), value < c("c0")).when(c("c1").isNull(), c("here")).when(c("id") != c("c1"), c("id") < c("c1"))
                 .when(c("c2").isNull(), c("here")).when(c("row") != c("c2"), c("row") < c("c2")).otherwise(c("here")))
@@ -168,7 +174,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
             drop_written(last)
         rows = last = moved
         nodes = after
-    shards = _node_table(spark, list(leaves.items()), "of long, shard int")
+    shards = _node_table(spark, list(leaves.items()), _schema(of="int64", shard="int32"))
     return rows.join(shards, F.col("_node") == F.col("of")).drop("_node", "of")
 
 

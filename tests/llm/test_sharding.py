@@ -82,3 +82,10 @@ def test_long_names_are_told_apart(spark):
     docs = spark.createDataFrame([(1, "t" * 10, "en", f"a-long-common-name-{i % 2}") for i in range(40)], SCHEMA).withColumn("row", F.lit("x"))
     sizes, _ = check(docs, 2)
     assert set(sizes.values()) == {220}
+
+
+def test_node_tables_run_no_python_on_executors(spark):
+    """The tables of nodes come from Arrow: no Python RDD stands under them."""
+    table = S._node_table(spark, [(1, 2), (3, None)], S._schema(of="int64", cut="int64"))
+    assert [tuple(r) for r in table.collect()] == [(1, 2), (3, None)]
+    assert "Python" not in table._jdf.queryExecution().toRdd().toDebugString()
