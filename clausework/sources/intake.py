@@ -15,6 +15,8 @@ file fails with "no text", as the service does when its parser raises.
 
 from __future__ import annotations
 
+import os
+import re
 from typing import Iterator
 
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from clausework import constants as C
 from clausework.functions.text import file_suffix, is_supported, strip_ws
+from clausework.session import run_dir
 
 ROUTES = {".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".txt": "txt"}
 
@@ -53,6 +56,105 @@ def read_landing(spark: SparkSession, folder: str, manifest: DataFrame | None =
     return present.unionByName(unseen)
 
 
+# Entries of a folder, and bytes of files, that a task hands on at a time.
+LISTED_ROWS, READ_BYTES = 10_000, 8 << 20
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as the file source names it (``file:/x``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _file_system(root: str):
+    """The file system of a qualified folder as tasks use it, and the folder's path there."""
+    from pyarrow import fs as pafs
+
+    if root.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:(//)?", "", root)
+    return pafs.FileSystem.from_uri(root)
+
+
+def _is_hidden(name: str) -> bool:
+    """Whether the file source passes over a file or folder of this name."""
+    if name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(fs, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """``name, is_folder, mtime in ms, length`` of what a folder holds."""
+    from pyarrow import fs as pafs
+
+    if isinstance(fs, pafs.LocalFileSystem):  # one at a time, however many there are
+        with os.scandir(folder) as found:
+            for e in found:
+                try:
+                    stat = e.stat()
+                except FileNotFoundError:  # gone meanwhile
+                    continue
+                yield e.name, e.is_dir(), stat.st_mtime_ns // 1_000_000, stat.st_size
+    else:
+        for i in fs.get_file_info(pafs.FileSelector(folder)):
+            yield i.base_name, i.type == pafs.FileType.Directory, (i.mtime_ns or 0) // 1_000_000, i.size or 0
+
+
+def list_landing(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that ``binaryFile`` would read under ``folder`` (recursively) as ``path, mtime_micros, length``.
+
+    Folders are listed by tasks, level by level, into a written table: no row per file
+    reaches the driver, as it does when the file source lists them.  Hidden and 0-byte files are left out (T1).
+    """
+    root, out = qualified(spark, folder), run_dir(spark, "listing")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _file_system(root)
+        columns = ["path", "is_folder", "mtime_micros", "length"]
+        for batch in batches:
+            for at in batch["folder"]:
+                rows = []
+                for name, is_folder, mtime, length in _entries(fs, base + at[len(root):]):
+                    if not _is_hidden(name) and (is_folder or length > 0):
+                        rows.append((f"{at}/{name}", is_folder, mtime * 1000, length))
+                    if len(rows) == LISTED_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    schema = "path string, is_folder boolean, mtime_micros long, length long"
+    level, depth = spark.createDataFrame([(root,)], "folder string"), 0
+    while True:
+        level.mapInPandas(listed, schema).write.parquet(f"{out}/depth={depth}")
+        folders = spark.read.schema(schema).parquet(f"{out}/depth={depth}").where("is_folder")
+        if folders.isEmpty():
+            break
+        level, depth = folders.select(F.col("path").alias("folder")).repartition("folder"), depth + 1
+    return spark.read.schema(schema).parquet(out).where("not is_folder").select("path", "mtime_micros", "length")
+
+
+def with_content(files: DataFrame, folder: str) -> DataFrame:
+    """``files``, listed under ``folder``, with their ``content``: each is opened once, by the task that has its row."""
+    root = qualified(files.sparkSession, folder)
+
+    def read(batches):
+        import pyarrow as pa
+
+        fs, base = _file_system(root)
+        for batch in batches:
+            contents, size, start = [], 0, 0
+            for k, path in enumerate(batch.column("path").to_pylist(), start=1):
+                with fs.open_input_file(base + path[len(root):]) as f:
+                    contents.append(f.read())
+                size += len(contents[-1])
+                if size >= READ_BYTES or k == batch.num_rows:
+                    part = batch.slice(start, len(contents))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names=[*part.schema.names, "content"])
+                    contents, size, start = [], 0, k
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(read, f"{schema}, content binary")
+
+
 def document_id(path, mtime_micros, length) -> Column:
     """Stable id per landed file (E8): a UUID-shaped SHA-256 of path, mtime
     and size.  A random UUID would change when a task is retried."""

@@ -1,6 +1,11 @@
 """Streaming intake of a landing folder.
 
-``readStream`` over ``binaryFile`` picks up new files; each micro-batch runs
+At its start the stream lists the landing folder in tasks and writes what is new
+to listings kept in the checkpoint, each of a micro-batch's files at most
+(``sources.intake.list_landing``); ``readStream`` is over these listings.  A file source
+over the landing folder itself would hold a row for every file ever landed on the driver,
+and the log of the source too.  The files of a micro-batch are opened by
+the tasks; each micro-batch runs
 the same stateless intake and analysis as the batch path and writes the
 store tables through ``foreachBatch``.  No state, no watermark: uploads are
 independent.  Exactly-once output: every table of micro-batch ``n`` is
@@ -25,26 +30,52 @@ from clausework.session import run_dir
 from clausework.sources import corpus as CP
 from clausework.sources import intake as IN
 
-BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+LISTING_SCHEMA = "path STRING, mtime_micros BIGINT, length BIGINT"
 # Files of a micro-batch, at most.  Each batch is eight jobs whatever it holds, so small ones
 # cost more than their files; the files of one are shared out over the tasks.
 FILES_PER_BATCH = 100_000
 STORE_TABLES = ["documents", "parties", "clauses", "risks", "upload_log", "outcomes", "paragraphs"]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream that this checkpoint belongs to, made at its first start."""
     folder = f"{checkpoint.rstrip('/')}/run_id"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not _exists(spark, f"{folder}/_SUCCESS"):
         spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").text(folder)
     return spark.read.text(folder).first()[0]
 
 
-def _process_batch(store_path: str, run_id: str, responses: DataFrame | None, bucket: str):
+def _listings(spark: SparkSession, landing: str, checkpoint: str, files_each: int) -> str:
+    """The folder of the stream's listings, after what has landed since the last start was added to
+    it: files that a listing holds already are not new, so a start that was cut short adds the rest."""
+    folder = f"{checkpoint.rstrip('/')}/landed"
+    if not _exists(spark, folder):
+        if _exists(spark, f"{checkpoint.rstrip('/')}/sources"):
+            raise ValueError(f"{checkpoint} belongs to a stream that read the landing folder itself; start with a new checkpoint")
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    known = spark.read.schema(LISTING_SCHEMA).parquet(folder).select("path")
+    path = run_dir(spark, "landed-new")
+    IN.list_landing(spark, landing).join(known, "path", "left_anti").write.parquet(path)
+    new = spark.read.schema(LISTING_SCHEMA).parquet(path)
+    if n := new.count():
+        # dealt by a hash, a listing may have some more files than another
+        parts = 1 if n <= files_each else -(-n * 21 // (20 * files_each))
+        new.repartition(parts, "path").write.option("maxRecordsPerFile", files_each).mode("append").parquet(folder)
+    return folder
+
+
+def _process_batch(landing: str, store_path: str, run_id: str, responses: DataFrame | None, bucket: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
-        files = batch.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
-                             F.unix_micros("modificationTime").alias("mtime_micros"), "length", "content")
+        # a listing is one small file: its rows are shared out over the tasks that open the files
+        listed = batch.repartition(4 * batch.sparkSession.sparkContext.defaultParallelism, "path")
+        files = IN.with_content(listed, landing).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
+                                                        "mtime_micros", "length", "content")
         # read once: extraction takes each route from a copy with few partitions, not from the files again
         copy = run_dir(batch.sparkSession, "stream-files")
         IN.with_ids(files).write.parquet(copy)
@@ -68,13 +99,13 @@ def start_intake_stream(spark: SparkSession, landing: str, store_path: str, chec
     ``trigger(availableNow=True)``: process what has landed, in bounded
     micro-batches, then stop; a later start resumes from the checkpoint.
     """
-    stream = (spark.readStream.format("binaryFile")
-              .schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true")
-              .option("maxFilesPerTrigger", str(max_files_per_trigger))
-              .load(landing))
+    # a listing is a micro-batch, however old it is when a start that was cut short is made up for
+    stream = (spark.readStream.schema(LISTING_SCHEMA)
+              .option("maxFilesPerTrigger", "1")
+              .option("maxFileAge", "36500d")
+              .parquet(_listings(spark, landing, checkpoint, max_files_per_trigger)))
     return (stream.writeStream
-            .foreachBatch(_process_batch(store_path, stream_id(spark, checkpoint), responses, bucket))
+            .foreachBatch(_process_batch(landing, store_path, stream_id(spark, checkpoint), responses, bucket))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
