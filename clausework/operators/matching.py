@@ -31,7 +31,9 @@ key is a key like any other; a pattern text under several keys gives each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,12 @@ SALTS = 16
 RUN = 8
 # Words of up to ``KNOWN_CHARS`` characters whose patterns a task remembers, at most.
 KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 64
+# Rows whose words, and words whose places, are looked up together.
+ROWS_AT_ONCE, WORDS_AT_ONCE = 500, 1 << 16
+# Rows times patterns that are marked in one table.
+CELLS_AT_ONCE = 1 << 23
+# Nodes times letters up to which a trie is a table.
+TRIE_CELLS = 1 << 23
 
 
 def contains_any(texts: list[str], pattern: Column) -> Column:
@@ -100,57 +108,149 @@ def _with_grams(rows: DataFrame, texts: list[str], lengths: list[int]) -> DataFr
     return arrays.select(*rows.columns, F.explode_outer("_grams").alias("_gram"))
 
 
+def spans(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from ``starts[k]`` to ``starts[k + 1]`` of each ``k`` in ``of``, one after another, with the index in ``of``."""
+    n = starts[of + 1] - starts[of]
+    index = np.repeat(np.arange(len(of)), n)
+    return index, np.arange(len(index)) + (starts[of] - np.cumsum(n) + n)[index]
+
+
+class Finder:
+    """Numbers of the patterns, from 0, that occur in texts.
+
+    The runs that patterns are filed under are a trie.  Words that are not known yet are
+    walked through it together, all places of all words a character at a time.
+    """
+
+    def __init__(self, patterns: list[str]):
+        self.patterns = patterns
+        runs: dict[str, list[int]] = {}
+        for n, p in enumerate(patterns):
+            runs.setdefault(max(p.split(), key=len, default="")[:RUN], []).append(n)
+        self.blank = tuple(runs.pop("", ()))
+        # of each run: the pattern that is the run, and those that are longer
+        self.own = np.array([next((n for n in ns if patterns[n] == r), -1) for r, ns in runs.items()], np.int32)
+        self.longer = [tuple(n for n in ns if patterns[n] != r) for r, ns in runs.items()]
+        self.has_longer = np.array([bool(ns) for ns in self.longer], bool)
+        alphabet = sorted({c for r in runs for c in r})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.letters = len(alphabet) + 1
+        nodes: dict[str, int] = {"": 0}
+        for r in runs:
+            for k in range(1, len(r) + 1):
+                nodes.setdefault(r[:k], len(nodes))
+        steps = sorted((nodes[r[:-1]] * self.letters + int(self.letter[ord(r[-1])]), n) for r, n in nodes.items() if r)
+        self.keys, self.next = np.array([x[0] for x in steps], np.int64), np.array([x[1] for x in steps], np.int32)
+        self.ends = np.full(len(nodes), -1, np.int32)
+        for k, r in enumerate(runs):
+            self.ends[nodes[r]] = k
+        self.table = None
+        if len(nodes) * self.letters <= TRIE_CELLS:
+            self.table = np.zeros(len(nodes) * self.letters, np.int32)
+            self.table[self.keys] = self.next
+        self._forget()
+
+    def _forget(self) -> None:
+        # the number of a known word, and from ``starts`` of its number the patterns that it holds;
+        # of some words those that a text with it may hold
+        self.known: dict[str, int] = {}
+        self.starts, self.held = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.maybe: dict[str, list[int]] = {}
+
+    def _runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word and run of all places at which a run stands."""
+        lengths = np.array([len(w) for w in words], np.int32)
+        letters = self.letter[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word, end = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.cumsum(lengths, dtype=np.int32)
+        at, node, found = np.arange(len(letters), dtype=np.int32), np.zeros(len(letters), np.int32), []
+        left = np.repeat(end, lengths) - at  # characters from here to the word's end
+        for k in range(RUN):
+            if k:
+                here = left > k
+                at, node, left = at[here], node[here], left[here]
+            letter = letters[at + k]
+            if self.table is not None:
+                node = self.table[node * self.letters + letter]
+            elif len(self.keys):
+                step = node.astype(np.int64) * self.letters + letter
+                place = np.minimum(np.searchsorted(self.keys, step), len(self.keys) - 1)
+                node = np.where(self.keys[place] == step, self.next[place], 0)
+            here = node > 0
+            at, node, left = at[here], node[here], left[here]
+            run = self.ends[node]
+            whole = run >= 0
+            found.append((word[at[whole]], run[whole]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
+
+    def _learn(self, words: list[str]) -> None:
+        word, run = self._runs(words)
+        own, more, p = self.own[run], self.has_longer[run], self.patterns
+        longer = []
+        for k, r in set(zip(word[more].tolist(), run[more].tolist())):
+            longer += [(k, n) for n in self.longer[r] if p[n] in words[k]]
+            if spaced := [n for n in self.longer[r] if [p[n]] != p[n].split()]:  # with white space
+                self.maybe.setdefault(words[k], []).extend(spaced)
+        longer = np.array(longer, np.int32).reshape(-1, 2)
+        word, held = np.concatenate([word[own >= 0], longer[:, 0]]), np.concatenate([own[own >= 0], longer[:, 1]])
+        first = len(self.starts) - 1
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.held = np.concatenate([self.held, held[np.argsort(word, kind="stable")]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(word, minlength=len(words)))])
+
+    def find(self, rows: list[list[str]]) -> Iterator[np.ndarray]:
+        """For each row the patterns that one of its texts holds."""
+        p, known, maybe = self.patterns, self.known, self.maybe
+        many = max(1, min(ROWS_AT_ONCE, CELLS_AT_ONCE // max(1, len(p))))
+        for start in range(0, len(rows), ROWS_AT_ONCE):
+            some = rows[start:start + ROWS_AT_ONCE]
+            split = [set(texts[0].split()) if len(texts) == 1 else {w for t in texts for w in t.split()} for texts in some]
+            new = list(set().union(*split).difference(known))
+            for k in range(0, len(new), WORDS_AT_ONCE):
+                self._learn(new[k:k + WORDS_AT_ONCE])
+            for k in range(0, len(some), many):
+                part = split[k:k + many]
+                numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(part)), np.int64)
+                row = np.repeat(np.arange(len(part)), [len(words) for words in part])
+                here, places = spans(self.starts, numbers)
+                has = np.zeros((len(part), len(p)), bool)
+                has[row[here], self.held[places]] = True
+                if self.blank or maybe:
+                    for i, words in enumerate(part):
+                        open_ = set(self.blank).union(*[maybe[w] for w in words if w in maybe])
+                        has[i, [n for n in open_ if any(p[n] in t for t in some[k + i])]] = True
+                row, held = np.nonzero(has)
+                yield from np.split(held.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
+            if len(self.starts) > KNOWN_WORDS:
+                self._forget()
+                known, maybe = self.known, self.maybe
+            for w in new:
+                if len(w) > KNOWN_CHARS:
+                    known.pop(w, None)
+                    maybe.pop(w, None)
+
+
 def finder(patterns: list[str]) -> Callable[[list[str]], list[str]]:
     """The patterns that occur in one of some texts, as a function of the texts."""
-    own: set[str] = set()  # patterns that are the run they are filed under
-    longer: dict[str, list[str]] = {}
-    for p in patterns:
-        run = max(p.split(), key=len, default="")[:RUN]
-        if p == run:
-            own.add(p)
-        else:
-            longer.setdefault(run, []).append(p)
-    blank = longer.pop("", [])
-    runs = own | longer.keys()
-    ones, twos = {r for r in runs if len(r) == 1}, {r for r in runs if len(r) == 2}
-    # longer runs by their starts: whether the start is a run itself
-    starts = dict.fromkeys((r[:k] for r in runs for k in range(3, len(r))), False) | dict.fromkeys((r for r in runs if len(r) > 2), True)
-    known: dict[str, tuple] = {}
-
-    def of(word: str) -> tuple:
-        """Patterns that the word holds, and those that a text with it may hold."""
-        found = ones.intersection(word)
-        found.update(twos.intersection([a + b for a, b in zip(word, word[1:])]))
-        for i in range(len(word) - 2):
-            for j in range(i + 3, min(i + RUN, len(word)) + 1):
-                filing = starts.get(word[i:j])
-                if filing is None:
-                    break
-                if filing:
-                    found.add(word[i:j])
-        more = [p for r in longer.keys() & found for p in longer[r]] if longer else []
-        both = (*own.intersection(found), *(p for p in more if p in word)), tuple(p for p in more if [p] != p.split())  # with white space
-        if len(word) <= KNOWN_CHARS:
-            if len(known) >= KNOWN_WORDS:
-                known.clear()
-            known[word] = both
-        return both
-
-    def find(texts: list[str]) -> list[str]:
-        held, open_ = set(), set(blank)
-        for word in {w for t in texts for w in t.split()}:
-            sure, maybe = known.get(word) or of(word)
-            held.update(sure)
-            open_.update(maybe)
-        return [*held, *(p for p in open_ if any(p in t for t in texts))]
-    return find
+    many = Finder(patterns)
+    return lambda texts: [patterns[n] for n in next(many.find([texts]))]
+
+
+def found_numbers(texts: list[str], patterns: list[str]) -> Column:
+    """The numbers, as places in ``patterns``, of those that occur in one of the text columns; the tasks hold the patterns."""
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        many = Finder(patterns)
+        for batch in batches:
+            yield pd.Series(list(many.find([[t for t in row if t] for row in zip(*(batch[c] for c in batch.columns))])), dtype=object)
+
+    return F.pandas_udf(held, "array<int>")(F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)]))
 
 
 class Patterns:
     """A pattern table resolved once and shared by every matching pass.
 
     Few patterns: ``literal``, the (pattern, key) pairs.  More: the written
-    ``table (p, key)`` with ``texts``, its distinct patterns.  Many: ``index``,
+    ``table (n, key)`` with ``texts``, its distinct patterns by their number ``n``.  Many: ``index``,
     the written table ``(gram, p, key)``, with the gram lengths that occur.
     """
 
@@ -169,8 +269,10 @@ class Patterns:
         n_rows, n_bytes = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("p"))).first()
         self.small = n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
         if self.small:
-            self.table = table.withColumnRenamed("k", key_col)
-            self.texts = [r.p for r in table.select("p").distinct().collect()]
+            self.texts = sorted(r.p for r in table.select("p").distinct().collect())
+            numbers = spark.createDataFrame(list(enumerate(self.texts)), "n int, p string")
+            table.join(numbers, "p").select("n", F.col("k").alias(key_col)).write.parquet(f"{path}/numbers")
+            self.table = spark.read.parquet(f"{path}/numbers")
             return
         own = (table.select("p", F.split("p", "").alias("chars")).distinct()
                .select("p", F.explode_outer(F.array_distinct(_by_length(F.col("chars")))).alias("gram")).where("gram is not null"))
@@ -191,19 +293,11 @@ def _by_length(chars: Column) -> Column:
 
 def _sent(rows: DataFrame, texts: list[str], patterns: Patterns) -> DataFrame:
     """Rows met with patterns that every task holds."""
-    wanted = patterns.texts
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        find = finder(wanted)
-        for batch in batches:
-            yield pd.Series([find([t for t in row if t]) for row in zip(*(batch[c] for c in batch.columns))], dtype=object)
-
-    found = F.pandas_udf(held, "array<string>")(F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)]))
     # outer, so that no filter on the array's size is inferred below, which
     # would make the array a second time; a NULL meets no pattern
-    met = rows.select(*rows.columns, F.explode_outer(found).alias("_p"))
-    keys = patterns.table.select(F.col("p").alias("_found"), F.col(patterns.key_col).alias("_key"))
-    return (met.join(F.broadcast(keys), F.col("_p") == F.col("_found"))
+    met = rows.select(*rows.columns, F.explode_outer(found_numbers(texts, patterns.texts)).alias("_n"))
+    keys = patterns.table.select(F.col("n").alias("_found"), F.col(patterns.key_col).alias("_key"))
+    return (met.join(F.broadcast(keys), F.col("_n") == F.col("_found"))
             .select(*rows.columns, F.col("_key").alias(patterns.key_col)))
 
 
