@@ -115,6 +115,15 @@ def spans(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, np.arange(len(index)) + (starts[of] - np.cumsum(n) + n)[index]
 
 
+def distinct_pairs(row: np.ndarray, column: np.ndarray, n_rows: int, n_columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers in order: from a table where they are dense in it, else sorted."""
+    if n_rows * n_columns > 32 * len(row):
+        return np.divmod(np.unique(row.astype(np.int64) * n_columns + column), max(1, n_columns))
+    has = np.zeros((n_rows, n_columns), bool)
+    has[row, column] = True
+    return np.nonzero(has)
+
+
 class Finder:
     """Numbers of the patterns, from 0, that occur in texts.
 
@@ -198,6 +207,32 @@ class Finder:
         self.held = np.concatenate([self.held, held[np.argsort(word, kind="stable")]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(word, minlength=len(words)))])
 
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The patterns that each text holds, some more than once: how many of each text, and all of them."""
+        row, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        p = self.patterns
+        for start in range(0, len(texts), WORDS_AT_ONCE):
+            split = [t.split() for t in texts[start:start + WORDS_AT_ONCE]]
+            if len(self.starts) > KNOWN_WORDS:
+                self._forget()
+            if new := list(set(chain.from_iterable(split)).difference(self.known)):
+                self._learn(new)
+            numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+            here, places = spans(self.starts, numbers)
+            row.append(np.repeat(np.arange(start, start + len(split)), [len(words) for words in split])[here])
+            held.append(self.held[places])
+            if self.blank or self.maybe:
+                more = [(k, n) for k, words in enumerate(split, start=start) for n in set(self.blank).union(*[self.maybe[w] for w in words if w in self.maybe]) if p[n] in texts[k]]
+                more = np.array(more, np.int64).reshape(-1, 2)
+                row.append(more[:, 0])
+                held.append(more[:, 1].astype(np.int32))
+            for w in new:
+                if len(w) > KNOWN_CHARS:
+                    self.known.pop(w, None)
+                    self.maybe.pop(w, None)
+        row, held = np.concatenate(row), np.concatenate(held)
+        return np.bincount(row, minlength=len(texts)), held[np.argsort(row, kind="stable")]
+
     def find(self, rows: list[list[str]]) -> Iterator[np.ndarray]:
         """For each row the patterns that one of its texts holds."""
         p, known, maybe = self.patterns, self.known, self.maybe
@@ -213,13 +248,13 @@ class Finder:
                 numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(part)), np.int64)
                 row = np.repeat(np.arange(len(part)), [len(words) for words in part])
                 here, places = spans(self.starts, numbers)
-                has = np.zeros((len(part), len(p)), bool)
-                has[row[here], self.held[places]] = True
+                row, held = row[here], self.held[places]
                 if self.blank or maybe:
-                    for i, words in enumerate(part):
-                        open_ = set(self.blank).union(*[maybe[w] for w in words if w in maybe])
-                        has[i, [n for n in open_ if any(p[n] in t for t in some[k + i])]] = True
-                row, held = np.nonzero(has)
+                    more = [(i, n) for i, words in enumerate(part) for n in set(self.blank).union(*[maybe[w] for w in words if w in maybe])
+                            if any(p[n] in t for t in some[k + i])]
+                    more = np.array(more, np.int64).reshape(-1, 2)
+                    row, held = np.concatenate([row, more[:, 0]]), np.concatenate([held, more[:, 1]])
+                row, held = distinct_pairs(row, held, len(part), len(p))
                 yield from np.split(held.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
             if len(self.starts) > KNOWN_WORDS:
                 self._forget()

@@ -170,9 +170,13 @@ def top_hits(rows: DataFrame, keys: DataFrame, queries: DataFrame, path: str, n:
 
 def area_counts(keys: DataFrame, queries: DataFrame) -> DataFrame:
     """Per query and area: hit count (J5 summary); zero rows for all areas."""
+    return area_table(keys.groupBy("q", "area_rank").agg(F.count(F.lit(1)).alias("hits")), queries)
+
+
+def area_table(counts: DataFrame, queries: DataFrame) -> DataFrame:
+    """The counts ``q, area_rank, hits`` of query texts as rows of every query and area."""
     areas = F.array(*[F.struct(F.lit(r).alias("area_rank"), F.lit(a).alias("match_area")) for r, a in AREAS.items()])
     grid = _query_texts(queries).select("query_id", "query_text", "q", F.inline(areas))
-    counts = keys.groupBy("q", "area_rank").agg(F.count(F.lit(1)).alias("hits"))
     return (grid.join(counts, ["q", "area_rank"], "left")
             .select("query_id", "query_text", "match_area",
                     F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits")))
