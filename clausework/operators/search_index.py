@@ -29,9 +29,10 @@ asked under several ids is searched once.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +50,9 @@ GRAM_PARTS = 32
 # Up to this many grams are pushed into the scan as literals; more meet the postings in a join.
 PUSHED_GRAMS = 1024
 # Places and rows of a block, about; a row is never cut.
-BLOCK_PLACES, BLOCK_ROWS = 1_000_000, 1 << 20
+BLOCK_PLACES, BLOCK_ROWS = 500_000, 1 << 20
+# Records that a task hands on at a time.
+RECORDS_AT_ONCE = 1 << 14
 # Files over which the blocks of a part are dealt.
 BLOCK_SALTS = 8
 # Rows times queries that are marked in one table.
@@ -86,35 +89,36 @@ def _blocks(batches):
 
     cut = re.compile(GRAM).findall
     ids: dict[str, int] = defaultdict(count().__next__)
-    key, places, texts = None, 0, []  # of the block: the first row and the area, how many places, row and grams of each text
+    # of the block: the first row and the area, the gram at each place, and of each text the row and how many places it has
+    key, grams, texts, lengths = None, array("i"), [], []
 
     def block():
-        lengths = [len(numbers) for _, numbers in texts]
-        gram = np.fromiter(chain.from_iterable(numbers for _, numbers in texts), np.int32, places)
+        gram, n = np.frombuffer(grams, np.int32), np.array(lengths, np.int32)
         order = np.argsort(gram, kind="stable")
-        ends = np.cumsum(lengths)
-        at = np.arange(places) - np.repeat(ends - lengths, lengths)
-        row = np.repeat([row for row, _ in texts], lengths)
+        at = np.arange(len(gram), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+        row = np.repeat(np.array(texts, np.int32), n)
         held = np.bincount(gram, minlength=len(ids))
         starts = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
         lists = [pa.ListArray.from_arrays(starts, pa.array(x[order], pa.int32())) for x in (row, at)]
         same = [pa.array(np.full(len(ids), k), t) for k, t in zip(key, (pa.int64(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), *same, pa.array(held, pa.int32()), *lists], names=["gram", "base", "area_rank", "places", "row_text_no", "at"])
+        whole = pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), *same, pa.array(held, pa.int32()), *lists], names=["gram", "base", "area_rank", "places", "row_text_no", "at"])
+        return [whole.slice(k, RECORDS_AT_ONCE) for k in range(0, len(ids), RECORDS_AT_ONCE)]
 
     for batch in batches:
         for row, area, *both in zip(*(batch.column(c).to_pylist() for c in ("row", "area_rank", *_TEXTS))):
-            if texts and (places >= BLOCK_PLACES or area != key[1] or not 0 <= row - key[0] < BLOCK_ROWS):
-                yield block()
-                ids, places, texts = defaultdict(count().__next__), 0, []
+            if texts and (len(grams) >= BLOCK_PLACES or area != key[1] or not 0 <= row - key[0] < BLOCK_ROWS):
+                yield from block()
+                ids, grams, texts, lengths = defaultdict(count().__next__), array("i"), [], []
             for no, text in enumerate(both):
                 if text:
                     if not texts:
                         key = row, area
-                    numbers = list(map(ids.__getitem__, cut(text)))
-                    places += len(numbers)
-                    texts.append((2 * (row - key[0]) + no, numbers))
+                    before = len(grams)
+                    grams.extend(map(ids.__getitem__, cut(text)))
+                    texts.append(2 * (row - key[0]) + no)
+                    lengths.append(len(grams) - before)
     if texts:
-        yield block()
+        yield from block()
 
 
 def segment_tables(rows: DataFrame, segment: str, path: str | None = None) -> dict[str, DataFrame | Callable]:
