@@ -51,6 +51,8 @@ GRAM_PARTS = 32
 PUSHED_GRAMS = 1024
 # Places and rows of a block, about; a row is never cut.
 BLOCK_PLACES, BLOCK_ROWS = 500_000, 1 << 20
+# Of the index's files: lists of numbers become a good deal smaller than by the default.
+CODEC = "zstd"
 # Records that a task hands on at a time.
 RECORDS_AT_ONCE = 1 << 14
 # Files over which the blocks of a part are dealt.
@@ -131,7 +133,7 @@ def segment_tables(rows: DataFrame, segment: str, path: str | None = None) -> di
     spark = rows.sparkSession
     path = path or run_dir(spark, "index-rows")
     numbered = rows.select(F.lit(segment).alias("segment"), F.monotonically_increasing_id().alias("row"), *S.ROW_KEY, "uploaded_at", *_TEXTS)
-    numbered.write.parquet(path)
+    numbered.write.parquet(path, compression=CODEC)
     numbered = spark.read.parquet(path)
     blocks = numbered.select("row", "area_rank", *_TEXTS).mapInArrow(_blocks, _BLOCK)
     postings = blocks.select("gram", F.lit(segment).alias("segment"), "base", "area_rank", "places", "row_text_no", "at", _part(F.col("gram")).alias("gram_part"))
@@ -215,13 +217,13 @@ class SearchIndex:
             return None
         path = self.spark._jvm.org.apache.hadoop.fs.Path(run_dir(self.spark, "index-rows"))
         try:
-            return self.store.commit(batch, segment_tables(rows, batch, path.toString()), PARTITION_BY)
+            return self.store.commit(batch, segment_tables(rows, batch, path.toString()), PARTITION_BY, codec=CODEC)
         finally:  # the texts are in the store
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def merge(self, batch: str) -> None:
         """Replace all segments by one; rows keep their segment's name and number."""
-        self.store.merge(f"{batch}-postings", POSTINGS, _shaped, PARTITION_BY[POSTINGS])
+        self.store.merge(f"{batch}-postings", POSTINGS, _shaped, PARTITION_BY[POSTINGS], CODEC)
         self.store.merge(f"{batch}-rows", ROWS)
         self.store.merge(f"{batch}-grams", GRAMS, lambda df: df.groupBy("gram").agg(F.sum("places").alias("places")))
 
